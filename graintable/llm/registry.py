@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import exact_dedup, mixing, sharding, url_filters
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op4_mixing": mixing.op4_mixing,
+    "op10_url_filters": url_filters.op10_url_filters,
 }
 ORACLES = {
+    "op1_sharding": sharding.ORACLE_SQL,
+    "op2_exact_dedup": exact_dedup.ORACLE_SQL,
     "op4_mixing": mixing.ORACLE_SQL,
+    "op10_url_filters": url_filters.ORACLE_SQL,
 }

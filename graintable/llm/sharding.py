@@ -78,10 +78,19 @@ def _winner(n: int) -> str:
     return f"(list_position([{hashes}], list_max([{hashes}])) - 1)::INTEGER"
 
 
-#: DuckDB has no CRC-32; its table function-free form is left out, so the query is compared without that column in tests.
-PLACEMENT_SQL = f"""
-SELECT doc_id, size, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, size) - 1 AS slot, grown_shard
-FROM (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size, {_winner(SHARDS)} AS shard, {_winner(SHARDS + 1)} AS grown_shard,
+#: DuckDB has no CRC-32: it is folded over the bytes with the table of its 256 one-byte remainders (polynomial 0xEDB88320).
+_CRC_TABLE = [0] * 256
+for _byte in range(256):
+    _rest = _byte
+    for _ in range(8):
+        _rest = _rest >> 1 ^ (0xEDB88320 if _rest & 1 else 0)
+    _CRC_TABLE[_byte] = _rest
+_BYTES = "list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {_BYTES}), lambda c, x: xor(c >> 8, list_extract(crc_table, xor(c & 255, x) + 1))), 4294967295)"
+
+ORACLE_SQL = f"""
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
+FROM (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size, {_CRC} AS text_crc32, {_winner(SHARDS)} AS shard, {_winner(SHARDS + 1)} AS grown_shard,
              floor({key_hash_sql("id")} / {2**HASH_BITS // BUCKETS}.0)::INTEGER AS bucket
-      FROM (SELECT doc_id, text, coalesce(doc_id::VARCHAR, 'null') AS id FROM documents))
+      FROM (SELECT doc_id, text, coalesce(doc_id::VARCHAR, 'null') AS id, {_CRC_TABLE}::BIGINT[] AS crc_table FROM documents))
 """
