@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding, url_filters
+from . import bpe, exact_dedup, language, mixing, sharding, url_filters
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op4_mixing": mixing.op4_mixing,
+    "op5_bpe": bpe.op5_bpe,
+    "op6_language": language.op6_language,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 ORACLES = {
