@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language, mixing, sharding, url_filters
+from . import bpe, exact_dedup, language, minhash, mixing, sharding, url_filters
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_bpe": bpe.op5_bpe,
     "op6_language": language.op6_language,
+    "op7_minhash": minhash.op7_minhash,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 ORACLES = {
