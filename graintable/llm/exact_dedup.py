@@ -163,10 +163,10 @@ def dedup_batches(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
     positive = screened.filter("maybe").drop("maybe").withColumnRenamed("rep", "new_rep").withColumnRenamed("n", "new_n")
     joined = durable(exact.drop("bucket").join(positive, "digest"), "positives")
 
-    # the texts of the two representatives, byte by byte
+    # the texts of the two representatives, byte by byte; the same join at every size, as the positives grow with the batch
     wanted = joined.select("digest", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("rep").alias("key")), F.struct(F.lit(1).alias("side"), F.col("new_rep").alias("key")))).alias("w")).select("w.side", F.col("w.key").alias("_key"), F.col("digest").alias("_digest"), F.lit(True).alias("_wanted"))
     wanted = wanted.withColumnRenamed("side", "_side")
-    texts = both.select("key", "side", "text").join(wanted, F.col("key").eqNullSafe(F.col("_key")) & (F.col("side") == F.col("_side")))
+    texts = both.select("key", "side", "text").join(wanted.hint("merge"), F.col("key").eqNullSafe(F.col("_key")) & (F.col("side") == F.col("_side")))
     texts = texts.select("_digest", normalised(F.col("text")).alias("text")).filter(F.unhex(F.sha2("text", 256)) == F.col("_digest"))
     equal = texts.groupBy("_digest").agg((F.min("text") == F.max("text")).alias("equal")).filter("equal").select(F.col("_digest").alias("digest"))
     met = joined.join(equal, "digest").select("digest", F.least("rep", "new_rep").alias("keep"), (F.col("n") + F.col("new_n")).alias("n"))
