@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language, minhash, mixing, sharding, url_filters
+from . import bpe, exact_dedup, language, minhash, mixing, sharding, topk, url_filters
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -11,11 +11,13 @@ QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op6_language": language.op6_language,
     "op7_minhash": minhash.op7_minhash,
+    "op9_topk": topk.op9_topk,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 ORACLES = {
     "op1_sharding": sharding.ORACLE_SQL,
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
     "op4_mixing": mixing.ORACLE_SQL,
+    "op9_topk": topk.ORACLE_SQL,
     "op10_url_filters": url_filters.ORACLE_SQL,
 }
