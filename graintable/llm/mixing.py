@@ -84,19 +84,41 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", F.col("prefix").alias("threshold"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """docs: ``key``, text, source. Gives ``key``, source, h, size, source_size, target and taken of every row."""
+def _plan(rows: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """rows: source, size, h. One row for each source: source, source_size, target, once (whether all its rows are taken once) and threshold."""
     if most > 2:
         raise ValueError("a row is taken twice at most")
-    rows = durable(docs.select(F.col(key).alias("key"), "source", words(F.col("text")).alias("size"), key_hash(F.col(key)).alias("h")), "mixing-rows")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = durable(targets(totals, weights, share, most), "mixing-targets")
-    once = F.col("target") >= F.col("source_size")
-    edges = thresholds(rows, plan.select("source", F.when(once, F.col("target") - F.col("source_size")).otherwise(F.col("target")).alias("budget")))
-    plan = plan.join(edges.select(F.col("source").alias("_source"), "threshold"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    joined = rows.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    copies = once.cast("long") + (F.col("h") < F.col("threshold")).cast("long")
-    return joined.select(F.col("key").alias(key), "source", "h", "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
+    plan = durable(targets(totals, weights, share, most).withColumn("once", F.col("target") >= F.col("source_size")), "mixing-targets")
+    edges = thresholds(rows, plan.select("source", (F.col("target") - F.when(F.col("once"), F.col("source_size")).otherwise(0)).alias("budget")))
+    joined = plan.join(edges.select(F.col("source").alias("_source"), "threshold"), F.col("source").eqNullSafe(F.col("_source")))
+    return durable(joined.drop("_source"), "mixing-plan")
+
+
+def _copies(h: Column, once: Column, threshold: Column) -> Column:
+    """How often a row is taken: 0, 1 or 2 times."""
+    return once.cast("int") + (h < threshold).cast("int")
+
+
+def _sized(docs: DataFrame, key: str) -> DataFrame:
+    return durable(docs.select(F.col(key).alias("key"), "source", words(F.col("text")).alias("size"), key_hash(F.col(key)).alias("h")), "mixing-rows")
+
+
+def mix(docs: DataFrame, key: str = "doc_id", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """docs: ``key``, text, source. Gives ``key``, source, size, source_size, target and taken of every row."""
+    rows = _sized(docs, key)
+    plan = _plan(rows, weights, share, most).withColumnRenamed("source", "_source")
+    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")))
+    taken = F.col("size") * _copies(F.col("h"), F.col("once"), F.col("threshold"))
+    return joined.select(F.col("key").alias(key), "source", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The rows of docs, with all their columns, as often as the mix takes them. The plan, a row for each source, is all that the texts are joined to."""
+    plan = _plan(_sized(docs, key), weights, share, most).select(F.col("source").alias("_mix_source"), F.struct("once", "threshold").alias("_mix_plan"))
+    copies = _copies(key_hash(docs[key]), F.col("_mix_plan.once"), F.col("_mix_plan.threshold"))
+    joined = docs.join(plan, docs["source"].eqNullSafe(plan["_mix_source"]))
+    return joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[docs[c] for c in docs.columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

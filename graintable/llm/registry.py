@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language, minhash, mixing, sharding, topk, url_filters
+from . import bpe, exact_dedup, language, line_dedup, minhash, mixing, sharding, substring_dedup, topk, url_filters
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_mixing": mixing.op4_mixing,
     "op5_bpe": bpe.op5_bpe,
     "op6_language": language.op6_language,
     "op7_minhash": minhash.op7_minhash,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_topk": topk.op9_topk,
     "op10_url_filters": url_filters.op10_url_filters,
 }
