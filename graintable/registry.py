@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import corpus_queries, dialogue_queries, price_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {**price_queries.QUERIES, **corpus_queries.QUERIES, **dialogue_queries.QUERIES}
+ORACLES = {**price_queries.ORACLES, **corpus_queries.ORACLES, **dialogue_queries.ORACLES}
