@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..durable import durable
 from .components import connected_components
+from .setjoin import prefix_pairs
 
 WIDTH, PERCENT = 5, 80
 HALF, COUNT = 2, 10
@@ -105,15 +106,14 @@ def _alike(a: str, b: str, percent: int) -> F.Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """pairs: a, b. docs: id, text. Those pairs whose whole sets have a similarity of percent / 100 or more.
+def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """wanted: id. docs: id, text. The wanted texts, written. They are shuffled in the same way at every size, as they grow with the input."""
+    return durable(docs.join(wanted.distinct().hint("merge"), "id").select("id", "text"), "texts")
 
-    The texts wanted are shuffled in the same way at every size, as they grow with the input; a class that is in many pairs is split by
-    adaptive execution.
-    """
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """pairs: a, b. texts: id, text. Those pairs whose whole sets have a similarity of percent / 100 or more. A text that is in many pairs is split by adaptive execution."""
     pairs = durable(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = durable(docs.join(wanted.hint("merge"), "id").select("id", "text"), "texts")
     second = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = second.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
@@ -134,6 +134,19 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return durable(both.mapInArrow(run, f"u {kind}, v {kind}"), "verified")
 
 
+def members_of(texts: DataFrame, width: int) -> DataFrame:
+    """texts: id, text. A row for each shingle of each set: node, n, member."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in enumerate(batch.column(1)):
+                found = shingles(text.as_py(), width)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([row] * len(found), pa.int64())), pa.array([len(found)] * len(found), pa.int64()), pa.array(found.view(np.int64))], ["node", "n", "member"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select("id", "text").mapInArrow(run, f"node {kind}, n long, member long").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, half: int = HALF, count: int = COUNT) -> DataFrame:
     """docs: id, text. One row for each row: id, n_shingles, component (the smallest id linked with it, directly or by others) and kept."""
     signed = durable(signatures(docs, width, half, count), "signatures")
@@ -145,19 +158,20 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     shared = durable(heads.select("key", F.col("head.rep").alias("head"), F.col("head.n").alias("head_n")), "heads")
 
     met = rows.join(shared, "key")
+    texts = texts_of(met.select(F.col("rep").alias("id")), docs)
     tested = durable(met.filter((F.col("rep") != F.col("head")) & _alike("n", "head_n", percent)).select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "tested")
-    links = verified(tested, docs, width, percent)
+    links = verified(tested, texts, width, percent)
     found = connected_components(links)
 
-    # keys that hold several components: their other pairs
-    placed = met.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    # classes of keys that hold several components: those that may be linked with one of another component
+    placed = met.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     placed = durable(placed, "placed")
     several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    open_rows = durable(placed.join(several, "key"), "open")
-    left, right = (open_rows.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "component")]) for side in "ab")
-    rest = left.join(right, "key").filter((F.col("component_a") < F.col("component_b")) & _alike("n_a", "n_b", percent))
-    rest = rest.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(rest, docs, width, percent))
+    loose = durable(placed.join(several, "key").select(F.col("rep").alias("node"), "component").distinct(), "loose")
+    loose_texts = texts.join(loose.select(F.col("node").alias("id")), "id", "left_semi")
+    members = durable(members_of(loose_texts, width).join(loose, "node"), "members")
+    rest = prefix_pairs(members, percent).join(tested, ["a", "b"], "left_anti")
+    links = links.unionByName(verified(rest, texts, width, percent))
 
     found = durable(connected_components(links), "components")
     of_class = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
