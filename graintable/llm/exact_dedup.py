@@ -188,8 +188,8 @@ def split_in_two(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 
 
 def dropped(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The keys of docs of which every row is a copy of a row with a smaller key."""
-    out = dedup_batches(*split_in_two(docs, key))
+    """The keys of docs of which every row is a copy of a row with a smaller key. Rows without a key are never dropped."""
+    out = dedup_batches(*split_in_two(docs, key)).filter("key IS NOT NULL")
     return out.groupBy("key").agg(F.bool_or(F.col("key").eqNullSafe(F.col("keep"))).alias("stays")).filter(~F.col("stays")).select(F.col("key").alias(key))
 
 

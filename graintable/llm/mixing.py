@@ -128,9 +128,9 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_sql(docs: str) -> str:
-    """DuckDB SQL for ``mix`` over the table ``docs``, without its rows that are not taken; ``copies`` and all columns of docs."""
+    """The common table expressions of DuckDB SQL for ``mix`` over the table ``docs``; the last, mixed, has doc_id, size, source_size, target and copies."""
     return f"""
-sized AS (SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, {key_hash_sql("coalesce(doc_id::VARCHAR, 'null')")} AS h FROM {docs}),
+sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, {key_hash_sql("coalesce(doc_id::VARCHAR, 'null')")} AS h FROM {docs}),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sized GROUP BY source),
 weighed AS (SELECT *, [3.0, 1.0, 2.0][rank % 3 + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS most FROM totals),
 stepped AS (SELECT *, (sum(source_size) OVER ())::DOUBLE * 1.5 - coalesce(sum(most) OVER prior, 0) AS rest, (sum(weight) OVER ()) - coalesce(sum(weight) OVER prior, 0) AS weights
