@@ -10,7 +10,7 @@ from ..functions.splitting import DEFAULT_SEPARATORS, MARKDOWN_SEPARATORS, split
 
 # fixed values: what marks a page of contents, and the line ends that count
 TOC = "." * 14
-LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 TABLE_LINE = r"(?U)^\s*\|.*\|\s*$"
 STRIP = r"(?U)^\s+|\s+$"
 
