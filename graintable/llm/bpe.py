@@ -40,7 +40,7 @@ END = "</w>"
 MARK = "\ue000"  # stands for END in the automaton; not in the byte alphabet
 
 # fixed values: the blanks of the normaliser's \s and the word pattern of the pre-tokenizer
-BLANK = r"[\x09-\x0D\x20\x85\xA0  -     　]"
+BLANK = r"[\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|(?:(?!" + BLANK + r")[^\p{L}\p{N}])+"
 
 
