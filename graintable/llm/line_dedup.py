@@ -7,8 +7,9 @@ number, stays.
 
 Equal lines are one node (by hash) and are compared once. Rows of a band are shuffled once, sorted, and read as a stream in which each
 distinct line is paired with the first of its band, so a band that very many lines share needs no memory and makes no pairs among its
-members. Bands whose lines end up in several components are looked at again, and lines of different components compared, so no
-candidate pair that could join components goes unchecked.
+members. Bands that end up with lines of several components are looked at again: of small bands all pairs of different components are compared, of
+others those that share enough of their rarest shingles (``setjoin``, complete for the similarity), so no candidate pair that could join
+components goes unchecked.
 
 Defined cases: blank lines and null or empty texts have no lines to drop; lines equal up to blanks at their ends are equal; repeated rows
 (equal key and text) have equal line places, and these stand or fall together; null keys come first; an empty table gives an empty
@@ -26,9 +27,11 @@ from pyspark.sql import functions as F
 
 from ..durable import durable
 from .components import connected_components
+from .setjoin import open_keys, prefix_pairs
 
-SHINGLE, PERCENT = 8, 80
+SHINGLE, PERCENT = 8, 80  # the first a power of 2
 ROWS, BANDS = 3, 10
+BLOCK = 1 << 14
 SEEN = 500_000  # lines whose bands a task remembers to have given already
 _FACTORS = np.random.default_rng(8).integers(0, 2**31, 256, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -44,21 +47,40 @@ def line_hash(line: str) -> bytes:
     return xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
 
 
-def band_keys(line: str, shingle: int = SHINGLE, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
-    """A 64-bit key for each band."""
-    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-    width = min(shingle, len(codes))
-    grams = codes[: len(codes) - width + 1] * np.uint32(0x9E3779B1)
-    for k in range(1, width):
-        grams = (grams ^ (grams >> np.uint32(15))) * np.uint32(0x85EBCA6B) + codes[k : len(codes) - width + 1 + k]
-    grams = (grams ^ (grams >> np.uint32(16))) * np.uint32(0xC2B2AE35)
-    grams ^= grams >> np.uint32(13)
-    factors, least = _FACTORS[: rows * bands, None], None
-    for at in range(0, len(grams), 1 << 14):
-        part = (factors * grams[at : at + (1 << 14)]).min(1)
-        least = part if least is None else np.minimum(least, part)
-    keys = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for column in least.reshape(bands, rows).T:
+def _shingle_hashes(codes: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of every SHINGLE neighbouring characters, from halves to wholes."""
+    h, width = codes * np.uint32(0x9E3779B1), 1
+    while width < SHINGLE:
+        h = (h[:-width] ^ (h[:-width] >> np.uint32(15))) * np.uint32(0x85EBCA6B) + h[width:]
+        width *= 2
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0xC2B2AE35)
+    return h ^ (h >> np.uint32(13))
+
+
+def band_keys(found: list[str]) -> np.ndarray:
+    """A row of BANDS 64-bit keys for each line. Lines are hashed together, in blocks of BLOCK characters."""
+    factors = _FACTORS[: ROWS * BANDS, None]
+    least, k = np.empty((len(found), ROWS * BANDS), np.uint32), 0
+    while k < len(found):
+        end, size = k + 1, len(found[k])
+        while end < len(found) and size + len(found[end]) <= BLOCK:
+            size += len(found[end])
+            end += 1
+        grams = _shingle_hashes(np.frombuffer("".join(found[k:end]).encode("utf-32-le", "surrogatepass"), np.uint32)) if size >= SHINGLE else None
+        products = factors * grams if size <= BLOCK and grams is not None else None
+        at = 0
+        for row in range(k, end):
+            n = len(found[row])
+            if n < SHINGLE:
+                least[row] = factors[:, 0] * np.uint32(int.from_bytes(line_hash(found[row])[:4], "little"))
+            elif products is not None:
+                products[:, at : at + n - SHINGLE + 1].min(1, out=least[row])
+            else:  # one long line
+                least[row] = np.min([(factors * grams[b : b + BLOCK]).min(1) for b in range(0, len(grams), BLOCK)], axis=0)
+            at += n
+        k = end
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for column in least.reshape(-1, BANDS, ROWS).transpose(2, 0, 1):
         keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + column
     return (keys ^ (keys >> np.uint64(32))).view(np.int64)
 
@@ -88,18 +110,20 @@ def band_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            keys, nodes = [], []
+            keys, nodes = [np.zeros((0, BANDS), np.int64)], []
             for text in batch.column(0):
+                new = []
                 for _, line in lines(text.as_py()):
                     h = line_hash(line)
-                    if h in seen:
-                        continue
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(h)
-                    keys.append(band_keys(line))
-                    nodes.append(h[:8])
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+                    if h not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(h)
+                        new.append(line)
+                        nodes.append(h[:8])
+                if new:
+                    keys.append(band_keys(new))
+            flat = np.concatenate(keys).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.frombuffer(b"".join(nodes), "<i8"), BANDS))], ["key", "node"])
 
     return docs.select("text").mapInArrow(run, "key long, node long")
@@ -130,16 +154,15 @@ def with_heads(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long, head long")
 
 
-def _shingles(line: str, shingle: int) -> set[str]:
-    return {line[k : k + shingle] for k in range(max(1, len(line) - shingle + 1))}
+def _shingles(line: str) -> set[str]:
+    return {line[k : k + SHINGLE] for k in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """pairs: a, b (nodes). first: node, place (id, t, no). The pairs whose whole sets are similar enough, as u and v."""
-    pairs = durable(pairs, "line-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node")
-    wanted = wanted.groupBy(F.col("place.id").alias("_id"), F.col("place.t").alias("_t")).agg(F.collect_set(F.struct(F.col("place.no").alias("no"), "node")).alias("wanted"))
-    holders = docs.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).select("text", "wanted")
+def lines_of(wanted: DataFrame, first: DataFrame, docs: DataFrame) -> DataFrame:
+    """wanted: node. first: node, place (id, t, no). node and line, lifted from the texts and written. The texts are shuffled in the same way at every size."""
+    places = wanted.distinct().join(first, "node")
+    places = places.groupBy(F.col("place.id").alias("_id"), F.col("place.t").alias("_t")).agg(F.collect_set(F.struct(F.col("place.no").alias("no"), "node")).alias("wanted"))
+    holders = docs.join(places.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).select("text", "wanted")
 
     def lift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +173,30 @@ def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, shingle: int =
                 texts += [own[w["no"]] for w in asked]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], ["node", "line"])
 
-    found = durable(holders.mapInArrow(lift, "node long, line string").dropDuplicates(["node"]), "wanted-lines")
+    return durable(holders.mapInArrow(lift, "node long, line string").dropDuplicates(["node"]), "wanted-lines")
+
+
+def members_of(found: DataFrame) -> DataFrame:
+    """found: node, line. A row for each shingle of each line: node, n, member (a hash)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_digest
+
+        for batch in batches:
+            rows, sizes, members = [], [], []
+            for row, line in enumerate(batch.column(1).to_pylist()):
+                own = {xxh3_64_digest(s.encode("utf-8", "surrogatepass")) for s in _shingles(line)}
+                rows += [row] * len(own)
+                sizes += [len(own)] * len(own)
+                members += own
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int64()), pa.array(np.frombuffer(b"".join(members), "<i8"))], ["node", "n", "member"])
+
+    return found.select("node", "line").mapInArrow(run, "node long, n long, member long")
+
+
+def verified(pairs: DataFrame, found: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """pairs: a, b (nodes). found: node, line. The pairs whose whole sets are similar enough, as u and v."""
+    pairs = durable(pairs, "line-pairs")
     second = pairs.join(found.select(F.col("node").alias("b"), F.col("line").alias("line_b")), "b")
     both = second.join(found.select(F.col("node").alias("a"), F.col("line").alias("line_a")), "a").select("a", "b", "line_a", "line_b")
 
@@ -160,8 +206,8 @@ def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, shingle: int =
             keep = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if a != last:
-                    last, mine = a, _shingles(a, shingle)
-                other = _shingles(b, shingle)
+                    last, mine = a, _shingles(a)
+                other = _shingles(b)
                 shared = len(mine & other)
                 keep.append(shared * 100 >= (len(mine) + len(other) - shared) * percent)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -179,16 +225,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     first = nodes.filter("sure").select("node", "place")
 
     members = durable(with_heads(band_rows(docs)), "line-members")
+    texts = lines_of(members.select("node"), first, docs)
     tested = durable(members.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "line-tested")
-    links = verified(tested, first, docs)
+    links = verified(tested, texts)
     found = connected_components(links)
     placed = durable(members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "line-placed")
-    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    open_rows = durable(placed.join(several, "key"), "line-open")
-    left, right = (open_rows.select("key", F.col("node").alias(f"node_{s}"), F.col("component").alias(f"component_{s}")) for s in "ab")
-    rest = left.join(right, "key").filter("component_a < component_b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    rest = rest.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = links.unionByName(verified(rest, first, docs))
+    pairs, loose = open_keys(placed, "line")
+    shingles = durable(members_of(texts.join(loose.select("node"), "node", "left_semi")).join(loose, "node"), "line-shingles")
+    rest = pairs.union(prefix_pairs(shingles, PERCENT)).distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    links = links.unionByName(verified(rest, texts))
 
     # the first line of each component, by place; only of lines that have another
     in_components = connected_components(links).join(first, "node")
