@@ -120,14 +120,14 @@ def trim_history(spark, d):
 
 
 @query(
-    """SELECT event_type AS kind, date_trunc('day', ts) AS window_start, count(*) AS requests, round(avg(value / 10), 4) AS mean_ttft_s, round(avg(value), 4) AS mean_total_s, round(avg((event_id % 500) / nullif(value, 0)), 4) AS tokens_per_s,
-  round(quantile_cont(value, 0.5), 4) AS p50_total_s, round(quantile_cont(value, 0.95), 4) AS p95_total_s FROM events GROUP BY 1, 2"""
+    """SELECT event_type AS kind, date_trunc('day', ts) AS window_start, count(*) AS requests, round(avg(value / 10), 7) AS mean_ttft_s, round(avg(value), 7) AS mean_total_s, round(avg((event_id % 500) / nullif(value, 0)), 7) AS tokens_per_s,
+  round(quantile_cont(value, 0.5), 7) AS p50_total_s, round(quantile_cont(value, 0.95), 7) AS p95_total_s FROM events GROUP BY 1, 2"""
 )
 def request_metrics(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     requests = e.select("ts", F.col("event_type").alias("kind"), (F.col("event_id") % 500).alias("output_tokens"), (F.col("value") / 10).alias("ttft_s"), F.col("value").alias("total_s"))
     out = dialogue.request_metrics(requests, "1 day")
-    return out.withColumns({c: F.round(c, 4) for c in ("mean_ttft_s", "mean_total_s", "tokens_per_s", "p50_total_s", "p95_total_s")})
+    return out.withColumns({c: F.round(c, 7) for c in ("mean_ttft_s", "mean_total_s", "tokens_per_s", "p50_total_s", "p95_total_s")})
 
 
 @query()

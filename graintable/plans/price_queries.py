@@ -234,15 +234,16 @@ def remove_outliers(spark, d):
     return analysis.remove_outliers(analysis.distinct_prices(_grouped(spark, d)))
 
 
+# six digits: with fewer, means and medians of prices in cents often lie just between two, which engines round differently
 ROUNDED = ("min_price", "max_price", "mean_price", "median_price", "std_price", "ci_low", "ci_high")
 
 
-def _rounded(df: DataFrame, names=ROUNDED, digits: int = 2) -> DataFrame:
+def _rounded(df: DataFrame, names=ROUNDED, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in names if c in df.columns})
 
 
-STATS_SQL = """stats AS (SELECT query_id, unit, (SELECT count(*) FROM grouped g WHERE g.query_id = k.query_id AND g.unit = k.unit) AS total_count, 0::BIGINT AS invalid_count, count(*) AS valid_count, round(min(price), 2) AS min_price, round(max(price), 2) AS max_price,
-  round(avg(price), 2) AS mean_price, round(median(price), 2) AS median_price, round(stddev_samp(price), 2) AS std_price, round(avg(price) - 1.96 * stddev_samp(price) / sqrt(count(*)), 2) AS ci_low, round(avg(price) + 1.96 * stddev_samp(price) / sqrt(count(*)), 2) AS ci_high, NULL::VARCHAR AS error
+STATS_SQL = """stats AS (SELECT query_id, unit, (SELECT count(*) FROM grouped g WHERE g.query_id = k.query_id AND g.unit = k.unit) AS total_count, 0::BIGINT AS invalid_count, count(*) AS valid_count, round(min(price), 6) AS min_price, round(max(price), 6) AS max_price,
+  round(avg(price), 6) AS mean_price, round(median(price), 6) AS median_price, round(stddev_samp(price), 6) AS std_price, round(avg(price) - 1.96 * stddev_samp(price) / sqrt(count(*)), 6) AS ci_low, round(avg(price) + 1.96 * stddev_samp(price) / sqrt(count(*)), 6) AS ci_high, NULL::VARCHAR AS error
   FROM kept k GROUP BY query_id, unit)"""
 
 
@@ -291,9 +292,10 @@ def price_histogram(spark, d):
     return analysis.price_histogram(_grouped(spark, d))
 
 
-@query(f"{GROUPED_SQL} SELECT query_id, substr(releaseTime, 1, 7) AS month, count(*) AS points, round(avg(price), 1) AS mean_price, min(price) AS min_price, max(price) AS max_price FROM grouped WHERE price <> 0 GROUP BY ALL")
+@query(f"{GROUPED_SQL} SELECT query_id, substr(releaseTime, 1, 7) AS month, count(*) AS points, avg(cents) AS mean_price, min(cents) AS min_price, max(cents) AS max_price FROM (SELECT *, round(price * 100) AS cents FROM grouped) WHERE price <> 0 GROUP BY ALL")
 def price_time_series(spark, d):
-    return _rounded(analysis.price_time_series(_grouped(spark, d)), ("mean_price",), 1)
+    """In cents, whose sums are exact."""
+    return analysis.price_time_series(_grouped(spark, d).withColumn("price", F.round(F.col("price") * 100)))
 
 
 @query(f"{BASE} SELECT query_id, count(*) AS n, count(*) > 10 AS chart FROM matches GROUP BY 1")
@@ -346,11 +348,11 @@ def delete_files(spark, d):
 
 @query(f"""{BASE}, capped AS (SELECT m.* FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY record_id) AS i FROM matches) m JOIN routed q USING (query_id) WHERE i <= q.returnNumber),
 grouped AS (SELECT query_id, unit, price FROM capped), {BOUNDS_SQL}, {COMMON_SQL}
-SELECT c.query_id, x.unit IS NOT NULL AS success, c.total_count, {VOLUME_SQL} AS level, x.unit, x.valid_count, x.min_price, x.max_price, x.mean_price, x.median_price
-FROM counts c LEFT JOIN (SELECT query_id, unit, count(*) AS valid_count, round(min(price), 2) AS min_price, round(max(price), 2) AS max_price, round(avg(price), 2) AS mean_price, round(median(price), 2) AS median_price FROM kept JOIN common USING (query_id, unit) GROUP BY ALL) x ON c.query_id = x.query_id""")
+SELECT c.query_id, x.unit IS NOT NULL AS success, c.total_count, {VOLUME_SQL} AS level, x.unit, coalesce(x.valid_count, 0) AS valid_count, x.min_price, x.max_price, x.mean_price, x.median_price
+FROM counts c LEFT JOIN (SELECT query_id, unit, count(*) AS valid_count, round(min(price), 6) AS min_price, round(max(price), 6) AS max_price, round(avg(price), 6) AS mean_price, round(median(price), 6) AS median_price FROM kept JOIN common USING (query_id, unit) GROUP BY ALL) x ON c.query_id = x.query_id""")
 def recommend_prices_stats(spark, d):
     """The numbers of a price recommendation. A name found by containment in these tables always scores high enough."""
-    out = _rounded(recommend_prices(price_records(spark, d), price_queries(spark, d)))
+    out = _rounded(recommend_prices(price_records(spark, d), price_queries(spark, d))).fillna(0, ["valid_count"])
     return out.select("query_id", "success", "total_count", "level", "unit", "valid_count", "min_price", "max_price", "mean_price", "median_price")
 
 
