@@ -52,11 +52,17 @@ def _condition(records: DataFrame, q: str = "_q") -> Column:
     return met & (blank(field("endReleaseDate")) | (F.col("releaseDate") <= field("endReleaseDate")))
 
 
-def filter_prices(records: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id with each record that meets the query."""
+def filter_prices(records: DataFrame, queries: DataFrame, salts: int = 64) -> DataFrame:
+    """query_id with each record that meets the query.
+
+    There are few channels, so records are dealt to ``salts`` parts of each and the queries, the small side, are repeated for every part:
+    where they are too many to be broadcast, a channel's records still spread over as many tasks.
+    """
     asked = with_channel(queries)
-    packed = asked.select(F.col("channel"), F.struct(*asked.columns).alias("_q"))
-    return records.join(packed, "channel").filter(_condition(records)).select(F.col("_q.query_id").alias("query_id"), *records.columns)
+    packed = asked.select("channel", F.struct(*asked.columns).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    dealt = records.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in ("record_id", "price", "releaseDate") if c in records.columns]), F.lit(salts)).cast("int"))
+    met = dealt.join(packed, ["channel", "_salt"]).filter(_condition(records))
+    return met.select(F.col("_q.query_id").alias("query_id"), *records.columns)
 
 
 def count_matches(matches: DataFrame, queries: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.html import html_to_markdown as to_markdown
 from ..operators import bm25, corpus, ranking, vectors
+from ..sources import files
 from .answer import answer_retrieval as answer
 
 QUERIES = {}
@@ -49,6 +50,17 @@ def sliding_window_chunks(spark, d):
     return corpus.sliding_window_chunks(_docs(spark, d), "doc_id")
 
 
+@query()
+def list_files(spark, d):
+    """The tables' files as the catalogue."""
+    return files.list_files(files.file_table(spark, d))
+
+
+@query()
+def folder_fingerprint(spark, d):
+    return files.folder_fingerprint(files.file_table(spark, d))
+
+
 @query()
 def recursive_split(spark, d):
     return corpus.recursive_chunks(_docs(spark, d).select("doc_id", "text"), "doc_id")
