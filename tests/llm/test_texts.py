@@ -157,6 +157,41 @@ def test_line_dedup_by_brute_force(spark, where, request):
     assert got == want
 
 
+def test_band_heads_across_batches(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(k), int(n)) for k, n in zip(rng.integers(0, 40, 900), rng.integers(0, 30, 900), strict=True)] + [(99, n % 500) for n in range(1000)] + [(100 + n, n) for n in range(50)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = [tuple(r) for r in line_dedup.with_heads(spark.createDataFrame(rows, "key long, node long")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    nodes = defaultdict(set)
+    for k, n in rows:
+        nodes[k].add(n)
+    want = {k: v for k, v in nodes.items() if len(v) > 1}
+    assert Counter((k, n) for k, n, _ in got) == Counter((k, n) for k, v in want.items() for n in v)
+    assert all(len({h for k2, _, h in got if k2 == k}) == 1 and next(h for k2, _, h in got if k2 == k) in v for k, v in want.items())
+
+
+def test_lines_of_a_large_family(spark):
+    rng = np.random.default_rng(9)
+    base = [f"word{i}" for i in range(60)]
+    rows = []
+    for n in range(120):
+        words = list(base)
+        for at in rng.choice(60, rng.integers(0, 8), replace=False):
+            words[at] = f"edit{rng.integers(0, 300)}"
+        rows.append((n, " ".join(words)))
+    sets, groups = [line_dedup._shingles(t) for _, t in rows], Groups()
+    for a in range(120):
+        groups.find(a)
+        for b in range(a + 1, 120):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                groups.join(a, b)
+    got = {r["id"]: r["keep_id"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert got == {n: groups.find(n) for n in range(120)} and 1 < len(set(got.values())) < 120
+
+
 def test_bpe_matches_the_library(spark, odd):
     from tokenizers import Tokenizer
 
