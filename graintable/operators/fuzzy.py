@@ -19,7 +19,7 @@ GRADES = r"(?iU)Q\d{3}[A-Z]?|HRB\d{3}[A-Z]?|HPB\d{3}|SUS\d{3}|304L?|316L?"
 PROCESSES = "热轧|冷轧|镀锌|酸洗|拉丝|镜面|抛光"
 PUNCTUATION = {
     # what the first version's class really matches: its unescaped bracket ends it early
-    "reference": r"""[，。、"！!?：:；;（）()【】\[]/,_-+|\]""",
+    "narrow": r"""[，。、"！!?：:；;（）()【】\[]/,_-+|\]""",
     "all": r"""[，。、"'！!?：:；;（）()【】\[\]/,_\-+|]""",
 }
 BLANKS = r"(?U)\s+"
@@ -31,7 +31,7 @@ def half_width(names: pd.Series) -> pd.Series:
     return names.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
 
-def core_name(name: Column, punctuation: str = "reference", widths: bool = True) -> Column:
+def core_name(name: Column, punctuation: str = "narrow", widths: bool = True) -> Column:
     """A name without case, punctuation, sizes, grades and processes; null and empty give ''. Without ``widths`` (names known to be plain) no Python runs."""
     s = half_width(name) if widths else name
     s = F.regexp_replace(F.regexp_replace(F.lower(s), r"(?U)^\s+|\s+$", ""), PUNCTUATION[punctuation], " ")
@@ -41,7 +41,7 @@ def core_name(name: Column, punctuation: str = "reference", widths: bool = True)
     return F.coalesce(F.trim(F.regexp_replace(s, BLANKS, " ")), F.lit(""))
 
 
-def core_names(names: DataFrame, column: str = "materialName", punctuation: str = "reference", widths: bool = True) -> DataFrame:
+def core_names(names: DataFrame, column: str = "materialName", punctuation: str = "narrow", widths: bool = True) -> DataFrame:
     """Each distinct name and its core."""
     return names.select(column).distinct().withColumn("core", core_name(F.col(column), punctuation, widths))
 
@@ -88,7 +88,7 @@ def char_tfidf_cosine(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     return out.select("query_id", "core", F.when(F.col("norms") > 0, F.col("dot") / F.col("norms")).otherwise(0.0).alias("cosine"))
 
 
-def name_scores(queries: DataFrame, matches: DataFrame, alpha: float = 0.4, keep: float = 0.75, drop: float = 0.50, punctuation: str = "reference", widths: bool = True) -> DataFrame:
+def name_scores(queries: DataFrame, matches: DataFrame, alpha: float = 0.4, keep: float = 0.75, drop: float = 0.50, punctuation: str = "narrow", widths: bool = True) -> DataFrame:
     """queries: query_id, materialName. matches: query_id, materialName. Gives query_id, materialName, score and tag (keep, review or drop) of each distinct name."""
     asked = queries.select("query_id", core_name(F.col("materialName"), punctuation, widths).alias("core"))
     cores = core_names(matches, "materialName", punctuation, widths)

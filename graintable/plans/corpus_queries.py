@@ -88,7 +88,7 @@ def process_uploads(spark, d):
     return corpus.process_uploads(pages.select(F.concat(F.when(F.col("page_id") % 10 == 0, "../").otherwise("up/"), "page_id", F.lit(".html")).alias("filename"), F.col("html").alias("text")))
 
 
-@query(r"SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS tokens FROM documents".replace("AS tokens", "AS t").join(["SELECT doc_id, len(t)::INTEGER AS n_tokens, array_to_string(list_slice(t, 1, 5), ' ') AS first FROM (", ")"]))
+@query(r"SELECT doc_id, len(t)::INTEGER AS n_tokens, array_to_string(list_slice(t, 1, 5), ' ') AS first FROM (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS t FROM documents)")
 def tokenize(spark, d):
     t = bm25.tokenize(F.col("text"))
     return _docs(spark, d).select("doc_id", F.size(t).alias("n_tokens"), F.array_join(F.slice(t, 1, 5), " ").alias("first"))
@@ -165,11 +165,7 @@ def bm25_search(spark, d):
 def resolve_passages(spark, d):
     """Every document as a hit: the first with its text."""
     chunks = _chunks(spark, d).select("doc_id", "page_content")
-    return corpus_hits(chunks, chunks)
-
-
-def corpus_hits(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    return bm25.resolve_passages(hits.select(F.col("doc_id").alias("hit_id"), "page_content"), chunks).select("hit_id", "doc_id")
+    return bm25.resolve_passages(chunks.withColumnRenamed("doc_id", "hit_id"), chunks).select("hit_id", "doc_id")
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
