@@ -16,8 +16,6 @@ no other; rows that share a key stand or fall together; a group without any key
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession

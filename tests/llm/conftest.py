@@ -2,7 +2,6 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from pyspark.sql import types as T
 
 LONG = " ".join(f"wort{i % 997} und" for i in range(60_000))  # a very long text
 BASE = " ".join(f"alpha{i} beta{i % 7}" for i in range(60))

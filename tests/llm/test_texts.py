@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from graintable.llm import bpe, components, language, line_dedup, minhash, setjoin, substring_dedup
 
-from .conftest import ROWS, write
+from .conftest import ROWS
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
