@@ -32,6 +32,7 @@ from .setjoin import open_keys, prefix_pairs
 SHINGLE, PERCENT = 8, 80  # the first a power of 2
 ROWS, BANDS = 3, 10
 BLOCK = 1 << 14
+ORDERS = 4  # in which a band's first line is looked for
 SEEN = 500_000  # lines whose bands a task remembers to have given already
 _FACTORS = np.random.default_rng(8).integers(0, 2**31, 256, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -151,7 +152,9 @@ def with_heads(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[others], key[second]])), pa.array(np.concatenate([node[others], heads[second]])), pa.array(np.concatenate([heads[others], heads[second]]))], ["key", "node", "head"])
             last, head, before, told = key[-1], heads[-1], node[-1], not starts[-1]
 
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long, head long")
+    # the first of a key is not the same line in all bands that the same lines share
+    order = F.xxhash64("node", F.pmod("key", F.lit(ORDERS)))
+    return rows.repartition("key").sortWithinPartitions("key", order, "node").mapInArrow(run, "key long, node long, head long")
 
 
 def _shingles(line: str) -> set[str]:
@@ -159,7 +162,7 @@ def _shingles(line: str) -> set[str]:
 
 
 def lines_of(wanted: DataFrame, first: DataFrame, docs: DataFrame) -> DataFrame:
-    """wanted: node. first: node, place (id, t, no). node and line, lifted from the texts and written. The texts are shuffled in the same way at every size."""
+    """wanted: node. first: node, place (id, t, no). node, line and n (size of its set), lifted from the texts and written. The texts are shuffled in the same way at every size."""
     places = wanted.distinct().join(first, "node")
     places = places.groupBy(F.col("place.id").alias("_id"), F.col("place.t").alias("_t")).agg(F.collect_set(F.struct(F.col("place.no").alias("no"), "node")).alias("wanted"))
     holders = docs.join(places.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).select("text", "wanted")
@@ -171,9 +174,10 @@ def lines_of(wanted: DataFrame, first: DataFrame, docs: DataFrame) -> DataFrame:
                 own = dict(lines(text.as_py()))
                 nodes += [w["node"] for w in asked]
                 texts += [own[w["no"]] for w in asked]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], ["node", "line"])
+            sizes = [len(_shingles(line)) for line in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], ["node", "line", "n"])
 
-    return durable(holders.mapInArrow(lift, "node long, line string").dropDuplicates(["node"]), "wanted-lines")
+    return durable(holders.mapInArrow(lift, "node long, line string, n long").dropDuplicates(["node"]), "wanted-lines")
 
 
 def members_of(found: DataFrame) -> DataFrame:
@@ -195,10 +199,11 @@ def members_of(found: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, found: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """pairs: a, b (nodes). found: node, line. The pairs whose whole sets are similar enough, as u and v."""
+    """pairs: a, b (nodes). found: node, line, n. The pairs whose whole sets are similar enough, as u and v; those whose sizes differ too much are not compared."""
     pairs = durable(pairs, "line-pairs")
-    second = pairs.join(found.select(F.col("node").alias("b"), F.col("line").alias("line_b")), "b")
-    both = second.join(found.select(F.col("node").alias("a"), F.col("line").alias("line_a")), "a").select("a", "b", "line_a", "line_b")
+    side = lambda s: found.select(F.col("node").alias(s), F.col("line").alias(f"line_{s}"), F.col("n").alias(f"n_{s}"))
+    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    both = pairs.join(side("b"), "b").join(side("a"), "a").filter(near).select("a", "b", "line_a", "line_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, set()
