@@ -31,9 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-CACHE = 300_000  # words of at most LONG characters
+CACHE = 200_000  # words of at most LONG characters
 LONG = 48
-PAIRS = 1_000_000  # entries of the compatibility table in a worker
+PAIRS = 250_000  # entries of the compatibility table in a worker
 PIECE = 1 << 18
 END = "</w>"
 
