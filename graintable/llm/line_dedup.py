@@ -32,6 +32,7 @@ from .setjoin import open_keys, prefix_pairs
 SHINGLE, PERCENT = 8, 80  # the first a power of 2
 ROWS, BANDS = 3, 10
 BLOCK = 1 << 14
+SKETCH = 512
 ORDERS = 4  # in which a band's first line is looked for
 SEEN = 500_000  # lines whose bands a task remembers to have given already
 _FACTORS = np.random.default_rng(8).integers(0, 2**31, 256, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -86,6 +87,16 @@ def band_keys(found: list[str]) -> np.ndarray:
     return (keys ^ (keys >> np.uint64(32))).view(np.int64)
 
 
+def sketch(line: str) -> np.ndarray:
+    """SKETCH bits as longs: each is the parity of the members of the line's set that fall on it."""
+    if len(line) < SHINGLE:
+        hashes = np.frombuffer(line_hash(line)[:4], np.uint32)
+    else:
+        hashes = np.unique(_shingle_hashes(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)))
+    parity = np.bincount((hashes & np.uint32(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1
+    return np.packbits(parity).view(np.int64)
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """docs: id, text, t. Every line that isn't blank: id, t, no, node and check (128 bits of its hash)."""
 
@@ -162,7 +173,7 @@ def _shingles(line: str) -> set[str]:
 
 
 def lines_of(wanted: DataFrame, first: DataFrame, docs: DataFrame) -> DataFrame:
-    """wanted: node. first: node, place (id, t, no). node, line and n (size of its set), lifted from the texts and written. The texts are shuffled in the same way at every size."""
+    """wanted: node. first: node, place (id, t, no). node, line and sketch, lifted from the texts and written. The texts are shuffled in the same way at every size."""
     places = wanted.distinct().join(first, "node")
     places = places.groupBy(F.col("place.id").alias("_id"), F.col("place.t").alias("_t")).agg(F.collect_set(F.struct(F.col("place.no").alias("no"), "node")).alias("wanted"))
     holders = docs.join(places.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).select("text", "wanted")
@@ -174,10 +185,10 @@ def lines_of(wanted: DataFrame, first: DataFrame, docs: DataFrame) -> DataFrame:
                 own = dict(lines(text.as_py()))
                 nodes += [w["node"] for w in asked]
                 texts += [own[w["no"]] for w in asked]
-            sizes = [len(_shingles(line)) for line in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], ["node", "line", "n"])
+            sketches = pa.array([sketch(line) for line in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string()), sketches], ["node", "line", "sketch"])
 
-    return durable(holders.mapInArrow(lift, "node long, line string, n long").dropDuplicates(["node"]), "wanted-lines")
+    return durable(holders.mapInArrow(lift, "node long, line string, sketch array<long>").dropDuplicates(["node"]), "wanted-lines")
 
 
 def members_of(found: DataFrame) -> DataFrame:
@@ -199,11 +210,18 @@ def members_of(found: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, found: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """pairs: a, b (nodes). found: node, line, n. The pairs whose whole sets are similar enough, as u and v; those whose sizes differ too much are not compared."""
-    pairs = durable(pairs, "line-pairs")
-    side = lambda s: found.select(F.col("node").alias(s), F.col("line").alias(f"line_{s}"), F.col("n").alias(f"n_{s}"))
-    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    both = pairs.join(side("b"), "b").join(side("a"), "a").filter(near).select("a", "b", "line_a", "line_b")
+    """pairs: a, b (nodes). found: node, line, sketch. The pairs whose whole sets are similar enough, as u and v.
+
+    Sketches come first: they differ in at most as many bits as the sets in members, so most pairs that aren't similar end there, and none
+    that is.
+    """
+    sized = found.select("node", "sketch", F.greatest(F.length("line") - (SHINGLE - 1), F.lit(1)).alias("most"))
+    side = lambda s: sized.select(F.col("node").alias(s), F.col("sketch").alias(f"sketch_{s}"), F.col("most").alias(f"most_{s}"))
+    bits = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH // 64)), F.lit(0))
+    near = bits * (100 + percent) <= (F.col("most_a") + F.col("most_b")) * (100 - percent)
+    pairs = durable(pairs.join(side("b"), "b").join(side("a"), "a").filter(near).select("a", "b"), "line-pairs")
+    second = pairs.join(found.select(F.col("node").alias("b"), F.col("line").alias("line_b")), "b")
+    both = second.join(found.select(F.col("node").alias("a"), F.col("line").alias("line_a")), "a").select("a", "b", "line_a", "line_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, set()
