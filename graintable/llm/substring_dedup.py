@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of WIDTH consecutive sentences (of LEAST_WORDS words together at least; a sentence of LONG_WORDS is a run by itself) is
-hashed to 128 bits. Runs are joined over all documents by their hash; of equal runs the first one, by key, then place, stays, and the
-sentences that any other covers are cut out of their documents.
+From every sentence the shortest run forward and the shortest run back of at least WIDTH sentences and LEAST_WORDS words is hashed to 128
+bits; a sentence of LONG_WORDS is a run by itself. So every sentence of a passage of WIDTH whole sentences and LEAST_WORDS words, however
+short they are, lies in a run that doesn't leave the passage. Runs are joined over all documents by their hash; of equal runs the first
+one, by key, then place, stays, and the sentences that any other covers are cut out of their documents.
 
 The first shuffle holds only 64 bits of each run and a count, the second the runs by these 64 bits; what isn't repeated ends there.
 A run that a third of all documents share is counted before it is shuffled, and its occurrences are split by adaptive execution.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +48,20 @@ def runs(text: str | None, width: int = WIDTH, least: int = LEAST_WORDS, long: i
     from xxhash import xxh3_128_digest
 
     found = sentences(text or "")
+    before = [0, *accumulate(s[3] for s in found)]  # words before each sentence
+    spans, first, enough = [], 0, False
+    for last in range(len(found)):
+        next_start = first + enough
+        while last - first + 1 > width and before[last + 1] - before[first + 1] >= least:
+            first += 1
+        enough = last - first + 1 >= width and before[last + 1] - before[first] >= least
+        # first has the shortest run back from last; for each start from next_start, this is the shortest run forward
+        spans += [(k, last) for k in range(min(next_start, first), first + 1)] if enough else []
     for k, (start, end, own, n) in enumerate(found):
         if n >= long:
             yield start, end, xxh3_128_digest(own.encode("utf-8", "surrogatepass"))
-        span = found[k : k + width]
-        if len(span) == width and sum(s[3] for s in span) >= least:
-            yield start, span[-1][1], xxh3_128_digest("\n".join(s[2] for s in span).encode("utf-8", "surrogatepass"))
+    for k, last in spans:
+        yield found[k][0], found[last][1], xxh3_128_digest("\n".join(s[2] for s in found[k : last + 1]).encode("utf-8", "surrogatepass"))
 
 
 def _runs_table(docs: DataFrame, width: int, least: int, long: int, places: bool) -> DataFrame:

@@ -122,6 +122,51 @@ def test_substring_dedup_by_brute_force(spark, where, request):
     assert got == want
 
 
+def _aligned_repeats(rows):
+    """The words that are left of every document: word by word, from each sentence's start, equal texts are followed as far as they go."""
+    docs = []
+    for key, text in sorted((r[0], r[1]) for r in rows if r[1]):
+        words = [(m[1], bool(not m[2] or re.search(r"[\n\v\f\r]", m[2]) or (m[1][-1] in ".!?" and m[2][0] in " \t"))) for m in re.finditer(r"(\S+)(\s*)", text)]
+        docs.append((key, words, [i for i in range(len(words)) if i == 0 or words[i - 1][1]], set()))
+    at = defaultdict(list)
+    for d, (_, words, starts, _) in enumerate(docs):
+        for i in starts:
+            at[tuple(words[i : i + 16])].append((d, i))
+    for head, places in at.items():
+        for n, (d, i) in enumerate(places if len(head) == 16 else []):
+            for e, j in places[:n]:
+                own, other, size, whole, ends = docs[d][1], docs[e][1], 0, 0, 0
+                while i + size < len(own) and j + size < len(other):
+                    if own[i + size] != other[j + size]:
+                        break
+                    size += 1
+                    if own[i + size - 1][1]:
+                        whole, ends = size, ends + 1
+                        if ends == 1 and whole >= 25 or ends > 1 and whole >= 16:
+                            docs[d][3].update(range(i, i + whole))
+    return Counter((key, tuple(w for n, (w, _) in enumerate(words) if n not in gone)) for key, words, _, gone in docs)
+
+
+def test_substring_dedup_by_words(spark):
+    """Passages of short sentences and short lines too, against a search that knows no runs."""
+    rng = np.random.default_rng(5)
+    verse = "\n".join(f"line {i} of verse" for i in range(14))
+    items = "\n".join(f"item{i}" for i in range(60))
+    talk = " ".join(f"Yes{i}. No{i}! Why?" for i in range(20))
+    tail = " ".join(f"long{i}" for i in range(20)) + ". Short end. So be it. "
+    rows = [(n, f"Own start {n}.\n{x}\nOwn end {n}.") for n, x in enumerate([verse, items, talk, verse, items, talk, f"{tail}Then {verse}", tail])]
+    small = ["a b c.", "d.", "e f!", "g\n", "h i j k l m n o p q.", "r s t u v w x y z a b c d e f g h i j k l m n o p q."]
+    rows += [(100 + n, " ".join(small[i] for i in rng.integers(0, len(small), 40))) for n in range(30)]
+    got = {r["id"]: r["text"] for r in substring_dedup.cut_repeats(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert Counter((k, tuple(t.split())) for k, t in got.items()) == _aligned_repeats(rows)
+    for n in (3, 4, 5):
+        assert got[n].split() == f"Own start {n}. Own end {n}.".split()
+    assert got[7].split() == "Own start 7. Own end 7.".split()
+    real = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = Counter((r["doc_id"], tuple(r["text"].split())) for r in substring_dedup.op3_substring_dedup(spark, SF).collect() if r["text"] or r["removed_chars"])
+    assert got == _aligned_repeats(real)
+
+
 def test_planted_passages_go_and_clean_texts_stay(spark):
     passage = "It was a bright cold day in April and the clocks were striking thirteen as he slipped in. His chin was nuzzled into his breast to escape the vile wind that blew. Nobody saw him come through the glass doors of the mansions that day, though not quickly enough to keep the swirl of dust from entering along with him."
     rows = [(i, f"Own beginning number {i} of this text. {passage} Own ending number {i} of it.") for i in range(5)] + [(9, "A clean text that nobody else has. It is short and it stays. Yes. Yes. Yes.")]
