@@ -42,6 +42,12 @@ def test_gives_rows(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_of_index_search(spark, size):
+    want, got = ({tuple(r) for r in registry.QUERIES[name](spark, f"/root/testdata/{size}").select("query_id", "vec_id").collect()} for name in ("knn_exact", "knn_ivf"))
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_contract(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
