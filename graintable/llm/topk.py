@@ -2,12 +2,12 @@
 
 The vectors with the largest inner products are the nearest ones once each data vector gets one more coordinate that makes all lengths
 equal (and queries a zero there): d^2 = |q|^2 + M^2 - 2 q.s. Around a fixed number of pivots, data and queries fall into cells. Each
-cell of data is summed up by how many vectors it has and its smallest distances to the pivot; with the triangle inequality the
+cell of data is summed up by the smallest distances to the pivot that k + 1 different ids have in it; with the triangle inequality the
 summaries bound the distance within which a query group's k nearest must lie, before any pair is compared (Lu et al., 2012). Data are
 packed into blocks of BLOCK vectors of a cell; a block goes only to the query groups that its distance bounds cannot rule out, and
 meets their queries, in blocks too, in one matrix product. Each meeting keeps k rows a query, and the k best of these are the answer.
 
-A cell is split into as many blocks as it needs, so that neither a popular cell nor many equal vectors fill one task. Pivots and
+A cell is split into as many blocks as it needs, so that neither a popular cell nor many equal ids, vectors or rows fill one task. Pivots and
 summaries are of fixed size (PIVOTS, and PIVOTS times k + 1 distances). Products are exact: floats are used only while all sums stay below
 2 ** 53, else 64-bit integers.
 
@@ -78,36 +78,37 @@ def top_k(data: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS, blo
 
     def cells(lifted: bool):
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            n = 0
             for part in parts:
                 for at in range(0, len(part), 4096):
                     some = part.iloc[at : at + 4096]
                     x = _matrix(some["v"], dim)
                     d = _distances(x, lift(x) if lifted else np.zeros(len(x)), centres)
                     near = d.argmin(1)
-                    yield pd.DataFrame({"id": some["id"].to_numpy(), "v": some["v"].to_numpy(), "cell": near, "d": d[np.arange(len(x)), near]})
+                    yield pd.DataFrame({"id": some["id"].to_numpy(), "v": some["v"].to_numpy(), "cell": near, "d": d[np.arange(len(x)), near], "n": np.arange(n, n + len(x))})
+                    n += len(x)
 
         return run
 
-    kind = "id long, v array<long>, cell int, d double"
+    kind = "id long, v array<long>, cell int, d double, n long"
     own = durable(data.mapInPandas(cells(True), kind), "knn-data")
     asked = durable(queries.mapInPandas(cells(False), kind), "knn-queries")
 
-    # summaries: of each cell of data its size and its k + 1 smallest distances to the pivot
+    # summaries: of each cell of data the k + 1 smallest distances of different ids to the pivot; rows of a query's own id are no neighbours of it
     def nearest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        least: dict[int, np.ndarray] = {}
+        least = pd.DataFrame({"cell": np.zeros(0, "int32"), "id": np.zeros(0, "int64"), "d": np.zeros(0)})
         for part in parts:
-            for cell, d in part.groupby("cell")["d"]:
-                least[cell] = np.sort(np.concatenate([least.get(cell, np.zeros(0)), d.to_numpy()]))[: k + 1]
-        yield pd.DataFrame([(c, x) for c, d in least.items() for x in d], columns=["cell", "d"]).astype({"cell": "int32", "d": "float64"})
+            least = pd.concat([least, part]).groupby(["cell", "id"], as_index=False)["d"].min().sort_values(["d", "id"]).groupby("cell").head(k + 1)
+        yield least
 
-    ranked = own.select("cell", "d").mapInPandas(nearest, "cell int, d double").withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("d")))
-    near = ranked.filter(F.col("r") <= k + 1).select("cell", "d").toPandas()
+    ranked = own.select("cell", "id", "d").mapInPandas(nearest, "cell int, id long, d double").groupBy("cell", "id").agg(F.min("d").alias("d")).withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("d", "id")))
+    near = ranked.filter(F.col("r") <= k + 1).select("cell", "id", "d").toPandas()
     between = _distances(base, lift(base), centres)
     # a query has no lift, so its distance to a pivot is taken as it is
     reach = {r["cell"]: (r["near"], r["far"]) for r in asked.groupBy("cell").agg(F.min("d").alias("near"), F.max("d").alias("far")).collect()}
     limit = {}
     for cell, (_, far) in reach.items():
-        bounds = np.sort(far + between[cell][near["cell"].to_numpy(int)] + near["d"].to_numpy())
+        bounds = np.sort(pd.Series(far + between[cell][near["cell"].to_numpy(int)] + near["d"].to_numpy()).groupby(near["id"].to_numpy()).min().to_numpy())
         limit[cell] = bounds[k] + slack if len(bounds) > k else np.inf
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
@@ -118,10 +119,10 @@ def top_k(data: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS, blo
         return pd.DataFrame(out, columns=["cell", "near", "far", "ids", "vectors"])
 
     def blocks_of(rows: DataFrame) -> DataFrame:
-        """Each cell cut by hash into slices of about ``block`` rows."""
+        """Each cell cut by hash into slices of about ``block`` rows; n, a row's number in its task, tells equal rows apart."""
         counts = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}  # one row for each pivot
         slices = F.create_map(*[F.lit(int(x)) for c, n in counts.items() for x in (c, -(-n // block))])
-        return rows.withColumn("slice", F.pmod(F.xxhash64("id"), slices[F.col("cell")])).groupBy("cell", "slice").applyInPandas(pack, packed)
+        return rows.withColumn("slice", F.pmod(F.xxhash64("id", "v", "n"), slices[F.col("cell")])).groupBy("cell", "slice").applyInPandas(pack, packed)
 
     packed = "cell int, near double, far double, ids binary, vectors binary"
 

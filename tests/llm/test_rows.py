@@ -161,3 +161,11 @@ def test_topk_odd_vectors(spark, tmp_path):
                 best = sorted((-sum(a * b for a, b in zip(qv, v, strict=False)), i) for i, v in plain if i != q)[:20]
                 want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
         assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want
+
+
+def test_topk_repeated_ids(spark):
+    """A query's own rows are its nearest by far, and the blocks of other cells must still be searched."""
+    rows = [(0, [1000, 0])] * 6 + [(i, [500 + i, 10 * i]) for i in range(1, 6)]
+    data = spark.createDataFrame(rows, "id long, v array<long>")
+    got = topk.top_k(data, data.filter("id = 0").limit(1), 3, pivots=20).collect()
+    assert {(r["rank"], r["vec_id"], r["score"]) for r in got} == {(1, 5, 505_000), (2, 4, 504_000), (3, 3, 503_000)}
