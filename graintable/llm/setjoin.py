@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..durable import durable
 
 RATIO = 1.02
-FEW = 16  # nodes of a key of which all pairs are written out
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -41,18 +40,3 @@ def prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
     large = each.filter(F.col("pos") <= n - _needed(n, smallest, percent) + 1).select("member", "class", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
     met = small.join(large, ["member", "class"]).filter((F.col("c_a") != F.col("c_b")) & (F.col("n_a") <= F.col("n_b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def open_keys(placed: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """placed: key, node, component. What is left to compare in keys with nodes of several components.
-
-    Gives the pairs (a < b, of different components) of keys with at most FEW nodes, and the nodes (node, component) of all larger
-    ones, whose pairs are found by their rarest members instead.
-    """
-    counted = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
-    several = counted.filter("low <> high").select("key", (F.col("members") <= FEW).alias("few"))
-    rows = durable(placed.join(several, "key"), f"{name}-open")
-    few = rows.filter("few")
-    left, right = (few.select("key", F.col("node").alias(f"node_{s}"), F.col("component").alias(f"component_{s}")) for s in "ab")
-    pairs = left.join(right, "key").filter("component_a < component_b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    return pairs, durable(rows.filter("NOT few").select("node", "component").distinct(), f"{name}-loose")

@@ -175,16 +175,21 @@ def test_planted_passages_go_and_clean_texts_stay(spark):
     assert all("bright cold day" not in got[i] and f"beginning number {i}" in got[i] for i in range(1, 5))
 
 
+def line_set(line):
+    return {line[k : k + 8] for k in range(len(line) - 7)} or {line}
+
+
 @pytest.mark.parametrize("where", [SF, "odd"])
 def test_line_dedup_by_brute_force(spark, where, request):
     d = where if where == SF else request.getfixturevalue(where)
     rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
     places, first = [], {}
     for key, text in sorted(((r[0] is not None, r[0] or 0), r[1] or "") for r in rows):
-        for k, line in line_dedup.lines(text):
-            places.append((key, k, line))
-            first.setdefault(line, (key, k))
-    sets = [(line_dedup._shingles(line), p) for line, p in first.items()]
+        for k, line in enumerate(text.split("\n")):
+            if line := line.strip():
+                places.append((key, k, line))
+                first.setdefault(line, (key, k))
+    sets = [(line_set(line), p) for line, p in first.items()]
     groups = Groups()
     for _, p in sets:
         groups.find(p)
@@ -203,22 +208,51 @@ def test_line_dedup_by_brute_force(spark, where, request):
 
 
 def test_band_heads_across_batches(spark):
+    """Ranked keys: the head of a key has its smallest rank."""
     rng = np.random.default_rng(8)
-    rows = [(int(k), int(n)) for k, n in zip(rng.integers(0, 40, 900), rng.integers(0, 30, 900), strict=True)] + [(99, n % 500) for n in range(1000)] + [(100 + n, n) for n in range(50)]
+    rows = [(int(k), int(r), int(n)) for k, r, n in zip(rng.integers(-20, 20, 900), rng.integers(1, 256, 900), rng.integers(0, 30, 900), strict=True)]
+    rows += [(99, 1 + n % 255, n % 500) for n in range(1000)] + [(99, 0, 123)] + [(100 + n, n, n) for n in range(50)] + [(7000, n, 5) for n in range(40)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        got = [tuple(r) for r in line_dedup.with_heads(spark.createDataFrame(rows, "key long, node long")).collect()]
+        got = [tuple(r) for r in line_dedup.with_heads(spark.createDataFrame([(k * 256 + r, n) for k, r, n in rows], "key long, node long")).collect()]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    nodes = defaultdict(set)
-    for k, n in rows:
+    nodes, best = defaultdict(set), {}
+    for k, r, n in rows:
         nodes[k].add(n)
+        best[k] = min(best.get(k, 256), r)
     want = {k: v for k, v in nodes.items() if len(v) > 1}
-    assert Counter((k, n) for k, n, _ in got) == Counter((k, n) for k, v in want.items() for n in v)
-    assert all(len({h for k2, _, h in got if k2 == k}) == 1 and next(h for k2, _, h in got if k2 == k) in v for k, v in want.items())
-
-
-def test_lines_of_a_large_family(spark):
+    assert {(k, n) for k, n, _ in got} == {(k, n) for k, v in want.items() for n in v}
+    for key in want:
+        heads = {h for k, _, h in got if k == key}
+        assert len(heads) == 1 and heads <= {n for k, r, n in rows if k == key and r == best[key]}
+        assert sum(n == h for k, n, h in got if k == key) == 1
+
+
+def test_line_sets_in_blocks(monkeypatch):
+    """Sizes, sketches and comparisons don't depend on which lines are worked on together."""
+    rng = np.random.default_rng(11)
+    found = ["".join(rng.choice(list("abcé日😀 "), rng.integers(1, 60))) for _ in range(700)] + ["x", "x" * 7, "x" * 8, "x" * 90_000]
+    other = [line[:-3] + "zz" if k % 2 else line + "y" for k, line in enumerate(found)]
+    want = [len(line_set(a) & line_set(b)) * 100 >= 80 * len(line_set(a) | line_set(b)) for a, b in zip(found, other, strict=True)]
+    for block, together in ((1 << 15, 256), (100, 3), (1 << 20, 200)):
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        monkeypatch.setattr(line_dedup, "TOGETHER", together)
+        assert line_dedup.similar(found, other, 80).tolist() == want and 100 < sum(want) < 600
+        sizes, bits = line_dedup.sketches(found)
+        assert sizes.tolist() == [len(line_set(x)) for x in found]
+        keys = line_dedup.band_keys(found)
+        if block != 1 << 15:
+            assert (bits == before[0]).all() and (keys == before[1]).all()
+        before = bits, keys
+    flipped = np.unpackbits((line_dedup.sketches(found)[1] ^ line_dedup.sketches(other)[1]).view(np.uint8), axis=1).sum(1)
+    assert all(f <= len(line_set(a) ^ line_set(b)) for f, a, b in zip(flipped, found, other, strict=True))
+
+
+@pytest.mark.parametrize("most", [4096, 4])
+def test_lines_of_a_large_family(spark, monkeypatch, most):
+    """With few and with many lines a band: all pairs of a band, or those with rare shingles in common."""
+    monkeypatch.setattr(line_dedup.open_pairs, "__defaults__", (80, most))
     rng = np.random.default_rng(9)
     base = [f"word{i}" for i in range(60)]
     rows = []
@@ -227,7 +261,7 @@ def test_lines_of_a_large_family(spark):
         for at in rng.choice(60, rng.integers(0, 8), replace=False):
             words[at] = f"edit{rng.integers(0, 300)}"
         rows.append((n, " ".join(words)))
-    sets, groups = [line_dedup._shingles(t) for _, t in rows], Groups()
+    sets, groups = [line_set(t) for _, t in rows], Groups()
     for a in range(120):
         groups.find(a)
         for b in range(a + 1, 120):
