@@ -35,7 +35,7 @@ SHINGLE, PERCENT = 8, 80  # the first a power of 2
 ROWS, BANDS = 3, 10
 BLOCK = 1 << 15  # characters that are hashed together
 TOGETHER = 256  # lines whose sets are made together
-SKETCH = 512
+SKETCH = 1024
 MOST = 4096  # lines of a band of which all pairs are looked at in one join
 SEEN = 500_000  # lines whose bands a task remembers to have given already
 SALTS = 8  # tasks that the lines of one component are dealt to
@@ -325,9 +325,12 @@ def open_pairs(placed: DataFrame, found: DataFrame, percent: int = PERCENT, most
     counted = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
     several = counted.filter("low <> high and members > 2").select("key", (F.col("members") <= most).alias("few"))
     rows = durable(placed.join(several, "key"), "line-open")
-    few = durable(rows.filter("few").join(found.drop("line"), "node"), "line-few")
-    left, right = (_side(few, s, "key", F.col("component").alias(f"c_{s}")) for s in "ab")
-    met = left.join(right, "key").filter((F.col("c_a") < F.col("c_b")) & _near(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    few = rows.filter("few").groupBy("node", "component").agg(F.sort_array(F.collect_set("key")).alias("keys")).join(found.drop("line"), "node")
+    few = durable(few.withColumn("key", F.explode("keys")), "line-few")
+    left, right = (_side(few, s, "key", F.col("component").alias(f"c_{s}"), F.col("keys").alias(f"keys_{s}")) for s in "ab")
+    # a pair of several bands is met in the first of them
+    here = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
+    met = left.join(right, "key").filter((F.col("c_a") < F.col("c_b")) & _near(percent) & here).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     loose = durable(rows.filter("NOT few").select("node", "component").distinct(), "line-loose")
     shingles = durable(members_of(found.join(loose.select("node"), "node", "left_semi").dropDuplicates(["node"])).join(loose, "node"), "line-shingles")
     rare = near_pairs(prefix_pairs(shingles, percent), found, percent)
