@@ -3,14 +3,15 @@
 The vocabulary file (tokenizers' JSON; its path is a parameter) must hold a BPE with the normaliser NFC, blanks to spaces, lower case,
 a byte-level alphabet and word ends ``</w>``, as ``word_bpe_49k.json`` does. A word's merges are found without merging:
 
-* An Aho-Corasick automaton over all tokens gives, in one pass, the tokens that start at each place of the word.
+* An Aho-Corasick automaton over all tokens gives, in one pass, the longest token that starts at each place of the word; a table gives
+  the next shorter token that a token begins with.
 * Going left to right, the longest token is taken that may follow the one before; where none may, the last token is given up for the
   next shorter one, and the place reached is marked dead, so no place is entered twice and the time is linear in the word.
 * Two tokens may be neighbours if no merge would have joined a piece at the end of the first with a piece at the start of the second
   while both existed. Which pairs are compatible is kept in a table, filled as pairs are met.
 
 The one chain of pairwise compatible tokens is what merging by rank gives (every merge joins tokens that earlier merges made;
-``Vocabulary`` checks this). Encodings of short words are kept per Python worker, up to CACHE words. Decoding concatenates the tokens' strings
+``Vocabulary`` checks this). Encodings of the short words met last are kept per Python worker (``Recent``). Decoding concatenates the tokens' strings
 from one byte string with a table of offsets.
 
 Texts are worked through in pieces of about PIECE characters cut at blanks, so memory doesn't follow the longest text; the columns
@@ -24,14 +25,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-CACHE = 200_000  # words of at most LONG characters
+CACHE = 150_000  # words of at most LONG characters in each half of a cache
 LONG = 48
 PAIRS = 250_000  # entries of the compatibility table in a worker
 PIECE = 1 << 18
@@ -54,6 +56,25 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+class Recent(dict):
+    """What ``make`` gives for a word. Words of up to LONG characters are kept, in two halves: when the new one is full, the old one, with all that wasn't asked for since, goes."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.make(word)
+        if len(word) <= LONG:
+            if len(self) >= CACHE:
+                self.old = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Vocabulary:
     """Tokens, merges and the tables made from them. Built once in a Python worker."""
 
@@ -80,23 +101,29 @@ class Vocabulary:
                 raise ValueError("every merge must join tokens made before it, and make a token of its own")
             self.rank[a, b] = rank
             self.parts[whole] = (rank, a, b)
-        self.automaton = ahocorasick.Automaton()
+        keys = {}
         for s, i in self.ids.items():
             if i in self.parts or len(self._bare(s)) == 1:  # no other token comes out of merging
                 key = self._bare(s) + MARK * s.endswith(END)
-                self.automaton.add_word(key, (len(key), i))
+                keys[key] = (len(key), i)
+        self.automaton = ahocorasick.Automaton()
+        self.shorter: dict[int, tuple[int, int] | None] = {}  # of a token: length and id of the longest token it begins with
+        for key, match in keys.items():
+            self.automaton.add_word(key, match)
+            self.shorter[match[1]] = next((keys[key[:n]] for n in range(len(key) - 1, 0, -1) if key[:n] in keys), None)
         self.automaton.make_automaton()
         self.compatible: dict[tuple[int, int], bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
         self.split_words = regex.compile(WORDS).findall
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.split_blanks = regex.compile(BLANK + "+").split
+        self.next_blank = regex.compile(BLANK).search
         self.alphabet = dict(enumerate(byte_alphabet()))
         encoded = [strings.get(i, "").encode() for i in range(self.size)]
         self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in encoded])]).astype(np.int64)
         self.bytes = np.frombuffer(b"".join(encoded), np.uint8)
-        self.words: dict[str, bytes] = {}  # encodings of pre-tokenized words
-        self.chunks: dict[str, bytes] = {}  # encodings of what stands between blanks
+        self.words = Recent(self._word)  # encodings of pre-tokenized words
+        self.chunks = Recent(self._chunk)  # encodings of what stands between blanks
 
     @staticmethod
     def _bare(token: str) -> str:
@@ -130,68 +157,53 @@ class Vocabulary:
     def encode_word(self, word: str) -> list[int]:
         """word: characters of the byte alphabet, without the end mark."""
         n = len(word) + 1
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        longest: list[tuple[int, int] | None] = [None] * n
         for end, match in self.automaton.iter(word + MARK):
-            starts[end + 1 - match[0]].append(match)  # shorter ones come first
-        table, dead = self.compatible, bytearray(n + 1)
-        tokens, places, at, open_here = [-1], [], 0, starts[0]
+            longest[end + 1 - match[0]] = match  # a longer one ends later
+        table, shorter, dead = self.compatible, self.shorter, bytearray(n + 1)
+        tokens, places, at, last, match = [], [], 0, -1, longest[0]
         while at < n:
-            last = tokens[-1]
-            while open_here:
-                length, token = open_here.pop()
-                if dead[at + length]:
-                    continue
-                ok = True if last < 0 else table.get((last, token))
-                if ok is None:
-                    if len(table) >= PAIRS:
-                        table.clear()
-                    ok = table[last, token] = self._meet(last, token)
-                if ok:
-                    tokens.append(token)
-                    places.append(at)
-                    at += length
-                    break
+            while match is not None:
+                length, token = match
+                if not dead[at + length]:
+                    ok = True if last < 0 else table.get((last, token))
+                    if ok is None:
+                        if len(table) >= PAIRS:
+                            table.clear()
+                        ok = table[last, token] = self._meet(last, token)
+                    if ok:
+                        tokens.append(token)
+                        places.append(at)
+                        at, last = at + length, token
+                        match = longest[at] if at < n else None
+                        break
+                match = shorter[token]
             else:
                 if not places:
                     raise ValueError(f"no encoding: {word!r}")
                 dead[at] = 1
-                tokens.pop()
-                at = places.pop()
-            open_here = starts[at] if at < n else None
-        return tokens[1:]
+                at, match = places.pop(), shorter[tokens.pop()]
+                last = tokens[-1] if tokens else -1
+        return tokens
 
     def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            mapped = word.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet)
-            found = np.array(self.encode_word(mapped), "<u4").tobytes()
-            if len(word) <= LONG:
-                if len(self.words) >= CACHE:
-                    self.words.clear()
-                self.words[word] = found
-        return found
+        mapped = word.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet)
+        tokens = self.encode_word(mapped)
+        return struct.pack(f"<{len(tokens)}I", *tokens)
 
     def _chunk(self, chunk: str) -> bytes:
         """chunk: characters between blanks, as they stand in the text."""
+        if chunk.isascii() and chunk.isalpha():
+            return self.words[chunk.lower()]
         if not chunk.isascii():
             # each character is lowered by itself: a final sigma becomes a plain one
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        return b"".join(map(self._word, self.split_words(chunk.lower())))
+        return b"".join(map(self.words.__getitem__, self.split_words(chunk.lower())))
 
     def _plain(self, text: str) -> bytes:
         # str.split() has four more blanks than the normaliser
-        chunks = text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else [x for x in self.split_blanks(text) if x]
-        known, out = self.chunks, []
-        for chunk in chunks:
-            found = known.get(chunk)
-            if found is None:
-                found = self._chunk(chunk)
-                if len(chunk) <= LONG:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[chunk] = found
-            out.append(found)
-        return b"".join(out)
+        chunks = text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else filter(None, self.split_blanks(text))
+        return b"".join(map(self.chunks.__getitem__, chunks))
 
     def encode(self, text: str | None) -> Iterator[bytes]:
         """The ids of a text as little-endian unsigned 32-bit integers, piece by piece."""
@@ -201,9 +213,8 @@ class Vocabulary:
                 continue
             at = 0
             while at < len(part):
-                end = at + PIECE
-                while end < len(part) and not part[end].isspace():
-                    end += 1
+                blank = self.next_blank(part, at + PIECE)
+                end = blank.start() if blank else len(part)
                 yield self._plain(part[at:end])
                 at = end
 
@@ -239,12 +250,12 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def encode_decode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
-    """``key``, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids themselves. ``path``: the vocabulary's place on every executor."""
+def encode_decode(df: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
+    """``key``, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids themselves. ``path``: the vocabulary's place on every executor (None: where the executor's package of public tokenizers has it)."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
+        vocab = vocabulary(path or default_path())
         for batch in batches:
             counts, encoded_hex, decoded_hex, kept = [], [], [], []
             for value in batch.column(1):
@@ -281,4 +292,4 @@ def default_path() -> str:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents, encoded and decoded."""
-    return encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), default_path())
+    return encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -298,6 +298,21 @@ def test_bpe_round_trip_and_random_words():
             assert ids.tolist() == want and vocab.decode(ids).decode() == tokenizer.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_cuts_long_texts_at_blanks_only(monkeypatch):
+    """Pieces and full caches don't change a text's ids, whatever characters Python takes for blanks."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(bpe.default_path())
+    for c in "\x1c\x1d\x1e\x1f\x85\xa0\u200b\u2028":
+        for text in ("a " * (bpe.PIECE // 2) + f"!!!{c}!!! end", "x" * (bpe.PIECE - 1) + f"{c}y z"):
+            got = np.frombuffer(b"".join(bpe.vocabulary(bpe.default_path()).encode(text)), "<u4")
+            assert got.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(bpe, "CACHE", 3)
+    vocab, text = bpe.Vocabulary(bpe.default_path()), " ".join(f"w{i % 5} v{i % 11}, u{i}" for i in range(200))
+    assert np.frombuffer(b"".join(vocab.encode(text)), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(vocab.words) <= 3 and len(vocab.words.old) <= 3
+
+
 def test_language_is_found_on_held_out_documents(spark):
     d = "/root/testdata/sf0.01"
     truth = {r[0]: r[1] for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").collect()}
