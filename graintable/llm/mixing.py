@@ -1,14 +1,14 @@
 """Mixing sources to target weights by hash thresholds.
 
-Every row has a hash that its key alone decides. A source's words are summed by hash bucket; the running sum over a source's buckets
+Every row has a hash that its key and text decide. A source's words are summed by hash bucket; the running sum over a source's buckets
 shows the bucket in which its budget ends. Only the rows of that bucket are summed again by the next bits of the hash, LEVELS times,
 until a bucket is one hash value. Rows below the threshold are taken; nothing is sorted but a source's histogram of at most
 2 ** BITS rows. Thresholds are nested: a larger budget takes a superset.
 
 A budget above the source's words takes every row once, and rows below the threshold of the remainder a second time.
 
-Defined cases: a null text has 0 words; a null source is a source of its own, the last; rows with equal keys stand or fall together
-(a null key counts as the word ``null``); a source without words has target 0 and takes nothing; an empty table gives an empty result.
+Defined cases: a null text has 0 words; a null source is a source of its own, the last; rows with equal keys and texts stand or fall together
+(a null key counts as the word ``null``, a null text as the empty one); a source without words has target 0 and takes nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..durable import durable
-from .text import HASH_BITS, key_hash, key_hash_sql, words
+from .text import HASH_BITS, key_hash, key_hash_sql, text_of, words
 
 BITS, LEVELS = 13, 4  # 4 x 13 bits are the whole hash
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
@@ -100,8 +100,13 @@ def _copies(h: Column, once: Column, threshold: Column) -> Column:
     return once.cast("int") + (h < threshold).cast("int")
 
 
+def _hash(docs: DataFrame, key: str) -> Column:
+    """The key alone need not tell rows apart: keys may be null or repeated."""
+    return key_hash(docs[key], F.md5(text_of(docs["text"])))
+
+
 def _sized(docs: DataFrame, key: str) -> DataFrame:
-    return durable(docs.select(F.col(key).alias("key"), "source", words(F.col("text")).alias("size"), key_hash(F.col(key)).alias("h")), "mixing-rows")
+    return durable(docs.select(F.col(key).alias("key"), "source", words(F.col("text")).alias("size"), _hash(docs, key).alias("h")), "mixing-rows")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -116,7 +121,7 @@ def mix(docs: DataFrame, key: str = "doc_id", weights: Sequence[float] = WEIGHTS
 def mixed(docs: DataFrame, key: str = "doc_id", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The rows of docs, with all their columns, as often as the mix takes them. The plan, a row for each source, is all that the texts are joined to."""
     plan = _plan(_sized(docs, key), weights, share, most).select(F.col("source").alias("_mix_source"), F.struct("once", "threshold").alias("_mix_plan"))
-    copies = _copies(key_hash(docs[key]), F.col("_mix_plan.once"), F.col("_mix_plan.threshold"))
+    copies = _copies(_hash(docs, key), F.col("_mix_plan.once"), F.col("_mix_plan.threshold"))
     joined = docs.join(plan, docs["source"].eqNullSafe(plan["_mix_source"]))
     return joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[docs[c] for c in docs.columns])
 
@@ -130,7 +135,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_sql(docs: str) -> str:
     """The common table expressions of DuckDB SQL for ``mix`` over the table ``docs``; the last, mixed, has doc_id, size, source_size, target and copies."""
     return f"""
-sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, {key_hash_sql("coalesce(doc_id::VARCHAR, 'null')")} AS h FROM {docs}),
+sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, {key_hash_sql("coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))")} AS h FROM {docs}),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sized GROUP BY source),
 weighed AS (SELECT *, [3.0, 1.0, 2.0][rank % 3 + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS most FROM totals),
 stepped AS (SELECT *, (sum(source_size) OVER ())::DOUBLE * 1.5 - coalesce(sum(most) OVER prior, 0) AS rest, (sum(weight) OVER ()) - coalesce(sum(weight) OVER prior, 0) AS weights
