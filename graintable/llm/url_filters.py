@@ -19,8 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)"
-PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)"
+# user information before the last @ is passed over; browsers take a backslash for a slash; a host may be an address in brackets, and end with dots
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/\\?#]*@)?(\[[^/\\?#\]]*\]|[^/\\:?#@\[]*[^/\\:?#@\[.])\.*(?:[:/\\?#]|$)"
+PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/\\?#]+[/\\]([^?#]*)"
 
 
 def host_of(url: Column) -> Column:
@@ -37,10 +38,10 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def candidate_rules(url: Column) -> Column:
     """The rules that could match an address, with their precedence, as an array of structs (rule, rank)."""
-    host, path = host_of(url), F.regexp_extract(url, PATH, 1)
+    host, path = host_of(url), F.concat(F.lit("/"), F.translate(F.regexp_extract(url, PATH, 1), "\\", "/"))
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.struct(F.concat(F.lit("domain:"), F.array_join(F.slice(labels, -k, k), ".")).alias("rule"), k.cast("long").alias("rank")))
-    parts = F.split(F.when(path == "", "/").otherwise(path), "/")
+    parts = F.split(path, "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.struct(F.concat(F.lit("prefix:"), host, F.array_join(F.slice(parts, 1, k), "/"), F.lit("/")).alias("rule"), (k + 10_001).cast("long").alias("rank")))
     exact = F.array(F.struct(F.concat(F.lit("host:"), host).alias("rule"), F.lit(10_000).cast("long").alias("rank")))
     return F.when(host.isNotNull(), F.concat(domains, exact, prefixes))
@@ -82,8 +83,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH captures AS (SELECT page_id, url, DATE '2024-01-01' + (page_id * 37 % 366)::INTEGER AS fetched, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)), '') AS host,
-    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)', 1) AS path FROM pages),
+WITH captures AS (SELECT page_id, url, DATE '2024-01-01' + (page_id * 37 % 366)::INTEGER AS fetched, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/\\?#]*@)?(\[[^/\\?#\]]*\]|[^/\\:?#@\[]*[^/\\:?#@\[.])\.*(?:[:/\\?#]|$)', 1)), '') AS host,
+    '/' || translate(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/\\?#]+[/\\]([^?#]*)', 1), '\', '/') AS path FROM pages),
 hosts AS (SELECT host, regexp_extract(url, '^[a-z]+://[^/]+(/[^/?#]+/)', 1) AS dir, length(host) * 29 + ascii(host) * 13 + ascii(substr(host, 4, 1)) * 7 AS number FROM captures WHERE host IS NOT NULL),
 rules AS (
     SELECT 'host:' || host AS rule, number + s.shift AS n, s.action FROM (SELECT DISTINCT host, number FROM hosts) h, (VALUES (0, 'block'), (90, 'withdraw'), (200, 'block')) s(shift, action) WHERE number % 3 = 0
@@ -94,7 +95,7 @@ spans AS (SELECT rule, action, day AS valid_from, lead(day) OVER (PARTITION BY r
 judged AS (SELECT c.page_id, s.rule, s.action,
       CASE WHEN s.rule LIKE 'domain:%' THEN len(string_split(s.rule, '.')) WHEN s.rule LIKE 'host:%' THEN 10000 ELSE 10000 + len(string_split(s.rule, '/')) END AS rank
     FROM captures c JOIN spans s ON s.action <> 'withdraw' AND s.valid_from <= c.fetched AND (s.valid_to IS NULL OR c.fetched < s.valid_to)
-      AND (s.rule = 'host:' || c.host OR (s.rule LIKE 'domain:%' AND ('.' || c.host) LIKE ('%.' || substr(s.rule, 8))) OR (s.rule LIKE 'prefix:%' AND starts_with(c.host || CASE WHEN c.path = '' THEN '/' ELSE c.path END, substr(s.rule, 8)))))
+      AND (s.rule = 'host:' || c.host OR (s.rule LIKE 'domain:%' AND ('.' || c.host) LIKE ('%.' || substr(s.rule, 8))) OR (s.rule LIKE 'prefix:%' AND starts_with(c.host || c.path, substr(s.rule, 8)))))
 SELECT c.page_id, c.url, c.fetched::VARCHAR AS fetched, coalesce(j.action, 'allow') AS verdict, j.rule
 FROM captures c LEFT JOIN (SELECT page_id, arg_max(action, rank) AS action, arg_max(rule, rank) AS rule FROM judged GROUP BY 1) j ON c.page_id = j.page_id
 """
