@@ -7,8 +7,9 @@ with HALF = 2, COUNT = 10 that is 0.99993, and more for every further chain of l
 
 Documents with equal sets are one class and are compared once. In a table, each class of a key is compared to the key's smallest
 class, not to all others; the links found are joined to components. Only keys that still hold several components are looked at
-again, and there every pair of classes in different components is compared, so no candidate pair that could join two components goes
-unchecked, and no key's pairs are all written out. Each comparison takes the whole sets (as 64-bit hashes).
+again: all of their classes are joined by their rarest shingles (``setjoin``, complete for the similarity), and the pairs of different components
+that this finds are compared. So no candidate pair that could join two components goes unchecked, and no key's pairs are all written out. Each
+comparison takes the whole sets (as 64-bit hashes).
 
 Defined cases: a null text or one without words has the empty set (n_shingles 0) and is linked with nothing; a text of fewer words than
 ``width`` has its whole sequence as its one shingle; a row with a null key has no component (null), is linked with nothing and kept; rows that
