@@ -16,12 +16,14 @@ no other; rows that share a key stand or fall together; a group without any key
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..durable import durable
+from ..durable import durable, shared_dir
 from .text import BLANKS, text_of
 
 KEYS_PER_BUCKET = 1 << 14
@@ -120,6 +122,11 @@ def _short(digests: pd.Series) -> np.ndarray:
 # --- the operator ---------------------------------------------------------------------------------------------------------------
 
 
+def digests(docs: DataFrame, side: int) -> DataFrame:
+    """docs: key, text. key, side, digest and h (a hash of the text as it is, to find it by)."""
+    return docs.select("key", F.lit(side).alias("side"), digest_of(F.col("text")).alias("digest"), F.xxhash64("text").alias("h"))
+
+
 def distinct_digests(rows: DataFrame) -> DataFrame:
     """rows: key, digest. One row for each digest: digest, rep (smallest key), n."""
     return rows.groupBy("digest").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n"))
@@ -129,14 +136,19 @@ def _bucket(buckets: int) -> Column:
     return F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long") % buckets
 
 
-def build_snapshot(groups: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """groups: digest, rep, n. Gives the snapshot's exact table and its filters (bucket, filter), both written."""
-    exact = durable(groups.withColumn("bucket", _bucket(buckets)), "snapshot")
+def write_snapshot(snapshot: DataFrame, path: str) -> None:
+    """snapshot: key, text. Written once to ``path``: its rows (key, side, digest, h), its exact buckets (digest, rep, n, bucket) and their filters. Batches are then screened against it without its texts being read."""
+    spark = snapshot.sparkSession
+    digests(snapshot, 0).write.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    buckets = max(1, rows.count() // KEYS_PER_BUCKET)
+    distinct_digests(rows).withColumn("bucket", _bucket(buckets)).write.parquet(f"{path}/exact")
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"bucket": part["bucket"].iloc[:1], "filter": [build_filter(np.unique(_short(part["digest"])))]})
+        return pd.DataFrame({"bucket": part["bucket"].iloc[:1], "filter": [build_filter(np.unique(_short(part["digest"])))], "buckets": [buckets]})
 
-    return exact, durable(exact.select("bucket", "digest").groupBy("bucket").applyInPandas(build, "bucket long, filter binary"), "filters")
+    exact = spark.read.parquet(f"{path}/exact").select("bucket", "digest")
+    exact.groupBy("bucket").applyInPandas(build, "bucket long, filter binary, buckets long").write.parquet(f"{path}/filters")
 
 
 def screen(groups: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
@@ -150,21 +162,30 @@ def screen(groups: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
     return groups.withColumn("bucket", _bucket(buckets)).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(look, schema)
 
 
-def dedup_batches(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
-    """Both: key, text. One row for each row of both: key, side (0 snapshot, 1 batch), digest, keep, n."""
-    both = snapshot.select("key", "text", F.lit(0).alias("side")).unionByName(batch.select("key", "text", F.lit(1).alias("side")))
-    rows = durable(both.select("key", "side", digest_of(F.col("text")).alias("digest")), "digests")
-    known, new = (distinct_digests(rows.filter(F.col("side") == side)) for side in (0, 1))
-    buckets = max(1, rows.count() // KEYS_PER_BUCKET)
-    exact, filters = build_snapshot(known, buckets)
-    screened = durable(screen(new, filters, buckets), "screened")
+def dedup_batches(snapshot: DataFrame, batch: DataFrame, path: str | None = None) -> DataFrame:
+    """Both: key, text. One row for each row of both: key, side (0 snapshot, 1 batch), digest, keep, n.
+
+    ``path``: where ``write_snapshot`` has written this very snapshot. Of its texts only those that meet a text of the batch are then read.
+    """
+    spark = batch.sparkSession
+    if path is None:
+        path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+        write_snapshot(snapshot, path)
+    known, exact, filters = (spark.read.parquet(f"{path}/{name}") for name in ("rows", "exact", "filters"))
+    incoming = durable(digests(batch, 1), "digests")
+    rows = known.unionByName(incoming)
+    buckets = filters.agg(F.coalesce(F.max("buckets"), F.lit(1))).first()[0]
+    screened = durable(screen(distinct_digests(incoming), filters.drop("buckets"), buckets), "screened")
     positive = screened.filter("maybe").drop("maybe").withColumnRenamed("rep", "new_rep").withColumnRenamed("n", "new_n")
     joined = durable(exact.drop("bucket").join(positive, "digest"), "positives")
 
-    # the texts of the two representatives, byte by byte; the same join at every size, as the positives grow with the batch
-    wanted = joined.select("digest", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("rep").alias("key")), F.struct(F.lit(1).alias("side"), F.col("new_rep").alias("key")))).alias("w")).select("w.side", F.col("w.key").alias("_key"), F.col("digest").alias("_digest"), F.lit(True).alias("_wanted"))
-    wanted = wanted.withColumnRenamed("side", "_side")
-    texts = both.select("key", "side", "text").join(wanted.hint("merge"), F.col("key").eqNullSafe(F.col("_key")) & (F.col("side") == F.col("_side")))
+    # a text of each of the two representatives, byte by byte; the same join at every size, as the positives grow with the batch
+    reps = joined.select("digest", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("rep").alias("key")), F.struct(F.lit(1).alias("side"), F.col("new_rep").alias("key")))).alias("w"))
+    reps = reps.select(F.col("digest").alias("_digest"), F.col("w.side").alias("_side"), F.col("w.key").alias("_key"))
+    found = rows.join(reps.hint("merge"), (F.col("digest") == F.col("_digest")) & (F.col("side") == F.col("_side")) & F.col("key").eqNullSafe(F.col("_key")))
+    wanted = found.groupBy("_digest", "_side", "_key").agg(F.min("h").alias("_h"))
+    both = snapshot.select("key", "text", F.lit(0).alias("side")).unionByName(batch.select("key", "text", F.lit(1).alias("side")))
+    texts = both.join(wanted.hint("merge"), (F.xxhash64("text") == F.col("_h")) & (F.col("side") == F.col("_side")) & F.col("key").eqNullSafe(F.col("_key")))
     texts = texts.select("_digest", normalised(F.col("text")).alias("text")).filter(F.unhex(F.sha2("text", 256)) == F.col("_digest"))
     equal = texts.groupBy("_digest").agg((F.min("text") == F.max("text")).alias("equal")).filter("equal").select(F.col("_digest").alias("digest"))
     met = joined.join(equal, "digest").select("digest", F.least("rep", "new_rep").alias("keep"), (F.col("n") + F.col("new_n")).alias("n"))
@@ -174,7 +195,7 @@ def dedup_batches(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
     alone = own.filter("n > 1").join(met, "digest", "left_anti")
     shared = met.select("digest", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), "keep", "n")
     groups = durable(alone.unionByName(shared), "groups")  # of two rows at least
-    out = rows.join(groups, ["digest", "side"], "left")
+    out = rows.drop("h").join(groups, ["digest", "side"], "left")
     return out.select("key", "side", "digest", F.when(F.col("n").isNull(), F.col("key")).otherwise(F.col("keep")).alias("keep"), F.coalesce("n", F.lit(1)).cast("long").alias("n"))
 
 

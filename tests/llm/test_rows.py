@@ -64,6 +64,13 @@ def test_mixing_by_brute_force(spark):
         assert own == size and target <= 2 * size and abs(taken - target) <= max(r["size"] for r in rows)
 
 
+def test_mixing_rows_without_keys(spark):
+    """Sources whose keys are null or all the same come near their targets too."""
+    rows = [(None, f"text {i} " * 5, "a") for i in range(400)] + [(7, f"text {i} " * 5, "b") for i in range(400)] + [(i, "plain words " * 5, "c") for i in range(400)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert len(got) == 3 and all(abs(r["taken"] - r["target"]) <= 20 for r in got)
+
+
 def test_targets_reshare_the_excess(spark):
     totals = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 20), (None, 30)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.targets(totals).collect()}
@@ -106,6 +113,27 @@ def test_fuse_filters_have_no_false_negatives(n):
     assert n < 1000 or len(blob) < 1.4 * n
 
 
+def test_a_snapshot_serves_many_batches(spark, tmp_path):
+    """Written once, then only read; batches with null and repeated keys, and a snapshot without rows."""
+    frame = lambda rows: spark.createDataFrame(rows, "key long, text string")
+    old = [(3, "one  text"), (4, "one text"), (9, "two"), (None, "three"), (9, "four"), (None, None)]
+    exact_dedup.write_snapshot(frame(old), f"{tmp_path}/s")
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    for new in ([(1, "one\ttext"), (7, "five"), (7, "five"), (8, "")], [(None, "two"), (None, "three"), (7, "four"), (7, "one text"), (None, "six")]):
+        groups = {}
+        for side, rows in ((0, old), (1, new)):
+            for key, text in rows:
+                groups.setdefault(" ".join((text or "").split()), []).append((key, side))
+        want = Counter()
+        for members in groups.values():
+            keep = min((k for k, _ in members if k is not None), default=None)
+            want.update((k, side, keep, len(members)) for k, side in members)
+        got = Counter((r["key"], r["side"], r["keep"], r["n"]) for r in exact_dedup.dedup_batches(frame(old), frame(new), f"{tmp_path}/s").collect())
+        assert got == want
+    assert {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")} == before
+    assert {(r["key"], r["keep"], r["n"]) for r in exact_dedup.dedup_batches(frame([]), frame(old)).collect()} == {(3, 3, 2), (4, 3, 2), (9, 9, 1), (None, None, 1)}
+
+
 def test_dropped_keys_are_copies(spark, odd):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     assert sorted(r[0] for r in exact_dedup.dropped(docs).collect()) == [2, 3, 5, 13]
@@ -125,7 +153,8 @@ def test_url_filters_follow_time_and_precedence(spark):
     asked = [
         ("http://www.bad.com/a", "2024-01-09", "allow"), ("http://www.bad.com/a", "2024-01-10", "block"), ("http://www.bad.com/a", "2024-02-10", "allow"), ("http://ok.bad.com/y", "2024-01-16", "allow"),
         ("http://OK.bad.com/x/z?q", "2024-01-21", "block"), ("http://notbad.com/", "2024-01-21", "allow"), ("http://tie.com", "2024-01-02", "block"), (None, "2024-01-21", "allow"), ("", "2024-01-21", "allow"),
-        ("no address", "2024-01-21", "allow"), ("http://www.bad.com/a", None, "allow"), ("http://n.com/", "2024-05-01", "allow"), ("http://www.bad.com/a", "2024-01-10", "block"),
+        ("http://user:pw@bad.com/x", "2024-01-10", "block"), ("http://user@BAD.com./x", "2024-01-10", "block"), ("http://bad.com@good.org/", "2024-01-10", "allow"), ("http://bad.com:8080", "2024-01-10", "block"),
+        ("http://bad.com\\@good.org/", "2024-01-10", "block"), ("http://[::1]:80/x", "2024-01-10", "allow"), ("http://" + "a" * 50_000 + ".bad.com/" + "b/" * 2000, "2024-01-10", "block"), ("no address", "2024-01-21", "allow"), ("http://www.bad.com/a", None, "allow"), ("http://n.com/", "2024-05-01", "allow"), ("http://www.bad.com/a", "2024-01-10", "block"),
     ]
     captures = spark.createDataFrame([(i, u, f) for i, (u, f, _) in enumerate(asked)], "capture_id int, url string, fetched string").withColumn("fetched", F.to_date("fetched")).withColumn("rule", F.lit("clash"))
     got = {r["capture_id"]: r["verdict"] for r in url_filters.judge(captures, entries).collect()}
@@ -145,27 +174,40 @@ def test_topk_odd_vectors(spark, tmp_path):
     rows += [(600, None), (620, [float("nan"), 1.0]), (640, [float("inf"), 1.0]), (660, [None, 1.0]), (680, []), (700, [3.0]), (720, [1e4, -1e4, 0.0]), (40, [1.0] * 5), (None, [1.0] * 5)]
     d = write(spark, tmp_path, rows, "vec_id long, embedding array<float>", False, "embeddings")
     usable = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    want = set()
-    for q, qv in usable:
+    assert sum(i == 40 for i, _ in usable) == 2  # two queries of one id, each the other's candidate
+    want = Counter()
+    for n, (q, qv) in enumerate(usable):
         if q % 20 == 0:
-            scores = sorted(((-sum(a * b for a, b in zip(qv, v, strict=False)), i) for i, v in usable if i != q))[:20]
-            want |= {(q, n + 1, -s) for n, (s, _) in enumerate(scores)}
-    data = topk.quantised(spark.read.parquet(f"{d}/embeddings.parquet"), "vec_id", "embedding")
+            best = sorted((-sum(a * b for a, b in zip(qv, v, strict=False)), i) for m, (i, v) in enumerate(usable) if m != n)[:20]
+            want.update((q, rank + 1, i, -s) for rank, (s, i) in enumerate(best))
+    data = topk.quantised(spark.read.parquet(f"{d}/embeddings.parquet").withColumns({c: F.lit(1) for c in ("id", "v", "cell", "row", "n", "d")}), "vec_id", "embedding")
     for options in ({}, {"pivots": 3, "block": 16}):
-        # 40 is there twice, so its queries are answered twice under one id; both are the same list in turn
-        got = topk.top_k(data.filter("NOT (id = 40 AND v[0] = 64)"), data.filter("id % 20 = 0 AND NOT (id = 40 AND v[0] = 64)"), 20, **options).collect()
-        plain = [(i, v) for i, v in usable if not (i == 40 and v[0] == 64)]
-        want = set()
-        for q, qv in plain:
-            if q % 20 == 0:
-                best = sorted((-sum(a * b for a, b in zip(qv, v, strict=False)), i) for i, v in plain if i != q)[:20]
-                want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
-        assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want
-
-
-def test_topk_repeated_ids(spark):
-    """A query's own rows are its nearest by far, and the blocks of other cells must still be searched."""
+        got = topk.top_k(data, data.filter("id % 20 = 0"), 20, **options).collect()
+        assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
+
+
+def test_topk_repeated_rows(spark):
+    """Of a query's six equal rows five are its nearest; the blocks of other cells must still be searched."""
     rows = [(0, [1000, 0])] * 6 + [(i, [500 + i, 10 * i]) for i in range(1, 6)]
     data = spark.createDataFrame(rows, "id long, v array<long>")
-    got = topk.top_k(data, data.filter("id = 0").limit(1), 3, pivots=20).collect()
-    assert {(r["rank"], r["vec_id"], r["score"]) for r in got} == {(1, 5, 505_000), (2, 4, 504_000), (3, 3, 503_000)}
+    got = topk.top_k(data, data.filter("id = 0"), 7, pivots=20).collect()
+    want = [(rank, 0, 1_000_000) for rank in range(1, 6)] + [(6, 5, 505_000), (7, 4, 504_000)]
+    assert Counter((r["rank"], r["vec_id"], r["score"]) for r in got) == Counter(want * 6)
+
+
+def test_topk_rules_out_far_blocks(spark):
+    """Tight clusters on a sphere: most blocks go to few query cells, and the answer is the plain one."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 6))
+    centres *= 1000 / np.linalg.norm(centres, axis=1)[:, None]
+    rows = [(i, [int(x) for x in centres[i % 20] + rng.normal(size=6)]) for i in range(2000)]
+    data = spark.createDataFrame(rows, "id long, v array<long>")
+    asked = data.filter("id % 20 = 0 OR id % 20 = 7")
+    dealt, query_blocks, _, _ = topk.meetings(data, asked, 5, pivots=32, block=64)
+    assert dealt.count() < 0.5 * query_blocks.select("cell").distinct().count() * len(rows) / 64
+    m = np.array([v for _, v in rows])
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(data, asked, 5, pivots=32, block=64).collect()}
+    for i in [r["id"] for r in asked.collect()]:
+        scores = m @ m[i]
+        best = [j for j in np.lexsort((np.arange(2000), -scores)) if j != i][:5]
+        assert [got[i, n + 1] for n in range(5)] == [(j, scores[j]) for j in best]
