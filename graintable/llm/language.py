@@ -2,7 +2,7 @@
 
 Features: letters in lower case, everything else a blank, blanks collapsed; n-grams of 1 to 3 characters hashed to 2 ** BITS buckets;
 TF-IDF with unit length. Document frequencies cover every training document. The model, a multinomial logistic regression, is trained
-on a bounded sample: at most SAMPLE documents in all, evenly by language, chosen by a hash of the key. Training is follow the
+on a bounded sample: SAMPLE documents in expectation, evenly by language, chosen by a hash of key and text, of repeated rows one. Training is follow the
 regularised leader with per-coordinate steps (McMahan et al., 2013) under an L1 and an L2 penalty, so most weights are zero; a
 quarter of the sample is set aside to find the temperature that makes the scores probabilities.
 
@@ -88,7 +88,7 @@ class Model:
             return UNKNOWN, 0.0
         hit = np.flatnonzero(counts)
         x = counts[hit] * self.idf[hit]
-        logits = (x @ self.weights[hit] / max(np.sqrt(x @ x), 1e-12) + self.bias) / self.temperature
+        logits = (counts[hit] @ self.weights[hit] / max(np.sqrt(x @ x), 1e-12) + self.bias) / self.temperature
         p = np.exp(logits - logits.max())
         best = int(p.argmax())
         return self.languages[best], float(p[best] / p.sum())
@@ -164,7 +164,9 @@ def train(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> Model:
     idf = np.log((1 + df[0]) / (1 + df[1:])) + 1
 
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, sample / len(languages) / counts[lang]))])
-    chosen = rows.filter(key_hash(F.lit("language"), F.col("key")) < share[F.col("lang")] * float(2**HASH_BITS)).select("lang", "text", key_hash(F.lit("fold"), F.col("key")).alias("h"))
+    place = key_hash(F.lit("language"), F.col("key"), F.md5(F.coalesce("text", F.lit(""))))
+    chosen = rows.withColumn("place", place).filter(F.col("place") < share[F.col("lang")] * float(2**HASH_BITS))
+    chosen = chosen.groupBy("place").agg(F.first("lang").alias("lang"), F.first("text").alias("text")).select("lang", "text", key_hash(F.lit("fold"), F.col("place")).alias("h"))
 
     def vectors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

@@ -4,14 +4,17 @@ import hashlib
 import math
 import re
 import struct
+import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graintable.llm import bpe, components, language, line_dedup, minhash, setjoin, substring_dedup
+from graintable.llm import bpe, components, language, line_dedup, minhash, mixing, setjoin, substring_dedup
 
 from .conftest import ROWS
 
@@ -335,6 +338,47 @@ def test_language_odd_cases(spark, odd, empty):
     assert kept.columns == docs.columns and {4, 5, 6, 7} & {r["doc_id"] for r in kept.collect()} == set()
 
 
+def plain_grams(text):
+    """Counts of the buckets of all n-grams, one string at a time; None without a letter."""
+    s = "".join(c if c.isalpha() else " " for c in text.lower())
+    if not s.strip():
+        return None
+    s, out = " " + " ".join(s.split()) + " ", Counter()
+    for n in (1, 2, 3):
+        for i in range(len(s) - n + 1):
+            h = 0
+            for c in s[i : i + n]:
+                h = (h * 0x2545F4914F6CDD1 + (ord(c) if c != " " else 0) * 0x9E3779B97F4A7C1) % 2**64
+            out[h >> 31 & (1 << 15) - 1] += 1
+    return out
+
+
+def test_language_by_brute_force(spark):
+    """Document frequencies, TF-IDF, logits and scores worked out one text at a time, with the weights that training gave."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.train(docs)
+    rows = docs.select("doc_id", "text", "lang").collect()
+    counts = {r["doc_id"]: plain_grams(r["text"] or "") for r in rows}
+    learned = [counts[r["doc_id"]] for r in rows if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 and counts[r["doc_id"]]]
+    df = Counter(b for c in learned for b in c)
+    idf = {b: math.log((1 + len(learned)) / (1 + df[b])) + 1 for c in counts.values() if c for b in c}
+    assert all(math.isclose(model.idf[b], x, rel_tol=1e-6) for b, x in idf.items())
+    got = {r["doc_id"]: r for r in language.op6_language(spark, SF).collect()}
+    for r in rows:
+        found = got[r["doc_id"]]
+        assert found["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        c = counts[r["doc_id"]]
+        if c is None:
+            assert (found["lang_pred"], found["score"]) == ("und", 0.0)
+            continue
+        norm = math.sqrt(sum((n * idf[b]) ** 2 for b, n in c.items()))
+        # the model keeps idf times weight
+        logits = [(sum(n * idf[b] / norm * model.weights[b, k] / idf[b] for b, n in c.items()) + model.bias[k]) / model.temperature for k in range(len(model.languages))]
+        p = [math.exp(x - max(logits)) for x in logits]
+        best = max(range(len(p)), key=p.__getitem__)
+        assert found["lang_pred"] == model.languages[best] and math.isclose(found["score"], p[best] / sum(p), rel_tol=1e-4)
+
+
 def test_gram_counts_do_not_depend_on_pieces(monkeypatch):
     text = "Hallo  wörld 12 abc! " * 5
     whole = language.gram_counts(text)
@@ -396,5 +440,31 @@ def test_pipeline_by_brute_force(spark):
             if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 groups.join(a, b)
     assert {r[0] for r in stages["near_dedup"](spark, docs, d).select("doc_id").collect()} == {k for k in ids if groups.find(k) == k}
-    run = corpus_pipeline.run(spark, d)
-    assert run.columns[:2] == ["doc_id", "n_tokens"] and run.count() > 100
+
+
+def test_pipeline_composed(spark):
+    """All five stages together: texts by Python, the mixture by SQL, tokens by the library; only which language is found is taken from the stage."""
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    known = {r[0] for r in corpus_pipeline.identify_language(spark, docs, SF).select("doc_id").collect()}
+    rows = {r["doc_id"]: r for r in docs.collect() if r["doc_id"] in known}
+    first = {}
+    for k in sorted(rows):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", rows[k]["text"]), k)
+    sets = word_sets([(k, rows[k]["text"]) for k in first.values()], 5)
+    groups, ids = Groups(), sorted(sets)
+    for i, a in enumerate(ids):
+        groups.find(a)
+        for b in ids[i + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                groups.join(a, b)
+    kept = [rows[k] for k in ids if groups.find(k) == k]
+    con = duckdb.connect()
+    con.register("kept", pa.table({c: [r[c] for r in kept] for c in ("doc_id", "text", "source")}))
+    tokenizer, want = Tokenizer.from_file(bpe.default_path()), Counter()
+    for doc_id, copies in con.execute(f"WITH {mixing.mixed_sql('kept')[1:]} SELECT doc_id, copies FROM mixed").fetchall():
+        ids = tokenizer.encode(rows[doc_id]["text"], add_special_tokens=False).ids
+        want[doc_id, tuple(ids)] += copies
+    got = Counter((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, SF).collect())
+    assert got == +want and len(got) > 100
