@@ -25,7 +25,8 @@ KEYWORDS = {
 NAMED = {"information_price": ("信息价", "造价站", "政府指导价"), "manufacturer_price": ("厂商报价", "厂家报价", "品牌报价"), "zc_price": ("智诚",)}
 TIE_ORDER = ("zc_price", "manufacturer_price", "information_price")
 DISPLAY = {"information_price": "信息价", "manufacturer_price": "厂商报价", "zc_price": "智诚信息价", "unknown": "未知渠道"}
-BRAND_REASON = "检测到品牌信息"
+BRAND_REASON, ENTITY_MARK = "检测到品牌信息", "[实体特征]"
+REASON, NAMED_END, INFERRED_END = "根据关键词「", "」明确识别", "」推断"
 DEFAULT_REASON, DEFAULT_SUGGESTION = "未明确指定渠道，默认查询信息价（政府指导价）", "如需查询厂商报价或智诚信息价，请明确说明"
 UNKNOWN_REASON, UNKNOWN_SUGGESTION = "无法识别查询渠道", "请明确指定查询渠道：信息价、厂商报价、或智诚信息价"
 ASK_CHANNEL = "请明确指定查询渠道"
@@ -78,7 +79,7 @@ def infer_channel(questions: DataFrame, keywords: DataFrame) -> DataFrame:
     scores = keyword_scores(questions, keywords).join(entity_bonus(questions), ["question_id", "channel"], "full")
     total = F.coalesce("score", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))
     tie = F.array_position(F.array(*[F.lit(c) for c in TIE_ORDER]), F.col("channel"))
-    matched = F.concat(F.coalesce("matched", F.array().cast("array<string>")), F.when(F.col("bonus").isNotNull() & F.col("reason").isNotNull(), F.array("reason")).otherwise(F.array().cast("array<string>")))
+    matched = F.concat(F.coalesce("matched", F.array().cast("array<string>")), F.when(F.col("bonus").isNotNull() & F.col("reason").isNotNull(), F.array(F.concat(F.lit(ENTITY_MARK), "reason"))).otherwise(F.array().cast("array<string>")))
     best = scores.groupBy("question_id").agg(F.max(F.struct(F.round(total, 6).alias("score"), (-tie).alias("tie"), "channel", matched.alias("matched"))).alias("best"))
     joined = questions.join(best, "question_id", "left").withColumn("named", exact_channel(F.col("question")))
     score = F.col("best.score")
@@ -90,7 +91,7 @@ def infer_channel(questions: DataFrame, keywords: DataFrame) -> DataFrame:
         "question_id",
         F.when(named, F.col("named")).when(enough, F.col("best.channel")).when(has_name, "information_price").otherwise("unknown").alias("channel"),
         F.when(named, 1.0).when(enough, F.least(score / FULL_SCORE, F.lit(MOST))).when(has_name, DEFAULT_CONFIDENCE).otherwise(0.0).alias("confidence"),
-        F.when(named, first_word).when(enough, F.array_join(F.slice("best.matched", 1, 3), ", ")).when(has_name, DEFAULT_REASON).otherwise(UNKNOWN_REASON).alias("reason"),
+        F.when(named, F.concat(F.lit(REASON), first_word, F.lit(NAMED_END))).when(enough, F.concat(F.lit(REASON), F.array_join(F.slice("best.matched", 1, 3), ", "), F.lit(INFERRED_END))).when(has_name, DEFAULT_REASON).otherwise(UNKNOWN_REASON).alias("reason"),
         F.when(named, F.array(first_word)).when(enough, F.col("best.matched")).otherwise(none).alias("matched_keywords"),
         F.when(~named & ~enough, F.when(has_name, DEFAULT_SUGGESTION).otherwise(UNKNOWN_SUGGESTION)).alias("suggestion"),
     )

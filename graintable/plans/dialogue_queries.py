@@ -88,9 +88,20 @@ def dialogue_status(spark, d):
     return _states(spark, d).select("session_id", "turn", "status", "is_complete", "can_query", "completed")
 
 
-@query()
+_LINES_SQL = "concat_ws(chr(10), " + ", ".join(f"CASE WHEN {f} IS NOT NULL THEN '  ✅ {label}：' || {f} ELSE '  ⭕ {label}：{dialogue.UNSET}' END" for f, label, _ in dialogue.FIELDS) + ")"
+_PROMPT_SQL = "CASE missing[1] " + " ".join(f"WHEN '{f}' THEN '{prompt}'" for f, _, prompt in dialogue.FIELDS) + " END"
+_CHANNEL_SQL = "CASE coalesce(channel, '') " + " ".join(f"WHEN '{c}' THEN '{n}'" for c, n in dialogue.CHANNEL_NAMES.items()) + f" ELSE '{dialogue.UNKNOWN_CHANNEL}' END"
+
+
+@query(
+    f"""WITH {TURNS_SQL}, kinds AS (SELECT *, CASE WHEN NOT is_complete THEN 'ask field' WHEN status = 'ready' THEN 'done' WHEN coalesce(channel_confidence, 0) < {dialogue.SURE} THEN 'ask channel' ELSE 'offer' END AS kind FROM states)
+SELECT session_id, turn, CASE kind WHEN 'ask field' THEN {_PROMPT_SQL} WHEN 'done' THEN '信息已收集完整！' || chr(10) || '查询条件：' || chr(10) || {_LINES_SQL} || chr(10) || '正在为您查询...'
+    WHEN 'ask channel' THEN '收到，查询「' || materialName || '」的价格。' || chr(10) || '当前渠道：' || {_CHANNEL_SQL} || chr(10) || {_PROMPT_SQL}
+    ELSE '收到，查询「' || materialName || '」在' || coalesce(province, '{dialogue.EVERYWHERE}') || coalesce(city, '') || '的价格。' || chr(10) || chr(10) || '当前查询条件：' || chr(10) || {_LINES_SQL} || chr(10) || '您可以选择：' || chr(10) || '1. 直接查询（使用当前条件）' || chr(10) || '2. 补充更多信息' END AS response_text,
+  CASE kind WHEN 'done' THEN '{"|".join(dialogue.CONFIRM)}' WHEN 'offer' THEN '{"|".join(dialogue.CHOICES)}' WHEN 'ask field' THEN CASE missing[1] WHEN 'province' THEN '{"|".join(dialogue.QUICK["province"])}' WHEN 'city' THEN '{"|".join(dialogue.QUICK["city"])}' ELSE '' END ELSE '' END AS quick_options FROM kinds"""
+)
 def dialogue_response(spark, d):
-    return dialogue.dialogue_response(_states(spark, d)).select("session_id", "turn", "response_text", "quick_options")
+    return dialogue.dialogue_response(_states(spark, d)).select("session_id", "turn", "response_text", F.array_join("quick_options", "|").alias("quick_options"))
 
 
 @query(
@@ -130,9 +141,9 @@ def request_metrics(spark, d):
     return out.withColumns({c: F.round(c, 7) for c in ("mean_ttft_s", "mean_total_s", "tokens_per_s", "p50_total_s", "p95_total_s")})
 
 
-@query()
+@query(f"WITH {TURNS_SQL} SELECT session_id, turn, epoch, {', '.join(FIELD_OF)}, channel, channel_confidence, array_to_string(missing, ',') AS missing, status, is_complete FROM states")
 def stream_dialogue(spark, d):
-    """All turns through the streaming job, read as a stream of the events' file; the states of the last run."""
+    """All turns through the streaming job, read as a stream of the events' file: the state after each, as the replay has it."""
     import uuid
 
     from ..durable import shared_dir
@@ -141,15 +152,15 @@ def stream_dialogue(spark, d):
     # a stream reads a folder: that of the tables, and there the events alone
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d)
     out = f"{shared_dir(spark)}/dialogue-{uuid.uuid4().hex}"
-    states = dialogue.stream_dialogue(turns_of(events), TTL, late="400 days")
+    states = dialogue.stream_dialogue(turns_of(events), TTL, late="1 hour")
     states.writeStream.format("parquet").option("path", f"{out}/states").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/states")
+    return spark.read.parquet(f"{out}/states").drop("ts").withColumn("missing", F.array_join("missing", ","))
 
 
 # --- questions ------------------------------------------------------------------------------------------------------------------
 
 _WORDS = sorted(w for words in routing.KEYWORDS.values() for w in words)
-QUESTION = "CASE WHEN doc_id % 4 = 0 THEN {word1} WHEN doc_id % 4 = 1 THEN {word1} || {word2} WHEN doc_id % 4 = 2 THEN 'gb ' || {word2} ELSE '' END || substr(text, 1, 40)"
+QUESTION = "CASE WHEN doc_id % 4 = 0 THEN {word1} WHEN doc_id % 4 = 1 THEN {word1} || {word2} WHEN doc_id % 4 = 2 THEN 'gb ' || {word2} ELSE '' END || coalesce(text, '')"
 ENTITIES = {"brand": "CASE WHEN doc_id % 5 = 0 THEN 'b' ELSE '' END", "materialModelSpec": "CASE WHEN doc_id % 3 = 0 THEN 's' END", "materialName": "CASE WHEN doc_id % 2 = 0 THEN 'm' END",
             "startReleaseDate": "CASE WHEN doc_id % 7 = 0 THEN '2024-01-01' END", "endReleaseDate": "CASE WHEN doc_id % 11 = 0 THEN '2024-12-31' ELSE '' END"}
 
@@ -165,11 +176,13 @@ NAMED_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f'''contains(lower(question),
 SCORES_SQL = f"""{QUESTIONS_SQL}, {KEYWORDS_SQL}, scores AS (SELECT question_id, channel, round(sum(weight), 6) AS score, array_to_string(list(keyword ORDER BY ord), ',') AS matched FROM questions JOIN keywords ON contains(lower(question), lower(keyword)) GROUP BY ALL),
 flags AS (SELECT question_id, coalesce(brand, '') <> '' AS b, coalesce(materialModelSpec, '') <> '' AND coalesce(materialName, '') <> '' AS s, coalesce(startReleaseDate, '') <> '' OR coalesce(endReleaseDate, '') <> '' AS t FROM questions),
 bonuses AS (SELECT question_id, 'manufacturer_price' AS channel, 0.5::DOUBLE AS bonus, b FROM flags WHERE b UNION ALL SELECT question_id, 'information_price', CASE WHEN t THEN 0.1 ELSE 0.2 END::DOUBLE, b FROM flags WHERE t OR s UNION ALL SELECT question_id, 'zc_price', 0.15::DOUBLE, b FROM flags WHERE t),
-totals AS (SELECT coalesce(s.question_id, o.question_id) AS question_id, coalesce(s.channel, o.channel) AS channel, round(coalesce(score, 0) + coalesce(bonus, 0), 6) AS score, concat_ws(',', matched, CASE WHEN b THEN '{routing.BRAND_REASON}' END) AS matched FROM scores s FULL JOIN bonuses o ON s.question_id = o.question_id AND s.channel = o.channel),
+totals AS (SELECT coalesce(s.question_id, o.question_id) AS question_id, coalesce(s.channel, o.channel) AS channel, round(coalesce(score, 0) + coalesce(bonus, 0), 6) AS score, concat_ws(',', matched, CASE WHEN b THEN '[实体特征]检测到品牌信息' END) AS matched FROM scores s FULL JOIN bonuses o ON s.question_id = o.question_id AND s.channel = o.channel),
 best AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, CASE channel WHEN 'zc_price' THEN 1 WHEN 'manufacturer_price' THEN 2 ELSE 3 END) AS i FROM totals),
 inferred AS (SELECT q.question_id, CASE WHEN named IS NOT NULL THEN named WHEN score > 0.3 THEN b.channel WHEN materialName <> '' THEN 'information_price' ELSE 'unknown' END AS channel,
   CASE WHEN named IS NOT NULL THEN 1.0 WHEN score > 0.3 THEN least(score / 1.5, 0.95) WHEN materialName <> '' THEN 0.5 ELSE 0.0 END::DOUBLE AS confidence,
   CASE WHEN named IS NOT NULL THEN CASE named WHEN 'information_price' THEN '信息价' WHEN 'manufacturer_price' THEN '厂商报价' ELSE '智诚' END WHEN score > 0.3 THEN matched ELSE '' END AS matched_keywords,
+  CASE WHEN named IS NOT NULL THEN '根据关键词「' || CASE named WHEN 'information_price' THEN '信息价' WHEN 'manufacturer_price' THEN '厂商报价' ELSE '智诚' END || '」明确识别'
+    WHEN score > 0.3 THEN '根据关键词「' || array_to_string(list_slice(string_split(matched, ','), 1, 3), ', ') || '」推断' WHEN materialName <> '' THEN '未明确指定渠道，默认查询信息价（政府指导价）' ELSE '无法识别查询渠道' END AS reason,
   named IS NULL AND coalesce(score, 0) <= 0.3 AS unsure, materialName
   FROM (SELECT *, {NAMED_SQL} AS named FROM questions) q LEFT JOIN (SELECT * FROM best WHERE i = 1) b ON q.question_id = b.question_id)"""
 
@@ -199,9 +212,9 @@ def _inferred(spark: SparkSession, d: str) -> DataFrame:
     return routing.infer_channel(questions(spark, d), routing.keyword_table(spark))
 
 
-@query(f"WITH {SCORES_SQL} SELECT question_id, channel, round(confidence, 6) AS confidence, matched_keywords FROM inferred")
+@query(f"WITH {SCORES_SQL} SELECT question_id, channel, round(confidence, 6) AS confidence, reason, matched_keywords FROM inferred")
 def infer_channel(spark, d):
-    return _inferred(spark, d).select("question_id", "channel", F.round("confidence", 6).alias("confidence"), F.array_join("matched_keywords", ",").alias("matched_keywords"))
+    return _inferred(spark, d).select("question_id", "channel", F.round("confidence", 6).alias("confidence"), "reason", F.array_join("matched_keywords", ",").alias("matched_keywords"))
 
 
 NAME_SQL = "CASE channel " + " ".join(f"WHEN '{c}' THEN '{n}'" for c, n in routing.DISPLAY.items()) + " END"
@@ -209,7 +222,7 @@ NAME_SQL = "CASE channel " + " ".join(f"WHEN '{c}' THEN '{n}'" for c, n in routi
 
 @query(
     f"""WITH {SCORES_SQL}, told AS (SELECT *, CASE WHEN unsure THEN CASE WHEN materialName <> '' THEN '{routing.DEFAULT_SUGGESTION}' ELSE '{routing.UNKNOWN_SUGGESTION}' END END AS suggestion FROM inferred)
-SELECT question_id, channel, round(confidence, 6) AS confidence, CASE WHEN confidence >= 1 THEN '{routing.KNOWN}' || {NAME_SQL} WHEN confidence >= 0.7 THEN '{routing.INFERRED}' || {NAME_SQL} || '（' || array_to_string(list_slice(string_split(matched_keywords, ','), 1, 3), ', ') || '）'
+SELECT question_id, channel, round(confidence, 6) AS confidence, CASE WHEN confidence >= 1 THEN '{routing.KNOWN}' || {NAME_SQL} WHEN confidence >= 0.7 THEN '{routing.INFERRED}' || {NAME_SQL} || '（' || reason || '）'
   WHEN confidence > 0 THEN '{routing.DEFAULTED}' || {NAME_SQL} || '，' || coalesce(suggestion, '') ELSE coalesce(suggestion, '{routing.ASK_CHANNEL}') END AS suggestion_text, confidence < 0.7 AND channel <> 'unknown' AS should_confirm FROM told"""
 )
 def channel_suggestion(spark, d):
@@ -219,7 +232,7 @@ def channel_suggestion(spark, d):
 # --- model outputs --------------------------------------------------------------------------------------------------------------
 
 LABELS = ["price_recommendation", "knowledge_qa", "other", "dangerous_sql"]
-OUTPUT = "CASE doc_id % 8 WHEN 0 THEN 'price_recommendation' WHEN 1 THEN '  knowledge_qa ' WHEN 2 THEN 'I think: dangerous_sql.' WHEN 3 THEN 'PRICE-RECOMMENDATION' WHEN 4 THEN '' WHEN 5 THEN 'Other' WHEN 6 THEN 'knowledge' ELSE substr(text, 1, 12) END"
+OUTPUT = "CASE doc_id % 8 WHEN 0 THEN 'price_recommendation' WHEN 1 THEN '  knowledge_qa ' WHEN 2 THEN 'I think: dangerous_sql.' WHEN 3 THEN 'PRICE-RECOMMENDATION' WHEN 4 THEN '' WHEN 5 THEN 'Other' WHEN 6 THEN 'knowledge' ELSE text END"
 _P = "replace(replace(lower({}), '_', ''), '-', '')"
 LABEL_SQL = f"""outputs AS (SELECT doc_id, {OUTPUT} AS raw, trim({OUTPUT}) AS o FROM documents),
 labelled AS (SELECT doc_id, CASE WHEN o = '' THEN 'other' WHEN o IN ('price_recommendation', 'knowledge_qa', 'other', 'dangerous_sql') THEN o ELSE coalesce(list_filter({LABELS}, lambda a: contains(o, a))[1],
@@ -256,8 +269,9 @@ def parse_fenced_json(spark, d):
     return _json_outputs(spark, d).select("doc_id", m["materialName"].alias("materialName"), m["province"].alias("province"), F.size(m).alias("n"))
 
 
-@query()
+@query("SELECT doc_id, CASE WHEN doc_id % 6 <> 4 THEN source END AS materialName, CASE WHEN doc_id % 6 = 3 THEN '' WHEN doc_id % 6 <> 4 THEN lang END AS province, CASE doc_id % 6 WHEN 4 THEN 0 WHEN 3 THEN 2 ELSE 3 END AS n FROM documents")
 def lenient_kv_parse(spark, d):
+    """As above; answers cut short end behind the second field's colon."""
     m = routing.lenient_kv_parse(routing.unfenced(F.col("text")))
     return _json_outputs(spark, d).select("doc_id", m["materialName"].alias("materialName"), m["province"].alias("province"), F.size(m).alias("n"))
 

@@ -22,6 +22,10 @@ QUICK = {"province": ("广东省", "江苏省", "浙江省", "北京市", "上
 CHOICES, CONFIRM = ("🔍 直接查询", "➕ 补充条件"), ("✅ 确认查询", "🔄 修改条件")
 CHANNEL_NAMES = {"information_price": "信息价", "manufacturer_price": "厂商报价", "zc_price": "智诚信息价"}
 UNKNOWN_CHANNEL, EVERYWHERE, UNSET = "未知渠道", "全国", "未指定"
+SET_LINE, UNSET_LINE = "  ✅ {}：", "  ⭕ {}：{}"
+RECEIVED, RECEIVED_END, CURRENT_CHANNEL = "收到，查询「", "」的价格。", "\n当前渠道："
+OFFER, OFFER_PLACE, OFFER_END = "」在", "的价格。\n\n当前查询条件：\n", "\n您可以选择：\n1. 直接查询（使用当前条件）\n2. 补充更多信息"
+COMPLETE, COMPLETE_END = "信息已收集完整！\n查询条件：\n", "\n正在为您查询..."
 SURE = 0.8
 
 EPOCH = ["session_id", "epoch"]
@@ -79,12 +83,12 @@ def replay(turns: DataFrame, ttl: float = TTL_SECONDS) -> DataFrame:
 def dialogue_response(states: DataFrame) -> DataFrame:
     """states of ``replay``. Adds response_text and quick_options."""
     value = lambda c, other: F.coalesce(F.col(c), F.lit(other))
-    lines = F.concat_ws("\n", *[F.when(filled(f), F.concat(F.lit(f"  ✅ {label}："), F.col(f))).otherwise(f"  ⭕ {label}：{UNSET}") for f, label, _ in FIELDS])
+    lines = F.concat_ws("\n", *[F.when(filled(f), F.concat(F.lit(SET_LINE.format(label)), F.col(f))).otherwise(UNSET_LINE.format(label, UNSET)) for f, label, _ in FIELDS])
     channel = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in CHANNEL_NAMES.items() for x in p]), F.coalesce("channel", F.lit(""))), F.lit(UNKNOWN_CHANNEL))
     unsure = F.coalesce("channel_confidence", F.lit(0.0)) < SURE
-    ask = F.concat(F.lit("收到，查询「"), F.col("materialName"), F.lit("」的价格。\n当前渠道："), channel, F.lit("\n"), F.col("next_prompt"))
-    offer = F.concat(F.lit("收到，查询「"), F.col("materialName"), F.lit("」在"), value("province", EVERYWHERE), value("city", ""), F.lit("的价格。\n\n当前查询条件：\n"), lines, F.lit("\n您可以选择：\n1. 直接查询（使用当前条件）\n2. 补充更多信息"))
-    done = F.concat(F.lit("信息已收集完整！\n查询条件：\n"), lines, F.lit("\n正在为您查询..."))
+    ask = F.concat(F.lit(RECEIVED), F.col("materialName"), F.lit(RECEIVED_END + CURRENT_CHANNEL), channel, F.lit("\n"), F.col("next_prompt"))
+    offer = F.concat(F.lit(RECEIVED), F.col("materialName"), F.lit(OFFER), value("province", EVERYWHERE), value("city", ""), F.lit(OFFER_PLACE), lines, F.lit(OFFER_END))
+    done = F.concat(F.lit(COMPLETE), lines, F.lit(COMPLETE_END))
     options = lambda xs: F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<string>")
     by_field = F.when(F.col("next_field") == "province", options(QUICK["province"])).when(F.col("next_field") == "city", options(QUICK["city"])).otherwise(options(()))
     text = F.when(~F.col("is_complete"), F.col("next_prompt")).when(F.col("status") == "ready", done).when(unsure, ask).otherwise(offer)
