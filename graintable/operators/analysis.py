@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 GROUP = ["query_id", "unit"]
 UNKNOWN_UNIT = "UNKNOWN"
 # fixed values: texts of the answers
-NO_DATA, NO_VALID_DATA, FEW = "无价格数据", "无有效价格数据", "样本过少"
+NO_DATA, NO_VALID_DATA, FEW, FAILED = "无价格数据", "无有效价格数据", "样本过少", "分析失败: "
 TABLE_EMPTY = "⚠️ 没有查询到材料信息"
 HEAD = ("编号", "材料名称", "规格型号", "价格(元)", "单位", "省份", "城市", "发布时间")
 BRAND = "品牌"
@@ -50,10 +50,18 @@ def remove_outliers(prices: DataFrame, k: float = 1.5, group: list[str] = GROUP)
     return prices.join(quartile_bounds(prices, k, group), group).filter(F.col("price").between(F.col("low"), F.col("high"))).drop("low", "high")
 
 
-def price_stats(rows: DataFrame, group: list[str] = GROUP) -> DataFrame:
-    """rows: group, price. One row a group: total_count, invalid_count, valid_count (without outliers), min, max, mean, median, std, 95 % interval, and error."""
-    total = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("total_count"), F.count(valid_price(F.col("price"))).alias("usable"))
+def price_stats(rows: DataFrame, group: list[str] = GROUP, strict: bool = False) -> DataFrame:
+    """rows: group, price. One row a group: total_count, invalid_count, valid_count (without outliers), min, max, mean, median, std, 95 % interval, and error.
+
+    A price that is no number counts as invalid; if ``strict``, its group has an error and no statistics.
+    """
+    text = F.col("price").cast("string")
+    no_number = (F.trim(text) != "") & F.col("price").try_cast("double").isNull()
+    total = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("total_count"), F.count(valid_price(F.col("price"))).alias("usable"), F.min(F.when(no_number, text)).alias("no_number"))
+    failed = F.col("no_number").isNotNull() & F.lit(strict)
     prices = remove_outliers(distinct_prices(rows, group), group=group)
+    if strict:
+        prices = prices.join(total.filter(failed), group, "left_anti")
     n, m, x = F.sum("m"), F.col("m"), F.col("price")
     mean = F.sum(x * m) / n
     stats = prices.groupBy(*group).agg(n.alias("valid_count"), F.min("price").alias("min_price"), F.max("price").alias("max_price"), mean.alias("mean_price"), F.percentile("price", F.lit(0.5), m).alias("median_price"))
@@ -62,7 +70,7 @@ def price_stats(rows: DataFrame, group: list[str] = GROUP) -> DataFrame:
     count = F.coalesce("valid_count", F.lit(0))
     std = F.when(count < 2, 0.0).otherwise(F.sqrt(F.col("squares") / (count - 1)))
     half = 1.96 * F.col("std_price") / F.sqrt("valid_count")
-    error = F.when(F.col("total_count") == 0, NO_DATA).when(F.col("usable") == 0, NO_VALID_DATA)
+    error = F.when(failed, F.concat(F.lit(FAILED), "no_number")).when(F.col("total_count") == 0, NO_DATA).when(F.col("usable") == 0, NO_VALID_DATA)
     return (
         total.join(stats.join(spread, group), group, "left")
         .withColumn("valid_count", count).withColumn("std_price", F.when(F.col("mean_price").isNotNull(), std))

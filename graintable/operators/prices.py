@@ -1,7 +1,7 @@
 """Filters, counts and limits of price records, for many queries at once.
 
-A query is a row; an absent, null or empty field is no condition. Queries are joined to records on the channel, so records of other
-channels are never paired; the other conditions are evaluated in the join.
+A query is a row; an absent, null or empty field is no condition. Queries are joined to records on the channel and the name, so records of other
+channels or names are never paired; the other conditions are evaluated in the join.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from ..schemas import CHANNELS, FILTER_FIELDS
 
 EQUALITIES = ("materialModelSpec", "province", "city", "releaseDepartment", "brand", "supplyName", "grade")
 TOKENS_PER_RECORD, SAFE_TOKENS = 120, 100_000
-# fixed values: the service's names of the channels, and the share of records a condition on a field is assumed to leave
+# fixed values: the service's names of the channels, the share of records a condition on a field is assumed to leave, and the fields' labels
 SERVICE_NAMES = {"informaterial": "information_price", "factory": "manufacturer_price", "zhicheng": "zc_price"}
 REDUCTION = {"materialName": 0.01, "materialModelSpec": 0.10, "province": 0.05, "city": 0.02, "minPrice": 0.30, "maxPrice": 0.30, "startReleaseDate": 0.20, "brand": 0.05}
 OTHER_REDUCTION = 0.50
@@ -36,32 +36,47 @@ def select_channel(records: DataFrame, queries: DataFrame) -> DataFrame:
     return with_channel(queries).select("query_id", "channel").join(records, "channel")
 
 
+#: the older names of the date bounds, still in use
+DATE_KEYS = {"startReleaseDate": "startReleaseTime", "endReleaseDate": "endReleaseTime"}
+
+
+def with_dates(queries: DataFrame) -> DataFrame:
+    """Queries with both date bounds under their present names; a bound under its older name counts where the other is blank."""
+    both = {new: F.coalesce(F.nullif(F.col(new), F.lit("")) if new in queries.columns else F.lit(None), F.col(old)) for new, old in DATE_KEYS.items() if old in queries.columns}
+    return queries.withColumns(both) if both else queries
+
+
+def names_asked(records: DataFrame, queries: DataFrame) -> DataFrame:
+    """channel, materialName and _q: the queries, as structs, that each distinct name of a channel meets. A query without a name meets all."""
+    asked = with_dates(with_channel(queries))
+    names = records.select("channel", "materialName").distinct()
+    name, wanted = F.col("materialName"), F.col("_q.materialName")
+    either = F.lower(name).contains(F.lower(wanted)) | F.lower(wanted).contains(F.lower(name))
+    met = blank(wanted) | F.when(F.coalesce(F.col("_q.matchMethod"), F.lit(1)) == 2, name == wanted).otherwise(either)
+    return names.join(asked.select("channel", F.struct(*asked.columns).alias("_q")), "channel").filter(met)
+
+
 def _condition(records: DataFrame, q: str = "_q") -> Column:
-    """Whether a record meets the query in the struct column q."""
+    """Whether a record of a fitting name meets the rest of the query in the struct column q."""
     field = lambda name: F.col(f"{q}.{name}")
-    name, asked = F.col("materialName"), field("materialName")
-    either = F.lower(name).contains(F.lower(asked)) | F.lower(asked).contains(F.lower(name))
-    met = blank(asked) | F.when(F.coalesce(field("matchMethod"), F.lit(1)) == 2, name == asked).otherwise(either)
+    # a bound of 0 is no bound
+    met = (F.coalesce(field("minPrice"), F.lit(0.0)) == 0) | (F.col("price") >= field("minPrice"))
+    met = met & ((F.coalesce(field("maxPrice"), F.lit(0.0)) == 0) | (F.col("price") <= field("maxPrice")))
     for f in EQUALITIES:
         if f in records.columns:
             met = met & (blank(field(f)) | (F.col(f) == field(f)))
-    # a bound of 0 is no bound
-    met = met & ((F.coalesce(field("minPrice"), F.lit(0.0)) == 0) | (F.col("price") >= field("minPrice")))
-    met = met & ((F.coalesce(field("maxPrice"), F.lit(0.0)) == 0) | (F.col("price") <= field("maxPrice")))
     met = met & (blank(field("startReleaseDate")) | (F.col("releaseDate") >= field("startReleaseDate")))
     return met & (blank(field("endReleaseDate")) | (F.col("releaseDate") <= field("endReleaseDate")))
 
 
-def filter_prices(records: DataFrame, queries: DataFrame, salts: int = 64) -> DataFrame:
+def filter_prices(records: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id with each record that meets the query.
 
-    There are few channels, so records are dealt to ``salts`` parts of each and the queries, the small side, are repeated for every part:
-    where they are too many to be broadcast, a channel's records still spread over as many tasks.
+    Names are compared once for each distinct name of a channel, not for each record; records are joined to the queries of their channel and
+    name, and only the other conditions are left to test. A name that very many records have is split by adaptive execution.
     """
-    asked = with_channel(queries)
-    packed = asked.select("channel", F.struct(*asked.columns).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    dealt = records.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in ("record_id", "price", "releaseDate") if c in records.columns]), F.lit(salts)).cast("int"))
-    met = dealt.join(packed, ["channel", "_salt"]).filter(_condition(records))
+    asked = names_asked(records, queries).withColumnRenamed("channel", "_channel").withColumnRenamed("materialName", "_name")
+    met = records.join(asked, (F.col("channel") == F.col("_channel")) & F.col("materialName").eqNullSafe(F.col("_name"))).filter(_condition(records))
     return met.select(F.col("_q.query_id").alias("query_id"), *records.columns)
 
 

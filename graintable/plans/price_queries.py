@@ -81,11 +81,11 @@ def _grouped(spark: SparkSession, d: str) -> DataFrame:
     return price_records(spark, d).select(group.alias("query_id"), "record_id", "unit", "price", F.col("releaseDate").alias("releaseTime"))
 
 
-@query(f"WITH {PRICE_SQL}, {QUERIES_SQL} SELECT q.query_id, q.channel, p.record_id, p.price_cents FROM routed q JOIN price_records p ON q.channel = p.channel WHERE q.query_id % 16 = p.price_cents % 16")
+@query(f"WITH {PRICE_SQL}, {QUERIES_SQL} SELECT p.record_id, p.channel, p.price_cents, count(*) AS queries, sum(q.query_id)::BIGINT AS query_ids FROM routed q JOIN price_records p ON q.channel = p.channel GROUP BY ALL")
 def select_channel(spark, d):
-    """Each query with the records of its channel whose price ends alike, to keep the result of the size of the records."""
+    """Every record with the number and the sum of the queries that are routed to its channel."""
     out = prices.select_channel(price_records(spark, d), price_queries(spark, d))
-    return out.filter(F.col("query_id") % 16 == F.col("price_cents") % 16).select("query_id", "channel", "record_id", "price_cents")
+    return out.groupBy("record_id", "channel", "price_cents").agg(F.count(F.lit(1)).alias("queries"), F.sum("query_id").alias("query_ids"))
 
 
 @query(f"{BASE} SELECT query_id, record_id, materialName, price_cents FROM matches")
@@ -122,7 +122,15 @@ def suggest_filters(spark, d):
     return prices.suggest_filters(price_queries(spark, d), many).withColumn("suggested", F.array_join("suggested", ","))
 
 
-@query()
+_LABELLED = (("materialName", "材料名称"), ("province", "省份"), ("city", "城市"), ("materialModelSpec", "规格型号"), ("startReleaseDate", "开始日期"), ("endReleaseDate", "结束日期"), ("minPrice", "最低价"), ("maxPrice", "最高价"), ("brand", "品牌"))
+_GIVEN_SQL = ", ".join(f"CASE WHEN coalesce({f}::VARCHAR, '') <> '' THEN '{label}: ' || {f}::VARCHAR END" for f, label in _LABELLED)
+_OPEN_SQL = ", ".join(
+    f"CASE WHEN coalesce({f}, 0) = 0 THEN '{label}' END" if f in ("minPrice", "maxPrice") else f"CASE WHEN coalesce({f}, '') = ''{' AND channel = ' + chr(39) + 'manufacturer_price' + chr(39) if f == 'brand' else ''} THEN '{label}' END" for f, label in _LABELLED
+)
+
+
+@query(f"""{BASE} SELECT query_id, total_count || ' records, about ' || total_count * 120 || ' tokens (limit 100000)' || chr(10) || 'given: ' || array_to_string(list_filter([{_GIVEN_SQL}], lambda x: x IS NOT NULL), ', ')
+  || chr(10) || 'add: ' || array_to_string(list_slice(list_filter([{_OPEN_SQL}], lambda x: x IS NOT NULL), 1, 5), ', ') AS message FROM routed JOIN counts USING (query_id)""")
 def refinement_message(spark, d):
     return prices.refinement_message(prices.with_channel(price_queries(spark, d)), _counts(spark, d))
 
