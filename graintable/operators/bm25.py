@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..durable import durable
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
@@ -46,15 +48,16 @@ def read_stopwords(spark: SparkSession, path: str) -> DataFrame:
 def build_index(tokens: DataFrame) -> dict[str, DataFrame]:
     """tokens: doc_id, tokens. Tables postings (term, doc_id, tf), documents (doc_id, dl), terms (term, df, idf) and totals (n, avgdl, avg_idf).
 
-    idf is ln(N - df + 0.5) - ln(df + 0.5), and a quarter of the mean over the vocabulary where that is negative.
+    idf is ln(N - df + 0.5) - ln(df + 0.5), and a quarter of the mean over the vocabulary where that is negative. The three tables that grow
+    with the corpus are written once, so that searches don't make them again.
     """
-    postings = tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    documents = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"))
+    postings = durable(tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    documents = durable(tokens.select("doc_id", F.size("tokens").cast("long").alias("dl")), "lengths")
     counts = documents.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     # a document's term is one posting, so the partial counts are all that is shuffled here
-    raw = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(counts)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = durable(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies").crossJoin(F.broadcast(counts)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     totals = raw.agg(F.avg("raw").alias("avg_idf")).crossJoin(F.broadcast(counts)).select("n", "avgdl", "avg_idf")
-    terms = raw.drop("n", "avgdl").crossJoin(F.broadcast(totals.select("avg_idf"))).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("avg_idf")).otherwise(F.col("raw")).alias("idf"))
+    terms = durable(raw.drop("n", "avgdl").crossJoin(F.broadcast(totals.select("avg_idf"))).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("avg_idf")).otherwise(F.col("raw")).alias("idf")), "terms")
     return {"postings": postings, "documents": documents, "terms": terms, "totals": totals}
 
 
@@ -65,9 +68,11 @@ def search(queries: DataFrame, index: dict[str, DataFrame], n: int = 20, pad: bo
     score 0, by doc_id.
     """
     asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    weighted = asked.join(index["terms"].select("term", "idf"), "term")
+    # a stored index is cut into parts by a hash of the term: only the parts of the queries' terms are read
+    on = [c for c in ("part", "term") if c in index["terms"].columns and c in index["postings"].columns]
+    weighted = asked.join(index["terms"].select(*on, "idf"), "term")
     tf = F.col("tf")
-    hits = index["postings"].join(weighted, "term").join(index["documents"], "doc_id").crossJoin(F.broadcast(index["totals"].select("avgdl")))
+    hits = index["postings"].join(weighted, on).join(index["documents"], "doc_id").crossJoin(F.broadcast(index["totals"].select("avgdl")))
     part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), digits).alias("score"))
     if pad:

@@ -20,7 +20,7 @@ def strip(c: Column) -> Column:
 
 
 def clean_page_text(pages: DataFrame) -> DataFrame:
-    """pages: source, page_no, text. One text a source: pages without their numbers, contents pages or near-empty pages, joined in order, without line ends."""
+    """pages: source, page_no, text. One text a source: pages without their numbers, contents pages or near-empty pages, joined in order, without line ends. A source is one file, whose text must fit in a value."""
     lines = F.transform(F.split(strip(F.col("text")), "\n"), strip)
     page = F.regexp_replace(F.array_join(lines, "\n"), r"(?U)\n\d{2,3}\s?", "\n")
     kept = pages.select("source", "page_no", page.alias("text")).filter((F.length("text") > 10) & ~F.col("text").contains(TOC))
@@ -68,10 +68,14 @@ def table_aware_chunks(texts: DataFrame, key: str, size: int = 500, overlap: int
 
 
 def table_aware_documents(files: DataFrame) -> DataFrame:
-    """files: source, text. Chunk rows with metadata; a missing source is called unknown."""
-    named = files.select(F.coalesce("source", F.lit("unknown")).alias("source"), "text")
-    chunks = table_aware_chunks(named, "source")
-    return chunks.select(F.xxhash64("source", "chunk_id").alias("doc_id"), "page_content", F.struct("type", F.col("chunk_id").cast("int").alias("chunk_id"), "source").alias("metadata"))
+    """files: source, text and, if there is one, path. Chunk rows with metadata; a missing source is called unknown.
+
+    Every row is a file of its own, whatever its name. doc_id is a hash of path (or else source), text and chunk_id.
+    """
+    place = F.coalesce(F.col("path"), F.col("source")) if "path" in files.columns else F.col("source")
+    own = F.struct(F.monotonically_increasing_id().alias("row"), F.xxhash64(place, "text").alias("h"), F.coalesce("source", F.lit("unknown")).alias("source"))
+    chunks = table_aware_chunks(files.select(own.alias("file"), "text"), "file")
+    return chunks.select(F.xxhash64("file.h", "chunk_id").alias("doc_id"), "page_content", F.struct("type", F.col("chunk_id").cast("int").alias("chunk_id"), "file.source").alias("metadata"))
 
 
 def process_uploads(files: DataFrame) -> DataFrame:
@@ -95,11 +99,12 @@ def corpus_fingerprint(chunks: DataFrame, source: str = "source", content: str =
 
 
 def source_fingerprints(chunks: DataFrame, source: str = "source", content: str = "page_content", meta: str = "meta") -> DataFrame:
-    """source, fingerprint and chunks. A source's chunks are first hashed by 256 buckets of their hash, so a large source is not one list."""
+    """source, fingerprint and chunks. A source's chunks are hashed by 65,536 buckets of their hash, these by 256 buckets, and these together, so that a list holds one in 65,536 of a source's hashes."""
     row = chunks.select(source, F.md5(F.concat_ws(":", content, meta)).alias("h"))
-    part = row.groupBy(source, F.substring("h", 1, 2).alias("p")).agg(F.md5(F.array_join(F.array_sort(F.collect_list("h")), "")).alias("h"), F.count(F.lit(1)).alias("n"))
-    whole = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), ""))
-    return part.groupBy(source).agg(whole.alias("fingerprint"), F.sum("n").alias("chunks"))
+    leaf = row.groupBy(source, F.substring("h", 1, 4).alias("p")).agg(F.md5(F.array_join(F.array_sort(F.collect_list("h")), "")).alias("h"), F.count(F.lit(1)).alias("n"))
+    joined = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), "")).alias("h")
+    part = leaf.groupBy(source, F.substring("p", 1, 2).alias("q")).agg(joined, F.sum("n").alias("n")).withColumnRenamed("q", "p")
+    return part.groupBy(source).agg(joined.alias("fingerprint"), F.sum("n").alias("chunks"))
 
 
 def detect_changes(old: DataFrame, new: DataFrame, force: bool = False) -> DataFrame:

@@ -35,8 +35,11 @@ def ngram_cosine() -> Scorer:
         known: dict[str, Counter] = {}
         out = []
         for q, p in zip(queries, passages, strict=True):
-            a = known.setdefault(q, counts(q)) if len(known) < 1000 else counts(q)
-            b = counts(p)
+            if q not in known:
+                if len(known) >= 1000:
+                    known.clear()
+                known[q] = counts(q)
+            a, b = known[q], counts(p)
             norms = sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
             out.append(sum(v * b[g] for g, v in a.items() if g in b) / norms if norms else 0.0)
         return out

@@ -16,15 +16,18 @@ Encoder = Callable[[Sequence[str]], np.ndarray]
 
 def hashed_ngrams(dims: int = 256, low: int = 2, high: int = 3) -> Encoder:
     """The default encoder: character n-grams hashed to ``dims`` counts. Needs no model and is the same everywhere."""
-    from zlib import crc32
 
     def encode(texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), dims), np.float32)
         for row, text in zip(out, texts, strict=True):
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
             for n in range(low, high + 1):
-                for i in range(len(text) - n + 1):
-                    h = crc32(text[i : i + n].encode("utf-8", "surrogatepass"))
-                    row[h % dims] += 1 - 2 * (h >> 31)
+                h = np.zeros(max(0, len(codes) - n + 1), np.uint64)
+                for k in range(n):
+                    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + codes[k : len(h) + k] + np.uint64(1)
+                h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                sign = 1.0 - 2.0 * (h >> np.uint64(63)).astype(float)
+                row += np.bincount((h >> np.uint64(20)).astype(np.int64) % dims, weights=sign, minlength=dims).astype(np.float32)
         return out
 
     return encode
@@ -87,35 +90,34 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(_doubles(a), _doubles(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def query_blocks(queries: DataFrame, block: int = 512) -> DataFrame:
-    """queries: query_id, embedding. Packed to rows of up to ``block`` queries within their partition."""
+def usable(rows: DataFrame) -> DataFrame:
+    """Rows whose embedding is there, not empty and without nulls; others take no part in searches."""
+    return rows.filter(F.coalesce((F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull()), F.lit(False)))
+
+
+def packed(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """rows: ``key``, embedding. ids, vectors and dim: up to ``block`` vectors of one length, within their partition."""
 
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for at in range(0, len(part), block):
-                some = part.iloc[at : at + block]
-                x = np.stack([np.asarray(v, np.float32) for v in some["embedding"]])
-                yield pd.DataFrame({"ids": [some["query_id"].to_numpy("int64").tobytes()], "vectors": [x.tobytes()], "dim": [x.shape[1]]})
+            for dim, alike in part.groupby(part["embedding"].map(len)):
+                for at in range(0, len(alike), block):
+                    some = alike.iloc[at : at + block]
+                    x = np.stack([np.asarray(v, np.float32) for v in some["embedding"]])
+                    yield pd.DataFrame({"ids": [some[key].to_numpy("int64").tobytes()], "vectors": [x.tobytes()], "dim": [dim]})
 
-    return queries.select("query_id", "embedding").mapInPandas(pack, "ids binary, vectors binary, dim int")
+    return usable(rows.select(key, "embedding")).mapInPandas(pack, "ids binary, vectors binary, dim int")
 
 
-def knn_exact(queries: DataFrame, vectors: DataFrame, k: int = 20, digits: int = 6, block: int = 512, salt: int = 1) -> DataFrame:
+def knn_exact(queries: DataFrame, vectors: DataFrame, k: int = 20, digits: int = 6, block: int = 512) -> DataFrame:
     """queries: query_id, embedding (a stated set). vectors: vec_id, embedding. The k nearest by L2 distance: query_id, vec_id, distance, rank; ties by vec_id.
 
     Queries are packed to blocks, and every block meets every partition of the vectors once, in a matrix product; of each meeting k rows
-    a query are left. Distances are rounded before they are ranked, so that ties are ties on every engine.
+    a query are left. Distances are rounded before they are ranked, so that ties are ties on every engine. Vectors that are null, empty or hold a null
+    take no part, and a query is compared to vectors of its own length only.
     """
-    blocks = query_blocks(queries, block)
-
-    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for at in range(0, len(part), 4096):
-                some = part.iloc[at : at + 4096]
-                x = np.stack([np.asarray(v, np.float32) for v in some["embedding"]])
-                yield pd.DataFrame({"v_ids": [some["vec_id"].to_numpy("int64").tobytes()], "v_vectors": [x.tobytes()]})
-
-    packed = vectors.select("vec_id", "embedding").filter("embedding IS NOT NULL").mapInPandas(pack, "v_ids binary, v_vectors binary")
+    blocks = packed(queries, "query_id", block)
+    data = packed(vectors, "vec_id", 4096).withColumnsRenamed({"ids": "v_ids", "vectors": "v_vectors"})
 
     def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -126,7 +128,7 @@ def knn_exact(queries: DataFrame, vectors: DataFrame, k: int = 20, digits: int =
                 best = [np.lexsort((v_ids, row))[:k] for row in d]
                 yield pd.DataFrame({"query_id": np.repeat(ids, [len(b) for b in best]), "vec_id": np.concatenate([v_ids[b] for b in best]), "distance": np.concatenate([row[b] for row, b in zip(d, best, strict=True)])})
 
-    near = packed.crossJoin(blocks).mapInPandas(solve, "query_id long, vec_id long, distance double")
+    near = data.join(blocks, "dim").mapInPandas(solve, "query_id long, vec_id long, distance double")
     return _ranked(near, k)
 
 
@@ -148,10 +150,11 @@ def knn_staged(queries: DataFrame, vectors: DataFrame, stages: Sequence[tuple[in
 
 
 def build_ivf(vectors: DataFrame, nlist: int = 128, seed: int = 42, sample: int = 100_000) -> tuple[DataFrame, np.ndarray]:
-    """vectors with their cell, and the cells' centres. Centres are fitted on a bounded sample; every vector gets a cell."""
+    """The usable vectors with their cell, and the cells' centres. Centres are fitted on a bounded sample; every vector gets a cell."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    vectors = usable(vectors)
     total = vectors.count()
     some = vectors if total <= sample else vectors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(total)) < sample)
     model = KMeans(k=min(nlist, max(2, total)), seed=seed, featuresCol="f").fit(some.select(array_to_vector("embedding").alias("f")))
@@ -177,7 +180,7 @@ def knn_ivf(queries: DataFrame, celled: DataFrame, centres: np.ndarray, k: int =
         x = np.stack([np.asarray(v, float) for v in vs])
         return pd.Series(list(((centres**2).sum(1) - 2 * x @ centres.T).argsort(1)[:, :n].astype("int32")))
 
-    asked = queries.select("query_id", F.col("embedding").alias("q"), F.explode(probe("embedding")).alias("cell"))
+    asked = usable(queries).select("query_id", F.col("embedding").alias("q"), F.explode(probe("embedding")).alias("cell"))
     pairs = celled.join(asked, "cell")
     return _ranked(pairs.select("query_id", "vec_id", F.round(F.sqrt(squared_distance(F.col("q"), F.col("embedding"))), digits).alias("distance")), k)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.html import html_to_markdown as to_markdown
@@ -50,15 +50,23 @@ def sliding_window_chunks(spark, d):
     return corpus.sliding_window_chunks(_docs(spark, d), "doc_id")
 
 
-@query()
+def _catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files in a directory for each source."""
+    name = F.concat(F.lit("doc-"), "doc_id")
+    return _docs(spark, d).select(name.alias("filename"), F.concat(F.lit("/corpus/"), "source", F.lit("/"), name).alias("path"), F.octet_length("text").cast("long").alias("size"), F.timestamp_micros(F.col("doc_id") * 61_000_003 % 7_000_000_000_000).alias("modified_time"))
+
+
+CATALOGUE_SQL = "files AS (SELECT 'doc-' || doc_id AS filename, '/corpus/' || source || '/doc-' || doc_id AS path, '/corpus/' || source AS dir, strlen(text) AS size, doc_id * 61000003 % 7000000000000 AS us FROM documents)"
+
+
+@query(f"WITH {CATALOGUE_SQL} SELECT filename, size, round(size / 1048576, 2) AS size_mb, us AS modified_us FROM files")
 def list_files(spark, d):
-    """The tables' files as the catalogue."""
-    return files.list_files(files.file_table(spark, d))
+    return files.list_files(_catalogue(spark, d)).select("filename", "size", "size_mb", F.unix_micros("modified_time").alias("modified_us"))
 
 
-@query()
+@query(f"WITH {CATALOGUE_SQL}, dirs AS (SELECT dir, md5(string_agg(path || ':' || us || ':' || size, chr(10) ORDER BY path || ':' || us || ':' || size)) AS h FROM files GROUP BY 1) SELECT md5(string_agg(dir || ':' || h, chr(10) ORDER BY dir || ':' || h)) AS fingerprint FROM dirs")
 def folder_fingerprint(spark, d):
-    return files.folder_fingerprint(files.file_table(spark, d))
+    return files.folder_fingerprint(_catalogue(spark, d))
 
 
 @query()
@@ -88,13 +96,13 @@ def process_uploads(spark, d):
     return corpus.process_uploads(pages.select(F.concat(F.when(F.col("page_id") % 10 == 0, "../").otherwise("up/"), "page_id", F.lit(".html")).alias("filename"), F.col("html").alias("text")))
 
 
-@query(r"SELECT doc_id, len(t)::INTEGER AS n_tokens, array_to_string(list_slice(t, 1, 5), ' ') AS first FROM (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS t FROM documents)")
+@query(r"SELECT doc_id, len(t)::INTEGER AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS t FROM documents)")
 def tokenize(spark, d):
     t = bm25.tokenize(F.col("text"))
-    return _docs(spark, d).select("doc_id", F.size(t).alias("n_tokens"), F.array_join(F.slice(t, 1, 5), " ").alias("first"))
+    return _docs(spark, d).select("doc_id", F.size(t).alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
 
 
-FINGERPRINT_SQL = """hashed AS (SELECT source, md5(text || ':' || lang) AS h FROM {docs}), parts AS (SELECT source, h[1:2] AS p, md5(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM hashed GROUP BY 1, 2),
+FINGERPRINT_SQL = """hashed AS (SELECT source, md5(text || ':' || lang) AS h FROM {docs}), leaves AS (SELECT source, h[1:4] AS p, md5(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM hashed GROUP BY 1, 2), parts AS (SELECT source, p[1:2] AS p, md5(string_agg(h, '' ORDER BY leaves.p)) AS h, sum(n) AS n FROM leaves GROUP BY source, leaves.p[1:2]),
 {name} AS (SELECT source, md5(string_agg(h, '' ORDER BY p)) AS fingerprint, sum(n)::BIGINT AS chunks FROM parts GROUP BY 1)"""
 
 
@@ -132,8 +140,8 @@ def index_alignment(spark, d):
 
 TOKENS_SQL = r"tokens AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS t FROM documents)"
 INDEX_SQL = f"""{TOKENS_SQL}, postings AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tokens) GROUP BY ALL), sizes AS (SELECT doc_id, len(t) AS dl FROM tokens),
-n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM sizes), raws AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM postings, n GROUP BY term),
-mean AS (SELECT avg(raw) AS avg_idf FROM raws), terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * avg_idf ELSE raw END AS idf FROM raws, mean)"""
+n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM sizes), raws AS (SELECT term, count(*) AS df, ln((SELECT n FROM n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM postings GROUP BY term),
+terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws)"""
 SEARCH_SQL = f"""{INDEX_SQL}, asked AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS term FROM benchmark) GROUP BY ALL),
 scored AS (SELECT query_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM asked JOIN terms USING (term) JOIN postings USING (term) JOIN sizes USING (doc_id), n GROUP BY ALL),
 hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)"""
@@ -179,17 +187,25 @@ def _vector_queries(spark: SparkSession, d: str) -> DataFrame:
 NORM_SQL = "sqrt(list_sum(list_transform({v}, lambda x: x::DOUBLE * x::DOUBLE)))"
 
 
-@query(f"SELECT vec_id, round(v[1] / n, 5) AS first, round(v[64] / n, 5) AS last FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (vec_id + 1)) AS v, {NORM_SQL.format(v='list_transform(embedding, lambda x: x::DOUBLE * (vec_id + 1))')} AS n FROM embeddings)")
+def _shown(v) -> Column:
+    """All components, as whole numbers of 1/100,000."""
+    return F.array_join(F.transform(v, lambda x: F.round(x * 100_000).cast("long").cast("string")), ",")
+
+
+SHOWN_SQL = "array_to_string(list_transform({v}, lambda x: round(x / n * 100000)::BIGINT), ',')"
+
+
+@query(f"SELECT vec_id, {SHOWN_SQL.format(v='v')} AS components FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (vec_id + 1)) AS v, {NORM_SQL.format(v='list_transform(embedding, lambda x: x::DOUBLE * (vec_id + 1))')} AS n FROM embeddings)")
 def l2_normalize(spark, d):
     """Vectors stretched by their number, and brought back."""
     v = vectors.l2_normalize(F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") + 1)))
-    return _vectors(spark, d).select("vec_id", F.round(v[0], 5).alias("first"), F.round(v[63], 5).alias("last"))
+    return _vectors(spark, d).select("vec_id", _shown(v).alias("components"))
 
 
-@query(f"SELECT vec_id, 32 AS dims, round(embedding[1] / n, 5) AS first, round(embedding[32] / n, 5) AS last FROM (SELECT vec_id, embedding, {NORM_SQL.format(v='embedding[1:32]')} AS n FROM embeddings)")
+@query(f"SELECT vec_id, 32 AS dims, {SHOWN_SQL.format(v='embedding[1:32]')} AS components FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS embedding, {NORM_SQL.format(v='embedding[1:32]')} AS n FROM embeddings)")
 def truncate_dims(spark, d):
     v = vectors.truncate_dims(F.col("embedding"), 32)
-    return _vectors(spark, d).select("vec_id", F.size(v).alias("dims"), F.round(v[0], 5).alias("first"), F.round(v[31], 5).alias("last"))
+    return _vectors(spark, d).select("vec_id", F.size(v).alias("dims"), _shown(v).alias("components"))
 
 
 def _knn_sql(rows: str, k: int, pairs: str = "q JOIN v ON true") -> str:
@@ -230,6 +246,14 @@ def whitening(spark, d):
     return vectors.apply_whitening(v, mean, matrix)
 
 
+@query("SELECT i::INTEGER AS i, j::INTEGER AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS covariance, (SELECT count(*) FROM embeddings) AS vectors FROM range(16) x(i), range(16) y(j)")
+def whitening_covariance(spark, d):
+    """The covariance of every two components of the whitened vectors, over all vectors."""
+    y = F.col("embedding")
+    x = whitening(spark, d).select(y, F.posexplode(y).alias("i", "a")).select("i", "a", F.posexplode(y).alias("j", "b"))
+    return x.groupBy("i", "j").agg((F.round(F.covar_samp("a", "b"), 4) + 0.0).alias("covariance"), F.count(F.lit(1)).alias("vectors"))
+
+
 @query()
 def embed_texts(spark, d):
     return vectors.embed_texts(_docs(spark, d).select("doc_id", "text"))

@@ -2,25 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from ..durable import durable
+from ..operators.corpus import detect_changes, source_fingerprints, table_aware_documents
 from ..schemas import CHUNK
 
+PARTS = 16  # files that the chunks of one source are dealt to
+
 
 def write_corpus(chunks: DataFrame, path: str, fingerprint: str | None = None, known: str | None = None) -> bool:
     """Write chunks by source, unless their fingerprint is the one already stored. Says whether it wrote."""
     if fingerprint is not None and fingerprint == known:
         return False
-    flat = chunks.withColumn("source", F.col("metadata.source"))
-    flat.repartition("source").write.mode("overwrite").partitionBy("source").parquet(path)
+    _by_source(chunks).parquet(path)
     return True
 
 
+def _by_source(chunks: DataFrame) -> DataFrameWriter:
+    return chunks.withColumn("source", F.col("metadata.source")).repartition("source", F.pmod("doc_id", F.lit(PARTS))).write.mode("overwrite").partitionBy("source")
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*CHUNK.names)
 
 
+def rebuild_corpus(files: DataFrame, path: str, last: int = 0, force: bool = False) -> DataFrame:
+    """files: source, text and, if there is one, path. Chunks again only the sources that are new or changed since rebuild number ``last`` (0: there is none) of ``path``; gives source and change of all.
+
+    Chunks lie under ``path``/chunks, by source. The sources' fingerprints of each rebuild are kept under its number, written last: a rebuild
+    that fails is done again with the same ``last``. Chunks of removed sources are passed over by ``read_rebuilt``.
+    """
+    spark = files.sparkSession
+    named = files.withColumn("source", F.coalesce("source", F.lit("unknown")))
+    now = durable(source_fingerprints(named.withColumn("meta", F.col("path") if "path" in files.columns else F.lit("")), content="text"), "fingerprints")
+    old = spark.read.parquet(f"{path}/fingerprints-{last}") if last else now.limit(0)
+    changes = durable(detect_changes(old, now, force), "changes")
+    wanted = changes.filter("change IN ('added', 'changed')").select("source")
+    chunks = table_aware_documents(named.join(wanted, "source", "left_semi"))
+    _by_source(chunks).option("partitionOverwriteMode", "dynamic").parquet(f"{path}/chunks")
+    now.write.mode("overwrite").parquet(f"{path}/fingerprints-{last + 1}")
+    return changes
+
+
+def read_rebuilt(spark: SparkSession, path: str, last: int) -> DataFrame:
+    """The chunks of the sources that rebuild number ``last`` found."""
+    chunks = spark.read.schema(StructType([*CHUNK.fields, StructField("source", StringType())])).parquet(f"{path}/chunks")
+    present = spark.read.parquet(f"{path}/fingerprints-{last}").select("source")
+    return chunks.join(present, "source", "left_semi").select(*CHUNK.names)
+
+
 def write_bm25_index(index: dict[str, DataFrame], path: str, parts: int = 64) -> None:
     """postings and terms by a hash of the term, so that a search reads the parts of its terms; documents and totals as they are."""
     for name, table in index.items():
@@ -32,7 +65,8 @@ def write_bm25_index(index: dict[str, DataFrame], path: str, parts: int = 64) ->
 
 
 def read_bm25_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}").drop("part") for name in ("postings", "documents", "terms", "totals")}
+    """The tables as written; postings and terms keep part, by which a search prunes what it reads."""
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "documents", "terms", "totals")}
 
 
 def write_vectors(vectors: DataFrame, path: str, drop_old: bool = True) -> None:

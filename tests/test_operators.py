@@ -63,7 +63,10 @@ def test_stores(spark, tmp_path):
     assert stores.read_corpus(spark, f"{tmp_path}/c").count() == chunks.count() == 3
     index = bm25.build_index(spark.createDataFrame([(1, ["a", "b"]), (2, ["a"])], "doc_id long, tokens array<string>"))
     stores.write_bm25_index(index, f"{tmp_path}/i", 4)
-    assert stores.read_bm25_index(spark, f"{tmp_path}/i")["postings"].count() == 3
+    stored = stores.read_bm25_index(spark, f"{tmp_path}/i")
+    assert stored["postings"].count() == 3
+    asked = spark.createDataFrame([(7, ["b", "a"])], "query_id long, tokens array<string>")
+    assert bm25.search(asked, stored, pad=True).collect() == bm25.search(asked, index, pad=True).collect()
     v = spark.createDataFrame([(1, [1.0], 0), (2, [2.0], 1)], "vec_id long, embedding array<float>, cell int")
     stores.write_vectors(v, f"{tmp_path}/v")
     stores.write_vectors(v.limit(1), f"{tmp_path}/v", drop_old=False)
@@ -227,6 +230,75 @@ def test_volume(spark):
     assert prices.suggest_filters(asked, spark.createDataFrame([(1, 50_000)], "query_id long, total_count long")).first()["suggested"] == ["province", "city", "materialModelSpec"]
 
 
+def test_rebuild_only_what_changed(spark, tmp_path):
+    def files_of(*rows):
+        return spark.createDataFrame(rows, "path string, source string, text string")
+
+    chunks = lambda n: sorted((r["metadata"]["source"], r["metadata"]["chunk_id"], r["page_content"]) for r in stores.read_rebuilt(spark, f"{tmp_path}/r", n).collect())
+    changes = lambda df: {r["source"]: r["change"] for r in df.collect()}
+    a, b, c = ("x/a.md", "a.md", "one\n| t |\ntwo"), ("b.md", "b.md", "bee"), ("c.md", "c.md", "sea")
+    assert changes(stores.rebuild_corpus(files_of(a, b), f"{tmp_path}/r")) == {"a.md": "added", "b.md": "added"}
+    assert chunks(1) == [("a.md", 1, "one"), ("a.md", 2, "one\n| t |\ntwo"), ("a.md", 3, "two"), ("b.md", 1, "bee")]
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "r/chunks/source=a.md").glob("*.parquet")}
+    assert changes(stores.rebuild_corpus(files_of(a, ("b.md", "b.md", "bees"), c), f"{tmp_path}/r", 1)) == {"a.md": "same", "b.md": "changed", "c.md": "added"}
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "r/chunks/source=a.md").glob("*.parquet")} == before
+    assert ("b.md", 1, "bees") in chunks(2) and ("c.md", 1, "sea") in chunks(2) and len(chunks(2)) == 5
+    assert changes(stores.rebuild_corpus(files_of(a), f"{tmp_path}/r", 2)) == {"a.md": "same", "b.md": "removed", "c.md": "removed"}
+    assert len(chunks(3)) == 3
+
+
+def test_files_of_one_name_stay_apart(spark):
+    """Two files of three lines each; none takes lines or context of the other."""
+    rows = [("a/x.md", "x.md", "first\n| 1 |\nlast"), ("b/x.md", "x.md", "start\n| 2 |\nend"), ("c", None, "p\n| 3 |"), ("d", None, "q\n| 4 |")]
+    want = [("unknown", 1, "p"), ("unknown", 1, "q"), ("unknown", 2, "p\n| 3 |"), ("unknown", 2, "q\n| 4 |"), ("x.md", 1, "first"), ("x.md", 1, "start"), ("x.md", 2, "first\n| 1 |\nlast"), ("x.md", 2, "start\n| 2 |\nend"), ("x.md", 3, "end"), ("x.md", 3, "last")]
+    with_path = spark.createDataFrame(rows, "path string, source string, text string")
+    for table in (with_path, with_path.drop("path")):
+        got = corpus.table_aware_documents(table).collect()
+        assert sorted((r["metadata"]["source"], r["metadata"]["chunk_id"], r["page_content"]) for r in got) == want
+        assert len({r["doc_id"] for r in got}) == len(got)
+
+
+def test_older_names_of_date_bounds(spark):
+    records = spark.createDataFrame([("r1", "information_price", "steel", 5.0, "2023-05-01"), ("r2", "information_price", "steel", 5.0, "2024-05-01"), ("r3", "information_price", None, 5.0, "2024-06-01")], "record_id string, channel string, materialName string, price double, releaseDate string")
+    rows = [(1, "steel", None, "2024-01-01"), (2, "steel", "", "2024-01-01"), (3, "steel", "2023-01-01", "2024-01-01"), (4, "", None, "2024-01-01"), (5, "steel", None, None)]
+    queries = spark.createDataFrame(rows, "query_id long, materialName string, startReleaseDate string, startReleaseTime string")
+    queries = queries.withColumns({"channel": F.lit("information_price"), **{c: F.lit(None).cast("string") for c in ("endReleaseDate", "materialModelSpec", "province", "city", "releaseDepartment", "brand", "supplyName", "grade")}})
+    queries = queries.withColumns({c: F.lit(None).cast("double") for c in ("minPrice", "maxPrice")}).withColumn("matchMethod", F.lit(1))
+    got = sorted((r["query_id"], r["record_id"]) for r in prices.filter_prices(records, queries).collect())
+    assert got == [(1, "r2"), (2, "r2"), (3, "r1"), (3, "r2"), (4, "r2"), (4, "r3"), (5, "r1"), (5, "r2")]
+
+
+def test_strict_statistics(spark):
+    rows = spark.createDataFrame([(1, "t", "1"), (1, "t", "n/a"), (1, "m", "2"), (1, "m", " "), (1, "m", None)], "query_id long, unit string, price string")
+    got = {r["unit"]: (r["valid_count"], r["invalid_count"], r["error"]) for r in analysis.price_stats(rows, strict=True).collect()}
+    assert got == {"t": (0, 1, "分析失败: n/a"), "m": (1, 2, None)}
+    assert {r["unit"]: r["valid_count"] for r in analysis.price_stats(rows).collect()} == {"t": 1, "m": 1}
+
+
+def test_searches_pass_over_unusable_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [None, 1.0]), (4, []), (5, [0.0, 1.0]), (6, [1.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = v.withColumnRenamed("vec_id", "query_id")
+    want = [(1, 1, 1), (1, 5, 2), (5, 5, 1), (5, 1, 2), (6, 6, 1)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in vectors.knn_exact(q, v, 5).collect()) == sorted((a, r, b) for a, b, r in want)
+    alike = v.filter("vec_id <> 6")
+    celled, centres = vectors.build_ivf(alike, 2)
+    assert sorted((r["query_id"], r["vec_id"]) for r in vectors.knn_ivf(alike.withColumnRenamed("vec_id", "query_id"), celled, centres, 5, 2).collect()) == [(1, 1), (1, 5), (5, 1), (5, 5)]
+
+
+def test_channel_reasons(spark):
+    """The texts as the service words them."""
+    rows = [(1, "请问信息价", None, None), (2, "询价 报价单", "b", None), (3, "走势", None, "m"), (4, "hello", None, None)]
+    q = spark.createDataFrame(rows, "question_id long, question string, brand string, materialName string").withColumns({c: F.lit(None).cast("string") for c in ("materialModelSpec", "startReleaseDate", "endReleaseDate")})
+    inferred = routing.infer_channel(q, routing.keyword_table(spark))
+    got = {r["question_id"]: (r["reason"], r["matched_keywords"]) for r in inferred.collect()}
+    assert got[1] == ("根据关键词「信息价」明确识别", ["信息价"])
+    assert got[2] == ("根据关键词「询价, 报价单, [实体特征]检测到品牌信息」推断", ["询价", "报价单", "[实体特征]检测到品牌信息"])
+    assert got[3] == ("根据关键词「走势」推断", ["走势"]) and got[4] == ("无法识别查询渠道", [])
+    told = {r["question_id"]: r["suggestion_text"] for r in routing.channel_suggestion(inferred).collect()}
+    assert told[1] == "已识别渠道：信息价" and told[2] == "推断渠道：厂商报价（根据关键词「询价, 报价单, [实体特征]检测到品牌信息」推断）"
+
+
 def test_ranges(spark):
     rows = [(1, None, 5.0, "", None), (2, 0.0, 5.0, "2024-01-01", "2024-01-02"), (3, 5.0, 5.0, "2024-01-01", "2024-01-01"), (4, -1.0, 5.0, "2024-13-01", "2024-01-02")]
     got = prices.validate_ranges(spark.createDataFrame(rows, "query_id long, minPrice double, maxPrice double, startReleaseDate string, endReleaseDate string")).orderBy("query_id").collect()
