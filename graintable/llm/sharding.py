@@ -5,7 +5,7 @@ shard's number. A further shard takes a record only if it wins, so records move
 scatters only its own. Only DataFrame functions are used.
 
 Slots number the rows of a shard from 0 without gaps. No task gets a whole shard: rows are numbered within the small hash buckets of
-a shard, and the buckets' starts come from their counts (shards x BUCKETS rows at most, so they may be broadcast).
+a shard, and the buckets' starts come from their counts (shards x BUCKETS rows at most), joined as Spark's size check finds best.
 
 Defined cases: a null key is hashed as the word ``null``; a null text has no bytes (size 1, CRC 0); repeated rows are numbered one
 after the other; an empty table gives an empty result; extra columns of any name are ignored by the query and kept by
@@ -51,7 +51,7 @@ def slots(df: DataFrame, group: str, bucket: str, order: Sequence[str], slot: st
     )
     row = F.row_number().over(Window.partitionBy(group, bucket).orderBy(*order))
     return (
-        df.withColumn("_row", row).join(F.broadcast(starts), [group, bucket])
+        df.withColumn("_row", row).join(starts, [group, bucket])
         .withColumn(slot, (F.col("_row") - 1 + F.col("_start")).cast("long"))
         .drop("_row", "_start")
     )
