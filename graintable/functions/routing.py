@@ -54,8 +54,9 @@ def keyword_table(spark: SparkSession) -> DataFrame:
 
 def keyword_scores(questions: DataFrame, keywords: DataFrame) -> DataFrame:
     """question_id, channel, score and matched (in the table's order) of every channel with a keyword in the question; keywords within others count too."""
-    hit = F.lower("question").contains(F.lower("keyword"))
-    met = questions.select("question_id", "question").join(F.broadcast(keywords), hit)  # the keywords are a fixed list
+    # lowered once, not for each pair; the keywords are a fixed list
+    lowered = questions.select("question_id", F.lower("question").alias("_question"))
+    met = lowered.join(F.broadcast(keywords.withColumn("_keyword", F.lower("keyword"))), F.col("_question").contains(F.col("_keyword")))
     ordered = F.array_sort(F.collect_list(F.struct("ord", "keyword")))
     return met.groupBy("question_id", "channel").agg(F.round(F.sum("weight"), 6).alias("score"), F.transform(ordered, lambda x: x["keyword"]).alias("matched"))
 
