@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language, line_dedup, minhash, mixing, sharding, substring_dedup, topk, url_filters
+from . import bpe, exact_dedup, importance, language, line_dedup, minhash, mixing, sharding, substring_dedup, topk, url_filters
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_topk": topk.op9_topk,
     "op10_url_filters": url_filters.op10_url_filters,
+    "op11_importance": importance.op11_importance,
 }
 ORACLES = {
     "op1_sharding": sharding.ORACLE_SQL,
@@ -22,4 +23,5 @@ ORACLES = {
     "op4_mixing": mixing.ORACLE_SQL,
     "op9_topk": topk.ORACLE_SQL,
     "op10_url_filters": url_filters.ORACLE_SQL,
+    "op11_importance": importance.ORACLE_SQL,
 }
