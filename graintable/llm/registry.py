@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, importance, language, line_dedup, minhash, mixing, sharding, substring_dedup, topk, url_filters
+from . import bpe, exact_dedup, importance, language, line_dedup, minhash, mixing, runs, sharding, substring_dedup, topk, url_filters
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_topk": topk.op9_topk,
     "op10_url_filters": url_filters.op10_url_filters,
     "op11_importance": importance.op11_importance,
+    "op12_runs": runs.op12_runs,
 }
 ORACLES = {
     "op1_sharding": sharding.ORACLE_SQL,
