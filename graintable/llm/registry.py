@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, importance, language, line_dedup, minhash, mixing, runs, sharding, substring_dedup, topk, url_filters
+from . import bpe, exact_dedup, importance, language, line_dedup, minhash, mixing, runs, sharding, substring_dedup, topk, url_filters, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_url_filters": url_filters.op10_url_filters,
     "op11_importance": importance.op11_importance,
     "op12_runs": runs.op12_runs,
+    "op13_warc": warc.op13_warc,
 }
 ORACLES = {
     "op1_sharding": sharding.ORACLE_SQL,
@@ -25,4 +26,5 @@ ORACLES = {
     "op9_topk": topk.ORACLE_SQL,
     "op10_url_filters": url_filters.ORACLE_SQL,
     "op11_importance": importance.ORACLE_SQL,
+    "op13_warc": warc.ORACLE_SQL,
 }
