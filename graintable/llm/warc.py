@@ -89,7 +89,8 @@ def write_warc(df: DataFrame, path: str, key: str, url: str, payload: str, least
     rows = df.select(F.col(key).alias("key"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload")).withColumn("digest", F.sha2("payload", 256))
     # only digests and keys are grouped; a payload that nothing equals needs no row here
     groups = rows.filter(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
-    known = rows.join(groups.drop("n"), "digest", "left")
+    # written, its size is known before the join: payloads are shuffled only if the groups are too many to be sent to all
+    known = rows.join(durable(groups.drop("n"), "warc-groups"), "digest", "left")
     revisits = F.when(~F.col("first").eqNullSafe(F.col("key")), F.col("first").cast("string"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
