@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import WORD, text_of
@@ -311,23 +311,26 @@ def find_runs(df: DataFrame, key: str = "doc_id", text: str = "text", length: in
 # --- the query --------------------------------------------------------------------------------------------------------------------
 
 
-def with_tails(key: Column, text: Column) -> Column:
-    """The text, every tenth by a hash of its key with a periodic tail: from word a on the next p words over and over. A null key changes nothing."""
-    h = F.crc32(key.cast("string"))
+def with_tails(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and ``text``, every tenth text by a hash of its key with a periodic tail: from word a on the next p words over and over. A null key changes nothing."""
+    h = F.crc32(F.col(key).cast("string"))
     g = F.floor(h / 10)
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    # the words are a column of their own, so that each word of a tail doesn't split the text again
+    split = docs.select(key, text, F.when(h % 10 == 0, F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("_words"))
+    words = F.col("_words")
     n = F.nullif(F.size(words), F.lit(0))
     a = (g % n).cast("int")
     p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-    tail = F.transform(F.sequence(a, n - 1), lambda i: F.element_at(words, a + (i - a) % p + 1))
-    changed = F.when(n.isNotNull(), F.array_join(F.concat(F.slice(words, 1, a), tail), " ")).otherwise(text)
-    return F.when(h % 10 == 0, changed).otherwise(text)
+    placed = split.select(key, text, "_words", a.alias("_a"), p.alias("_p"))
+    tail = F.transform(F.sequence("_a", F.size(words) - 1), lambda i: F.element_at(words, F.col("_a") + (i - F.col("_a")) % F.col("_p") + 1))
+    changed = F.array_join(F.concat(F.slice(words, 1, F.col("_a")), tail), " ")
+    return placed.select(key, F.when(F.size(words) > 0, changed).otherwise(F.col(text)).alias(text))
 
 
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The runs of every whole text of documents, a tenth with periodic tails."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text_of(F.col("text")).alias("text"))
-    found = find_runs(docs.select("doc_id", with_tails(F.col("doc_id"), F.col("text")).alias("text")))
+    found = find_runs(with_tails(docs))
     # arrays compare by their items: the greatest length, then the smallest start, then the smallest period
     best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
     lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))

@@ -149,5 +149,12 @@ def test_keys_that_change_blank_texts(spark):
     ids = [i for i in range(300) if zlib.crc32(str(i).encode()) % 10 == 0]
     rows = [(i, text) for i in ids for text in ("", " \n", None, "a", "a b c d e f g h i j")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = Counter((r[0], tuple(split(r[1]))) for r in df.select("doc_id", runs.with_tails(df["doc_id"], df["text"])).collect())
+    got = Counter((r[0], tuple(split(r[1]))) for r in runs.with_tails(df).collect())
     assert got == Counter((i, tuple(tail(i, split(text)))) for i, text in rows)
+
+
+def test_a_long_tail_is_not_quadratic(spark):
+    key = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    words = [f"w{i}" for i in range(200_000)]
+    (row,) = runs.with_tails(spark.createDataFrame([(key, " ".join(words))], "doc_id long, text string")).collect()
+    assert row["text"].split() == tail(key, words)
