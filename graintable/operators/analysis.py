@@ -1,7 +1,8 @@
 """Price analysis by query and unit.
 
 Everything works on distinct prices with their multiplicity: rows are counted by (query, unit, price) before anything is sorted, so a unit
-that most records share costs no more than its distinct prices.
+that most records share costs no more than its distinct prices. These are ranked once, a large group in many ranges (``orderstats``), and
+written; quartiles, medians, the best cut and the silhouette are then aggregates over ranks and running sums, combined before any shuffle.
 """
 
 from __future__ import annotations
@@ -9,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import durable
+from .orderstats import join_groups, quantile, running_sums
+
 GROUP = ["query_id", "unit"]
 UNKNOWN_UNIT = "UNKNOWN"
 # fixed values: texts of the answers
@@ -38,16 +42,36 @@ def distinct_prices(rows: DataFrame, group: list[str] = GROUP) -> DataFrame:
     return valid_prices(rows.select(*group, "price")).groupBy(*group, "price").agg(F.count(F.lit(1)).alias("m"))
 
 
+def counted_prices(rows: DataFrame, group: list[str] = GROUP) -> DataFrame:
+    """rows: group, price. Gives group, price (null if unusable), no_number (the text of a price that is no number, else null) and m, written: all that is read of the rows."""
+    text = F.col("price").cast("string")
+    no_number = F.when((F.trim(text) != "") & F.col("price").try_cast("double").isNull(), text)
+    return durable(rows.select(*group, valid_price(F.col("price")).alias("price"), no_number.alias("no_number")).groupBy(*group, "price", "no_number").agg(F.count(F.lit(1)).alias("m")), "counted-prices")
+
+
+def ranked_prices(counted: DataFrame, group: list[str] = GROUP) -> DataFrame:
+    """From ``counted_prices``: the distinct usable prices with m, r, s, n, total and part (see ``running_sums``), written."""
+    return durable(running_sums(counted.filter("price is not null").select(*group, "price", "m"), group), "ranked-prices")
+
+
+def _bounds(ranked: DataFrame, k: float, group: list[str]) -> DataFrame:
+    q = ranked.groupBy(*group).agg(*[quantile(F.col("price"), F.col("r"), F.col("n"), p).alias(name) for name, p in (("q1", 0.25), ("q3", 0.75))])
+    reach = k * (F.col("q3") - F.col("q1"))
+    return q.select(*group, (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
+
+
 def quartile_bounds(prices: DataFrame, k: float = 1.5, group: list[str] = GROUP) -> DataFrame:
     """prices: group, price, m. Gives group, low and high: the quartiles, interpolated, less or plus k times their distance."""
-    q = prices.groupBy(*group).agg(F.percentile("price", F.array(F.lit(0.25), F.lit(0.75)), F.col("m")).alias("q"))
-    reach = k * (F.col("q")[1] - F.col("q")[0])
-    return q.select(*group, (F.col("q")[0] - reach).alias("low"), (F.col("q")[1] + reach).alias("high"))
+    return _bounds(running_sums(prices, group), k, group)
+
+
+def _within(prices: DataFrame, bounds: DataFrame, group: list[str]) -> DataFrame:
+    return join_groups(prices, bounds, group).filter(F.col("price").between(F.col("low"), F.col("high"))).drop("low", "high")
 
 
 def remove_outliers(prices: DataFrame, k: float = 1.5, group: list[str] = GROUP) -> DataFrame:
     """The prices within the bounds, both included."""
-    return prices.join(quartile_bounds(prices, k, group), group).filter(F.col("price").between(F.col("low"), F.col("high"))).drop("low", "high")
+    return _within(prices, quartile_bounds(prices, k, group), group)
 
 
 def price_stats(rows: DataFrame, group: list[str] = GROUP, strict: bool = False) -> DataFrame:
@@ -55,24 +79,27 @@ def price_stats(rows: DataFrame, group: list[str] = GROUP, strict: bool = False)
 
     A price that is no number counts as invalid; if ``strict``, its group has an error and no statistics.
     """
-    text = F.col("price").cast("string")
-    no_number = (F.trim(text) != "") & F.col("price").try_cast("double").isNull()
-    total = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("total_count"), F.count(valid_price(F.col("price"))).alias("usable"), F.min(F.when(no_number, text)).alias("no_number"))
+    counted = counted_prices(rows, group)
+    return _stats(counted, ranked_prices(counted, group), group, strict)
+
+
+def _stats(counted: DataFrame, ranked: DataFrame, group: list[str], strict: bool = False) -> DataFrame:
+    total = counted.groupBy(*group).agg(F.sum("m").alias("total_count"), F.coalesce(F.sum(F.when(F.col("price").isNotNull(), F.col("m"))), F.lit(0)).alias("usable"), F.min("no_number").alias("no_number"))
     failed = F.col("no_number").isNotNull() & F.lit(strict)
-    prices = remove_outliers(distinct_prices(rows, group), group=group)
-    if strict:
-        prices = prices.join(total.filter(failed), group, "left_anti")
-    n, m, x = F.sum("m"), F.col("m"), F.col("price")
-    mean = F.sum(x * m) / n
-    stats = prices.groupBy(*group).agg(n.alias("valid_count"), F.min("price").alias("min_price"), F.max("price").alias("max_price"), mean.alias("mean_price"), F.percentile("price", F.lit(0.5), m).alias("median_price"))
+    kept = _within(ranked, _bounds(ranked, 1.5, group), group)
+    x, m, r = F.col("price"), F.col("m"), F.col("r")
+    # what is kept are neighbours: their ranks less what lies below
+    stats = kept.groupBy(*group).agg(F.sum("m").alias("valid_count"), F.min("price").alias("min_price"), F.max("price").alias("max_price"), (F.sum(x * m) / F.sum("m")).alias("mean_price"), F.min(r - m).alias("_below"))
     # deviations from the mean, as sums of squares alone lose digits
-    spread = prices.join(stats.select(*group, "mean_price"), group).groupBy(*group).agg(F.sum(F.pow(x - F.col("mean_price"), 2) * m).alias("squares"))
+    spread = join_groups(kept, stats.select(*group, "mean_price", "valid_count", "_below"), group).groupBy(*group).agg(F.sum(F.pow(x - F.col("mean_price"), 2) * m).alias("squares"), quantile(x, r - F.col("_below"), F.col("valid_count"), 0.5).alias("median_price"))
     count = F.coalesce("valid_count", F.lit(0))
     std = F.when(count < 2, 0.0).otherwise(F.sqrt(F.col("squares") / (count - 1)))
     half = 1.96 * F.col("std_price") / F.sqrt("valid_count")
     error = F.when(failed, F.concat(F.lit(FAILED), "no_number")).when(F.col("total_count") == 0, NO_DATA).when(F.col("usable") == 0, NO_VALID_DATA)
+    found = join_groups(total, join_groups(stats, spread, group), group, "left")
+    values = ("valid_count", "min_price", "max_price", "mean_price", "median_price", "squares")
     return (
-        total.join(stats.join(spread, group), group, "left")
+        found.withColumns({c: F.when(~failed, F.col(c)) for c in values})
         .withColumn("valid_count", count).withColumn("std_price", F.when(F.col("mean_price").isNotNull(), std))
         .select(*group, "total_count", (F.col("total_count") - F.col("usable")).alias("invalid_count"), "valid_count", "min_price", "max_price", "mean_price", "median_price", "std_price",
                 F.when(F.col("valid_count") >= 2, F.col("mean_price") - half).alias("ci_low"), F.when(F.col("valid_count") >= 2, F.col("mean_price") + half).alias("ci_high"), error.alias("error"))
@@ -85,15 +112,16 @@ def price_tiers(rows: DataFrame, group: list[str] = GROUP, least_silhouette: flo
     Two clusters of numbers are a cut of their sorted order, so the best cut and the mean silhouette come from running sums over the
     distinct prices: exact, where iterating from random centres finds a local optimum. Of equally good cuts the lowest is taken.
     """
-    part = Window.partitionBy(*group)
-    order = part.orderBy("price")
-    p = distinct_prices(rows, group).withColumn("n", F.sum("m").over(part)).withColumn("total", F.sum(F.col("price") * F.col("m")).over(part))
-    p = p.withColumn("r", F.sum("m").over(order)).withColumn("s", F.sum(F.col("price") * F.col("m")).over(order))
-    gain = F.when(F.col("r") < F.col("n"), F.col("s") * F.col("s") / F.col("r") + (F.col("total") - F.col("s")) * (F.col("total") - F.col("s")) / (F.col("n") - F.col("r")))
-    best = F.max(F.when(gain.isNotNull(), F.struct(gain.alias("gain"), (-F.col("r")).alias("r"), F.col("s").alias("s")))).over(part)
-    p = p.withColumn("best", best).withColumn("n_left", -F.col("best.r")).withColumn("n_right", F.col("n") - F.col("n_left")).withColumn("s_left", F.col("best.s"))
-    p = p.withColumn("m_left", F.col("s_left") / F.col("n_left")).withColumn("m_right", (F.col("total") - F.col("s_left")) / F.col("n_right"))
+    return _tiers(ranked_prices(counted_prices(rows, group), group), group, least_silhouette, least_gap, least_share)
+
+
+def _tiers(p: DataFrame, group: list[str], least_silhouette: float = 0.5, least_gap: float = 0.3, least_share: float = 0.1) -> DataFrame:
     x, m = F.col("price"), F.col("m")
+    rest = F.col("total") - F.col("s")
+    gain = F.when(F.col("r") < F.col("n"), F.col("s") * F.col("s") / F.col("r") + rest * rest / (F.col("n") - F.col("r")))
+    best = p.groupBy(*group).agg(F.max(F.when(gain.isNotNull(), F.struct(gain.alias("gain"), (-F.col("r")).alias("r"), F.col("s").alias("s")))).alias("best"))
+    p = join_groups(p, best.select(*group, (-F.col("best.r")).alias("n_left"), F.col("best.s").alias("s_left")), group).withColumn("n_right", F.col("n") - F.col("n_left"))
+    p = p.withColumn("m_left", F.col("s_left") / F.col("n_left")).withColumn("m_right", (F.col("total") - F.col("s_left")) / F.col("n_right"))
     left = F.col("r") <= F.col("n_left")
     size = F.when(left, F.col("n_left")).otherwise(F.col("n_right"))
     # sum of distances to the members of the own cluster: below (count and sum before this price) and above
@@ -104,10 +132,9 @@ def price_tiers(rows: DataFrame, group: list[str] = GROUP, least_silhouette: flo
     a = (x * below_n - below_s + above_s - x * above_n) / (size - 1)
     b = F.when(left, F.col("m_right") - x).otherwise(x - F.col("m_left"))
     single = F.when(size == 1, 0.0).otherwise((b - a) / F.greatest(a, b))
-    median = F.percentile("price", F.lit(0.5), m)
     out = p.withColumn("one", single).groupBy(*group).agg(
-        F.first("n").alias("n"), F.first("n_left").alias("n_left"), F.first("n_right").alias("n_right"), F.first("m_left").alias("m_left"), F.first("m_right").alias("m_right"),
-        (F.sum(F.col("one") * m) / F.sum(m)).alias("silhouette"), F.first("total").alias("total"), median.alias("median"),
+        *[F.max(c).alias(c) for c in ("n", "n_left", "n_right", "m_left", "m_right", "total")],
+        (F.sum(F.col("one") * m) / F.sum(m)).alias("silhouette"), quantile(x, F.col("r"), F.col("n"), 0.5).alias("median"),
     )
     mean = F.col("total") / F.col("n")
     gap = F.when(mean == 0, 0.0).otherwise((F.col("m_right") - F.col("m_left")) / mean)
@@ -122,7 +149,9 @@ def price_tiers(rows: DataFrame, group: list[str] = GROUP, least_silhouette: flo
 def analyze_by_unit(rows: DataFrame) -> DataFrame:
     """rows: query_id, unit, price. Statistics and levels of each unit, with unit_rank: 1 for the most common (ties by name)."""
     named = rows.withColumn("unit", unit_of(F.col("unit")))
-    joined = price_stats(named).join(price_tiers(named).select(*GROUP, "mode", "prices", "reason"), GROUP, "left")
+    counted = counted_prices(named)
+    ranked = ranked_prices(counted)
+    joined = join_groups(_stats(counted, ranked, GROUP), _tiers(ranked, GROUP).select(*GROUP, "mode", "prices", "reason"), GROUP, "left")
     return joined.withColumn("unit_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("total_count").desc(), "unit")))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import durable
 from ..schemas import CHANNELS, FILTER_FIELDS
 from .names import either_holds
 
@@ -49,22 +50,28 @@ def with_dates(queries: DataFrame) -> DataFrame:
 
 
 def names_asked(records: DataFrame, queries: DataFrame) -> DataFrame:
-    """channel, materialName and _q: the queries with a name, as structs, that each distinct name of a channel meets.
+    """channel, materialName and _q: the queries, as structs, that each distinct name of a channel meets.
 
     Exact names are joined as they are. For the rest the distinct names in lower case and the distinct names asked for meet by their rarest common gram
-    (``names.either_holds``); an empty name is in every other."""
+    (``names.either_holds``); an empty name is in every other. Queries without a name meet all names of their channel, which are dealt to SALTS parts."""
     asked = with_dates(with_channel(queries))
-    q = asked.select("channel", F.struct(*asked.columns).alias("_q")).filter(~blank(F.col("_q.materialName")))
+    q = asked.select("channel", F.struct(*asked.columns).alias("_q"))
+    name = F.col("_q.materialName")
     exact = F.coalesce(F.col("_q.matchMethod"), F.lit(1)) == 2
-    names = records.select("channel", "materialName").filter("materialName is not null").distinct()
-    equal = q.filter(exact).withColumn("materialName", F.col("_q.materialName")).join(names, ["channel", "materialName"])
-    wanted = q.filter(~exact).withColumn("_wanted", F.lower("_q.materialName"))
-    lowered = names.withColumn("_lower", F.lower("materialName"))
+    # written: they are read several times, and records may be a view that is costly to make
+    names = durable(records.select("channel", "materialName").distinct(), "names")
+    named = names.filter("materialName is not null")
+    equal = q.filter(exact & ~blank(name)).withColumn("materialName", name).join(named, ["channel", "materialName"])
+    wanted = q.filter(~exact & ~blank(name)).withColumn("_wanted", F.lower(name))
+    lowered = named.withColumn("_lower", F.lower("materialName"))
     pairs = either_holds(lowered.select("channel", F.col("_lower").alias("a")).distinct(), wanted.select("channel", F.col("_wanted").alias("b")).distinct())
     like = pairs.select("channel", F.col("a").alias("_lower"), F.col("b").alias("_wanted")).join(lowered, ["channel", "_lower"]).join(wanted, ["channel", "_wanted"])
     # at most one empty name in each channel
-    empty = names.filter("materialName = ''").join(wanted, "channel")
-    return equal.select("channel", "materialName", "_q").unionByName(like.select("channel", "materialName", "_q")).unionByName(empty.select("channel", "materialName", "_q"))
+    empty = named.filter("materialName = ''").join(wanted, "channel")
+    salt = F.pmod(F.xxhash64("materialName"), F.lit(SALTS)).cast("int")
+    every = names.withColumn("_salt", salt).join(q.filter(blank(name)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["channel", "_salt"])
+    columns = ["channel", "materialName", "_q"]
+    return equal.select(columns).unionByName(like.select(columns)).unionByName(empty.select(columns)).unionByName(every.select(columns))
 
 
 def _condition(records: DataFrame, q: str = "_q") -> Column:
@@ -84,17 +91,11 @@ def filter_prices(records: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id with each record that meets the query.
 
     Names are compared once for each distinct name of a channel, not for each record; records are joined to the queries of their channel and
-    name, and only the other conditions are left to test. A name that very many records have is split by adaptive execution. Queries
-    without a name meet all records of their channel; these are dealt to SALTS parts, each of which gets such queries.
+    name, and only the other conditions are left to test. A name that very many records have is split by adaptive execution.
     """
     asked = names_asked(records, queries).withColumnRenamed("channel", "_channel").withColumnRenamed("materialName", "_name")
-    named = records.join(asked, (F.col("channel") == F.col("_channel")) & (F.col("materialName") == F.col("_name"))).filter(_condition(records))
-    every = with_dates(with_channel(queries)).filter(blank(F.col("materialName")))
-    every = every.select(F.col("channel").alias("_channel"), F.struct(*every.columns).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    salt = F.pmod(F.xxhash64("record_id"), F.lit(SALTS)) if "record_id" in records.columns else F.pmod(F.xxhash64(*records.columns), F.lit(SALTS))
-    unnamed = records.join(every, (F.col("channel") == F.col("_channel")) & (salt == F.col("_salt"))).filter(_condition(records))
-    out = lambda met: met.select(F.col("_q.query_id").alias("query_id"), *records.columns)
-    return out(named).unionByName(out(unnamed))
+    met = records.join(asked, (F.col("channel") == F.col("_channel")) & F.col("materialName").eqNullSafe(F.col("_name"))).filter(_condition(records))
+    return met.select(F.col("_q.query_id").alias("query_id"), *records.columns)
 
 
 def count_matches(matches: DataFrame, queries: DataFrame) -> DataFrame:

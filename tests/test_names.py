@@ -72,4 +72,4 @@ def test_no_join_by_channel_alone(spark):
     joins = [line for line in plan.splitlines() if "Join" in line]
     # but for that of the one empty name a channel may have
     alone = [j for j in joins if "[channel#" in j and "," not in j[j.index("[channel#") : j.index("]", j.index("[channel#"))]]
-    assert len(joins) > 6 and "NestedLoop" not in plan and "Cartesian" not in plan and len(alone) == 1
+    assert len(joins) > 5 and "NestedLoop" not in plan and "Cartesian" not in plan and len(alone) == 1
