@@ -78,6 +78,19 @@ def table_aware_documents(files: DataFrame) -> DataFrame:
     return chunks.select(F.xxhash64("file.h", "chunk_id").alias("doc_id"), "page_content", F.struct("type", F.col("chunk_id").cast("int").alias("chunk_id"), "file.source").alias("metadata"))
 
 
+def split_documents(files: DataFrame) -> DataFrame:
+    """files: source, text and, if they are there, path and suffix (else that of the source's name). Chunk rows as of ``table_aware_documents``: text files
+    (suffix txt) are split recursively, all others with their tables kept whole."""
+    suffix = F.col("suffix") if "suffix" in files.columns else F.regexp_extract("source", r"\.([^./]+)$", 1)
+    plain = F.coalesce(F.lower(suffix) == "txt", F.lit(False))
+    place = F.coalesce(F.col("path"), F.col("source")) if "path" in files.columns else F.col("source")
+    texts = files.filter(plain)
+    pieces = texts.select(F.xxhash64(place, "text").alias("h"), F.coalesce("source", F.lit("unknown")).alias("source"), F.posexplode(split_column(F.col("text"), 500, 50, DEFAULT_SEPARATORS)).alias("pos", "page_content"))
+    number = (F.col("pos") + 1).cast("int").alias("chunk_id")
+    recursive = pieces.select(F.xxhash64("h", number.cast("long")).alias("doc_id"), "page_content", F.struct(F.lit("text").alias("type"), number, "source").alias("metadata"))
+    return table_aware_documents(files.filter(~plain)).unionByName(recursive)
+
+
 def process_uploads(files: DataFrame) -> DataFrame:
     """files: filename, text. Per file: status, the name it is stored under and its Markdown; an unusable name is an error of that file alone."""
     base = F.element_at(F.split(F.replace("filename", F.lit("\\"), F.lit("/")), "/"), -1)

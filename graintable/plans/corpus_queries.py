@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.html import html_to_markdown as to_markdown
-from ..operators import bm25, corpus, ranking, vectors
+from ..operators import blockmax, bm25, corpus, ranking, vectors
 from ..sources import files
 from .answer import answer_retrieval as answer
 
@@ -139,9 +139,9 @@ def index_alignment(spark, d):
 
 
 TOKENS_SQL = r"tokens AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS t FROM documents)"
-INDEX_SQL = f"""{TOKENS_SQL}, postings AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tokens) GROUP BY ALL), sizes AS (SELECT doc_id, len(t) AS dl FROM tokens),
-n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM sizes), raws AS (SELECT term, count(*) AS df, ln((SELECT n FROM n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM postings GROUP BY term),
-terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws)"""
+INDEX_SQL = f"""{TOKENS_SQL}, postings AS MATERIALIZED (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tokens) GROUP BY ALL), sizes AS (SELECT doc_id, len(t) AS dl FROM tokens),
+n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM sizes), raws AS MATERIALIZED (SELECT term, count(*) AS df, ln((SELECT n FROM n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM postings GROUP BY term),
+mean AS MATERIALIZED (SELECT avg(raw) AS mean_raw FROM raws), terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean_raw ELSE raw END AS idf FROM raws, mean)"""
 SEARCH_SQL = f"""{INDEX_SQL}, asked AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS term FROM benchmark) GROUP BY ALL),
 scored AS (SELECT query_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM asked JOIN terms USING (term) JOIN postings USING (term) JOIN sizes USING (doc_id), n GROUP BY ALL),
 hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)"""
@@ -169,6 +169,12 @@ def bm25_search(spark, d):
     return _hits(spark, d).withColumn("score", F.round("score", 4))
 
 
+@query(f"WITH {SEARCH_SQL} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM hits WHERE rank <= 20")
+def bm25_search_blocks(spark, d):
+    """The same over packed blocks, of which only those that may matter are read."""
+    return blockmax.search(_items(spark, d).select("query_id", bm25.tokenize(F.col("query")).alias("tokens")), blockmax.pack(_index(spark, d)), 20).withColumn("score", F.round("score", 4))
+
+
 @query("SELECT d.doc_id AS hit_id, f.doc_id AS doc_id FROM documents d JOIN (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY 1) f ON d.text = f.text")
 def resolve_passages(spark, d):
     """Every document as a hit: the first with its text."""

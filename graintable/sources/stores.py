@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..durable import durable
-from ..operators.corpus import detect_changes, source_fingerprints, table_aware_documents
+from ..operators.corpus import detect_changes, source_fingerprints, split_documents
 from ..schemas import CHUNK
 
 PARTS = 16  # files that the chunks of one source are dealt to
@@ -30,28 +30,30 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rebuild_corpus(files: DataFrame, path: str, last: int = 0, force: bool = False) -> DataFrame:
-    """files: source, text and, if there is one, path. Chunks again only the sources that are new or changed since rebuild number ``last`` (0: there is none) of ``path``; gives source and change of all.
+    """files: source, text and, if they are there, path and suffix. Chunks again only the sources that are new or changed since rebuild number ``last`` (0: there is none) of ``path``; gives source and change of all.
 
-    Chunks lie under ``path``/chunks, by source. The sources' fingerprints of each rebuild are kept under its number, written last: a rebuild
-    that fails is done again with the same ``last``. Chunks of removed sources are passed over by ``read_rebuilt``.
+    A null or empty source is called unknown. Chunks lie under ``path``/chunks, by the rebuild that made them and source. Each rebuild keeps the sources' fingerprints
+    and by which rebuild each was chunked, under its number, written last: a rebuild that fails is done again with the same ``last``. ``read_rebuilt`` reads a
+    source's chunks of that one rebuild, so what a source had before, or had before it was removed, is passed over, also where nothing took its place.
     """
     spark = files.sparkSession
-    named = files.withColumn("source", F.coalesce("source", F.lit("unknown")))
+    named = files.withColumn("source", F.coalesce(F.nullif("source", F.lit("")), F.lit("unknown")))
     now = durable(source_fingerprints(named.withColumn("meta", F.col("path") if "path" in files.columns else F.lit("")), content="text"), "fingerprints")
-    old = spark.read.parquet(f"{path}/fingerprints-{last}") if last else now.limit(0)
-    changes = durable(detect_changes(old, now, force), "changes")
+    old = spark.read.parquet(f"{path}/fingerprints-{last}") if last else now.limit(0).withColumn("built", F.lit(0))
+    changes = durable(detect_changes(old.drop("built"), now, force), "changes")
     wanted = changes.filter("change IN ('added', 'changed')").select("source")
-    chunks = table_aware_documents(named.join(wanted, "source", "left_semi"))
-    _by_source(chunks).option("partitionOverwriteMode", "dynamic").parquet(f"{path}/chunks")
-    now.write.mode("overwrite").parquet(f"{path}/fingerprints-{last + 1}")
+    chunks = split_documents(named.join(wanted, "source", "left_semi"))
+    _by_source(chunks).parquet(f"{path}/chunks/rebuild={last + 1}")
+    built = now.join(wanted.withColumn("_new", F.lit(last + 1)), "source", "left").join(old.select("source", F.col("built").alias("_old")), "source", "left")
+    built.withColumn("built", F.coalesce("_new", "_old")).drop("_new", "_old").write.mode("overwrite").parquet(f"{path}/fingerprints-{last + 1}")
     return changes
 
 
 def read_rebuilt(spark: SparkSession, path: str, last: int) -> DataFrame:
     """The chunks of the sources that rebuild number ``last`` found."""
-    chunks = spark.read.schema(StructType([*CHUNK.fields, StructField("source", StringType())])).parquet(f"{path}/chunks")
-    present = spark.read.parquet(f"{path}/fingerprints-{last}").select("source")
-    return chunks.join(present, "source", "left_semi").select(*CHUNK.names)
+    chunks = spark.read.schema(StructType([*CHUNK.fields, StructField("rebuild", IntegerType()), StructField("source", StringType())])).parquet(f"{path}/chunks")
+    present = spark.read.parquet(f"{path}/fingerprints-{last}").select("source", F.col("built").alias("rebuild"))
+    return chunks.join(present, ["source", "rebuild"], "left_semi").select(*CHUNK.names)
 
 
 def write_bm25_index(index: dict[str, DataFrame], path: str, parts: int = 64) -> None:
@@ -64,9 +66,9 @@ def write_bm25_index(index: dict[str, DataFrame], path: str, parts: int = 64) ->
             table.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def read_bm25_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables as written; postings and terms keep part, by which a search prunes what it reads."""
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "documents", "terms", "totals")}
+def read_bm25_index(spark: SparkSession, path: str, blocks: bool = False) -> dict[str, DataFrame]:
+    """The tables as written; postings and terms keep part, by which a search prunes what it reads. ``blocks``: those of a packed index, too."""
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "documents", "terms", "totals", *["blocks"] * blocks)}
 
 
 def write_vectors(vectors: DataFrame, path: str, drop_old: bool = True) -> None:

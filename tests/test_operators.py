@@ -239,14 +239,32 @@ def test_rebuild_only_what_changed(spark, tmp_path):
     a, b, c = ("x/a.md", "a.md", "one\n| t |\ntwo"), ("b.md", "b.md", "bee"), ("c.md", "c.md", "sea")
     assert changes(stores.rebuild_corpus(files_of(a, b), f"{tmp_path}/r")) == {"a.md": "added", "b.md": "added"}
     assert chunks(1) == [("a.md", 1, "one"), ("a.md", 2, "one\n| t |\ntwo"), ("a.md", 3, "two"), ("b.md", 1, "bee")]
-    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "r/chunks/source=a.md").glob("*.parquet")}
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "r/chunks/rebuild=1/source=a.md").glob("*.parquet")}
     assert changes(stores.rebuild_corpus(files_of(a, ("b.md", "b.md", "bees"), c), f"{tmp_path}/r", 1)) == {"a.md": "same", "b.md": "changed", "c.md": "added"}
-    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "r/chunks/source=a.md").glob("*.parquet")} == before
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "r/chunks/rebuild=1/source=a.md").glob("*.parquet")} == before
     assert ("b.md", 1, "bees") in chunks(2) and ("c.md", 1, "sea") in chunks(2) and len(chunks(2)) == 5
     assert changes(stores.rebuild_corpus(files_of(a), f"{tmp_path}/r", 2)) == {"a.md": "same", "b.md": "removed", "c.md": "removed"}
     assert len(chunks(3)) == 3
 
 
+def test_rebuild_leaves_nothing_stale_or_lost(spark, tmp_path):
+    """A source that becomes empty has no chunks; sources without a name are kept; text files are split otherwise than Markdown."""
+    long = "word " * 150
+    rows = [("1", "a.md", "one"), ("2", "", "nameless"), ("3", None, "null"), ("4", "t.txt", f"| not | a table |\n\n{long}"), ("5", "m.md", "| a | table |"), ("6", None, "")]
+    files_of = lambda rows: spark.createDataFrame(rows, "path string, source string, text string")
+    chunks = lambda n: sorted((r["metadata"]["source"], r["metadata"]["type"], r["page_content"]) for r in stores.read_rebuilt(spark, f"{tmp_path}/r", n).collect())
+    stores.rebuild_corpus(files_of(rows), f"{tmp_path}/r")
+    split = [("t.txt", "text", c) for c in splitting.recursive_split(rows[3][2])]
+    want = [("m.md", "table", "| a | table |"), *split, ("unknown", "text", "nameless"), ("unknown", "text", "null")]
+    assert len(split) > 2 and chunks(1) == sorted([("a.md", "text", "one"), *want])
+    assert {r["source"]: r["change"] for r in stores.rebuild_corpus(files_of([("1", "a.md", ""), *rows[1:]]), f"{tmp_path}/r", 1).collect()} == {"a.md": "changed", "unknown": "same", "t.txt": "same", "m.md": "same"}
+    assert chunks(2) == sorted(want)
+    # done again after a failure, and rebuilt when the text is back
+    stores.rebuild_corpus(files_of([("1", "a.md", ""), *rows[1:]]), f"{tmp_path}/r", 1)
+    stores.rebuild_corpus(files_of(rows), f"{tmp_path}/r", 2)
+    assert chunks(2) == sorted(want) and chunks(3) == sorted([("a.md", "text", "one"), *want])
+
+
 def test_files_of_one_name_stay_apart(spark):
     """Two files of three lines each; none takes lines or context of the other."""
     rows = [("a/x.md", "x.md", "first\n| 1 |\nlast"), ("b/x.md", "x.md", "start\n| 2 |\nend"), ("c", None, "p\n| 3 |"), ("d", None, "q\n| 4 |")]
