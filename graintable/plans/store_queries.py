@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..durable import shared_dir
 from ..operators import bm25
-from ..sources import files, stores
+from ..sources import files, segments, stores
 from .corpus_queries import SEARCH_SQL
 
 QUERIES = {}
@@ -92,6 +92,21 @@ def write_bm25_index(spark, d):
     return bm25.search(asked, stores.read_bm25_index(spark, path), 20).withColumn("score", F.round("score", 4))
 
 
+@query(f"WITH {SEARCH_SQL} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM hits WHERE rank <= 20")
+def update_bm25_index(spark, d):
+    """An index of an older state (a third of the documents missing, a tenth with other texts, some that are gone) brought up to date, its segments merged, and searched."""
+    path = _new(spark, "segments")
+    tokens = _docs(spark, d).select("doc_id", bm25.tokenize(F.col("text")).alias("tokens"))
+    other, missing = F.col("doc_id") % 10 == 1, F.col("doc_id") % 3 == 0
+    gone = tokens.filter("doc_id % 7 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), "tokens")
+    old = tokens.filter(~missing).withColumn("tokens", F.when(other, F.slice("tokens", 1, 5)).otherwise(F.col("tokens")))
+    first = segments.update_index(old.unionByName(gone), path)
+    second = segments.update_index(tokens.filter(missing | other), path, gone.select("doc_id"), first)
+    last = segments.merge_segments(spark, path, second, segments.segments_of(spark, path, second))
+    asked = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), bm25.tokenize(F.col("text")).alias("tokens"))
+    return bm25.search(asked, segments.open_index(spark, path, last), 20).withColumn("score", F.round("score", 4))
+
+
 @query("SELECT vec_id, label::INTEGER AS cell, len(embedding)::INTEGER AS dims, round(embedding[64]::DOUBLE, 5) AS last FROM embeddings")
 def write_vectors(spark, d):
     """Vectors stored by label, twice, the second time in place of the first."""
