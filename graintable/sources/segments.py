@@ -80,7 +80,8 @@ def update_index(tokens: DataFrame, path: str, removed: DataFrame | None = None,
 
 def _write(path: str, number: int, postings: DataFrame, documents: DataFrame, frequencies: DataFrame, sums: DataFrame) -> None:
     for name, table, column, by in (("postings", postings, "term", "part"), ("documents", documents, "doc_id", "bucket"), ("frequencies", frequencies, "term", "part")):
-        _bucket(table, column, by).repartition(by).sortWithinPartitions(column).write.mode("overwrite").partitionBy(by).parquet(f"{path}/{name}/segment={number}")
+        # rebalanced, not repartitioned: a large bucket is written by several tasks
+        _bucket(table, column, by).hint("rebalance", by).sortWithinPartitions(column).write.mode("overwrite").partitionBy(by).parquet(f"{path}/{name}/segment={number}")
     sums.coalesce(1).write.mode("overwrite").parquet(f"{path}/sums/segment={number}")
 
 

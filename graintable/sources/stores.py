@@ -61,7 +61,8 @@ def write_bm25_index(index: dict[str, DataFrame], path: str, parts: int = 64) ->
     for name, table in index.items():
         if "term" in table.columns:
             table = table.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
-            table.repartition("part").sortWithinPartitions("term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/{name}")
+            # rebalanced, not repartitioned: a large part is written by several tasks
+            table.hint("rebalance", "part").sortWithinPartitions("term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/{name}")
         else:
             table.write.mode("overwrite").parquet(f"{path}/{name}")
 
