@@ -288,7 +288,7 @@ def resolved(found: DataFrame) -> DataFrame:
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back."""
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path, "page_id", "url", "html")
+    write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path, "page_id", "url", "html", compression="gzip")
     found = resolved(captures(read_warc(spark, path)))
     return found.select(
         F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to")
