@@ -120,6 +120,30 @@ def source_fingerprints(chunks: DataFrame, source: str = "source", content: str
     return part.groupBy(source).agg(joined.alias("fingerprint"), F.sum("n").alias("chunks"))
 
 
+SUMS = [f"s{i}" for i in range(8)]
+
+
+def multiset_sums(chunks: DataFrame, source: str = "source", content: str = "page_content", meta: str = "meta") -> DataFrame:
+    """source, chunks and s0 to s7: the 256 bits of every chunk's hash as eight numbers, summed. Sums don't depend on order, are combined before any
+    shuffle, and can be added to and taken from (``updated_sums``); repeated chunks count each time. Nulls differ from empty texts."""
+    parts = [x for c in (content, meta) for x in (F.coalesce(F.length(c), F.lit(-1)).cast("string"), F.coalesce(F.col(c), F.lit("")))]
+    row = chunks.select(source, F.sha2(F.concat_ws(":", *parts), 256).alias("_h"))
+    word = lambda i: F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")
+    return row.groupBy(source).agg(F.count(F.lit(1)).alias("chunks"), *[F.sum(word(i)).cast("decimal(38,0)").alias(name) for i, name in enumerate(SUMS)])
+
+
+def updated_sums(old: DataFrame, added: DataFrame, removed: DataFrame, source: str = "source", content: str = "page_content", meta: str = "meta") -> DataFrame:
+    """old: of ``multiset_sums``. The sums after some chunks came and some went, from these alone; a changed chunk is removed and added. Sources without chunks are left out."""
+    gone = multiset_sums(removed, source, content, meta).select(source, *[(-F.col(c)).alias(c) for c in ("chunks", *SUMS)])
+    every = old.select(source, "chunks", *SUMS).unionByName(multiset_sums(added, source, content, meta)).unionByName(gone)
+    return every.groupBy(source).agg(*[F.sum(c).cast("long" if c == "chunks" else "decimal(38,0)").alias(c) for c in ("chunks", *SUMS)]).filter("chunks <> 0")
+
+
+def sums_fingerprint(sums: DataFrame, source: str = "source") -> DataFrame:
+    """source, fingerprint and chunks, as ``detect_changes`` takes them."""
+    return sums.select(source, F.concat_ws("-", *[F.col(c).cast("string") for c in SUMS]).alias("fingerprint"), "chunks")
+
+
 def detect_changes(old: DataFrame, new: DataFrame, force: bool = False) -> DataFrame:
     """Both: source, fingerprint. source and change: added, removed, changed or same (changed, if forced)."""
     joined = old.select("source", F.col("fingerprint").alias("was")).join(new.select("source", F.col("fingerprint").alias("now")), "source", "full")

@@ -131,6 +131,23 @@ def test_fingerprint_ignores_order_and_sees_changes(spark):
     assert [r[0] for r in corpus.changed_sources(corpus.source_fingerprints(a), corpus.source_fingerprints(c)).collect()] == ["u"]
 
 
+def test_fingerprints_add_and_remove(spark):
+    """Equal for any order and grouping of updates; what is added and taken away leaves the old value; repeats and nulls count."""
+    schema = "source string, page_content string, meta string"
+    rows = [("s", f"text {i}", "m") for i in range(30)] + [("t", "x", None), ("t", "x", None), ("t", None, "m"), ("t", "", "m"), (None, "n", "m")]
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    prints = lambda sums: {tuple(r) for r in corpus.sums_fingerprint(sums).collect()}
+    whole = corpus.multiset_sums(frame(rows))
+    assert prints(corpus.multiset_sums(frame(random.Random(2).sample(rows, len(rows))).repartition(5))) == prints(whole)
+    less = corpus.updated_sums(whole, frame([("u", "new", "m")]), frame([*rows[:10], rows[30]]))
+    assert prints(less) == prints(corpus.multiset_sums(frame([*rows[10:30], *rows[31:], ("u", "new", "m")]))) != prints(whole)
+    assert prints(corpus.updated_sums(less, frame([*rows[:10], rows[30]]), frame([("u", "new", "m")]))) == prints(whole)
+    assert len({p for _, p, _ in prints(corpus.multiset_sums(frame([(str(i), *r) for i, r in enumerate([(None, "m"), ("", "m"), ("", None), ("m", ""), ("x", "m"), ("x:1", "m")])])))}) == 6
+    changes = {r["source"]: r["change"] for r in corpus.detect_changes(corpus.sums_fingerprint(whole.dropna()), corpus.sums_fingerprint(less.dropna())).collect()}
+    assert changes == {"s": "changed", "t": "changed", "u": "added"}
+    assert corpus.updated_sums(whole, frame([]), frame(rows)).count() == 0
+
+
 def test_corpus_checks(spark):
     empty = spark.createDataFrame([], "source string, page_content string")
     assert corpus.validate_corpus(empty, 3).first()["reason"] == "empty"
