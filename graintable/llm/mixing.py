@@ -7,8 +7,9 @@ until a bucket is one hash value. Rows below the threshold are taken; nothing is
 
 A budget above the source's words takes every row once, and rows below the threshold of the remainder a second time.
 
-Defined cases: a null text has 0 words; a null source is a source of its own, the last; rows with equal keys and texts stand or fall together
-(a null key counts as the word ``null``, a null text as the empty one); a source without words has target 0 and takes nothing; an empty table gives an empty result.
+Defined cases: a null text has 0 words; a null source is a source of its own, the last; a null key counts as the word ``null``, a null text as the empty one;
+equal rows are numbered, and each number has a hash of its own, so a source made of such rows meets its target too (in ``mixed``, rows with equal
+keys and texts stand or fall together); a source without words has target 0 and takes nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from ..durable import durable
 from .text import HASH_BITS, key_hash, key_hash_sql, text_of, words
 
 BITS, LEVELS = 13, 4  # 4 x 13 bits are the whole hash
+CHUNK = 10_000  # equal rows that one task writes
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 
 
@@ -109,9 +111,18 @@ def _sized(docs: DataFrame, key: str) -> DataFrame:
     return durable(docs.select(F.col(key).alias("key"), "source", words(F.col("text")).alias("size"), _hash(docs, key).alias("h")), "mixing-rows")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows: key, source, size, h. The same rows, equal ones with different hashes. They are counted before they meet, and are rows again in several tasks."""
+    counted = rows.groupBy("key", "source", "size", "h").agg(F.count(F.lit(1)).alias("_n"))
+    parts = counted.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(CHUNK))))
+    each = F.explode(F.sequence(F.col("_part") + 1, F.least(F.col("_part") + CHUNK, F.col("_n"))))
+    single = parts.repartition("h", "_part").withColumn("_number", each)
+    return single.select("key", "source", "size", F.when(F.col("_number") == 1, F.col("h")).otherwise(key_hash(F.col("h"), F.col("_number"))).alias("h"))
+
+
 def mix(docs: DataFrame, key: str = "doc_id", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """docs: ``key``, text, source. Gives ``key``, source, size, source_size, target and taken of every row."""
-    rows = _sized(docs, key)
+    rows = durable(_numbered(_sized(docs, key)), "mixing-numbered")
     plan = _plan(rows, weights, share, most).withColumnRenamed("source", "_source")
     joined = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")))
     taken = F.col("size") * _copies(F.col("h"), F.col("once"), F.col("threshold"))
@@ -135,7 +146,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_sql(docs: str) -> str:
     """The common table expressions of DuckDB SQL for ``mix`` over the table ``docs``; the last, mixed, has doc_id, size, source_size, target and copies."""
     return f"""
-sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, {key_hash_sql("coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))")} AS h FROM {docs}),
+hashed AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, {key_hash_sql("coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))")} AS h0 FROM {docs}),
+sized AS (SELECT doc_id, source, size, CASE WHEN number = 1 THEN h0 ELSE {key_hash_sql("h0::VARCHAR || ':' || number::VARCHAR")} END AS h FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size, h0) AS number FROM hashed)),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sized GROUP BY source),
 weighed AS (SELECT *, [3.0, 1.0, 2.0][rank % 3 + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS most FROM totals),
 stepped AS (SELECT *, (sum(source_size) OVER ())::DOUBLE * 1.5 - coalesce(sum(most) OVER prior, 0) AS rest, (sum(weight) OVER ()) - coalesce(sum(weight) OVER prior, 0) AS weights

@@ -71,6 +71,19 @@ def test_mixing_rows_without_keys(spark):
     assert len(got) == 3 and all(abs(r["taken"] - r["target"]) <= 20 for r in got)
 
 
+def test_mixing_equal_rows(spark, tmp_path, monkeypatch):
+    """A source of equal rows comes near its target, as SQL says."""
+    monkeypatch.setattr(mixing, "CHUNK", 30)
+    rows = [(7, "one two three", "en", "a", 13)] * 400 + [(None, None, "en", "b", 0)] * 5 + [(None, "x y", "en", "b", 3)] * 100
+    d = write(spark, tmp_path, rows)
+    got = mixing.op4_mixing(spark, d).collect()
+    for size, target in {(r["source_size"], r["target"]) for r in got}:
+        taken = sum(r["taken"] for r in got if r["source_size"] == size)
+        assert abs(taken - target) <= 3
+    assert len(got) == 505
+    same(mixing.op4_mixing(spark, d), d, mixing.ORACLE_SQL)
+
+
 def test_targets_reshare_the_excess(spark):
     totals = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 20), (None, 30)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.targets(totals).collect()}
