@@ -95,6 +95,17 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.filter(F.coalesce((F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull()), F.lit(False)))
 
 
+def common_length(rows: DataFrame) -> tuple[int, int]:
+    """The length most usable embeddings have (of equally many, the longest), and how many have it; 0 and 0 if there are none."""
+    most = usable(rows).groupBy(F.size("embedding").alias("d")).count().agg(F.max(F.struct("count", "d")).alias("m")).first()["m"]
+    return (most["d"], most["count"]) if most else (0, 0)
+
+
+def of_length(rows: DataFrame, dims: int) -> DataFrame:
+    """The usable rows whose embedding has this length."""
+    return usable(rows).filter(F.size("embedding") == dims)
+
+
 def packed(rows: DataFrame, key: str, block: int) -> DataFrame:
     """rows: ``key``, embedding. ids, vectors and dim: up to ``block`` vectors of one length, within their partition."""
 
@@ -112,12 +123,14 @@ def packed(rows: DataFrame, key: str, block: int) -> DataFrame:
 def knn_exact(queries: DataFrame, vectors: DataFrame, k: int = 20, digits: int = 6, block: int = 512) -> DataFrame:
     """queries: query_id, embedding (a stated set). vectors: vec_id, embedding. The k nearest by L2 distance: query_id, vec_id, distance, rank; ties by vec_id.
 
-    Queries are packed to blocks, and every block meets every partition of the vectors once, in a matrix product; of each meeting k rows
-    a query are left. Distances are rounded before they are ranked, so that ties are ties on every engine. Vectors that are null, empty or hold a null
+    Queries are packed to blocks, and every block meets every block of the vectors once, in a matrix product; of each meeting k rows
+    a query are left. Blocks of vectors are dealt to salts by hash, and query blocks are copied to every salt, so that the join has as many keys as there
+    are shuffle partitions, whatever the lengths. Distances are rounded before they are ranked, so that ties are ties on every engine. Vectors that are null, empty or hold a null
     take no part, and a query is compared to vectors of its own length only.
     """
-    blocks = packed(queries, "query_id", block)
-    data = packed(vectors, "vec_id", 4096).withColumnsRenamed({"ids": "v_ids", "vectors": "v_vectors"})
+    salts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = packed(queries, "query_id", block).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    data = packed(vectors, "vec_id", 4096).withColumnsRenamed({"ids": "v_ids", "vectors": "v_vectors"}).withColumn("salt", F.pmod(F.xxhash64("v_ids"), F.lit(salts)).cast("int"))
 
     def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -128,7 +141,7 @@ def knn_exact(queries: DataFrame, vectors: DataFrame, k: int = 20, digits: int =
                 best = [np.lexsort((v_ids, row))[:k] for row in d]
                 yield pd.DataFrame({"query_id": np.repeat(ids, [len(b) for b in best]), "vec_id": np.concatenate([v_ids[b] for b in best]), "distance": np.concatenate([row[b] for row, b in zip(d, best, strict=True)])})
 
-    near = data.join(blocks, "dim").mapInPandas(solve, "query_id long, vec_id long, distance double")
+    near = data.join(blocks, ["dim", "salt"]).mapInPandas(solve, "query_id long, vec_id long, distance double")
     return _ranked(near, k)
 
 
@@ -150,12 +163,12 @@ def knn_staged(queries: DataFrame, vectors: DataFrame, stages: Sequence[tuple[in
 
 
 def build_ivf(vectors: DataFrame, nlist: int = 128, seed: int = 42, sample: int = 100_000) -> tuple[DataFrame, np.ndarray]:
-    """The usable vectors with their cell, and the cells' centres. Centres are fitted on a bounded sample; every vector gets a cell."""
+    """The usable vectors of the commonest length with their cell, and the cells' centres. Centres are fitted on a bounded sample; every such vector gets a cell."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    vectors = usable(vectors)
-    total = vectors.count()
+    dims, total = common_length(vectors)
+    vectors = of_length(vectors, dims)
     some = vectors if total <= sample else vectors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(total)) < sample)
     model = KMeans(k=min(nlist, max(2, total)), seed=seed, featuresCol="f").fit(some.select(array_to_vector("embedding").alias("f")))
     centres = np.array(model.clusterCenters())
@@ -180,13 +193,16 @@ def knn_ivf(queries: DataFrame, celled: DataFrame, centres: np.ndarray, k: int =
         x = np.stack([np.asarray(v, float) for v in vs])
         return pd.Series(list(((centres**2).sum(1) - 2 * x @ centres.T).argsort(1)[:, :n].astype("int32")))
 
-    asked = usable(queries).select("query_id", F.col("embedding").alias("q"), F.explode(probe("embedding")).alias("cell"))
+    asked = of_length(queries, centres.shape[1]).select("query_id", F.col("embedding").alias("q"), F.explode(probe("embedding")).alias("cell"))
     pairs = celled.join(asked, "cell")
     return _ranked(pairs.select("query_id", "vec_id", F.round(F.sqrt(squared_distance(F.col("q"), F.col("embedding"))), digits).alias("distance")), k)
 
 
 def fit_whitening(vectors: DataFrame, components: int = 384) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and matrix that take the vectors to uncorrelated components of variance 1. A partition gives its sums; the driver sees one d x d matrix."""
+    """Mean and matrix that take the vectors to uncorrelated components of variance 1. A partition gives its sums; the driver sees one d x d matrix.
+
+    Fitted on the usable vectors of the commonest length; there must be two of them.
+    """
 
     def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, s, ss = 0, None, None
@@ -200,16 +216,22 @@ def fit_whitening(vectors: DataFrame, components: int = 384) -> tuple[np.ndarray
             flat = np.concatenate([[n], s, ss.ravel()])
             yield pd.DataFrame({"i": np.arange(len(flat)), "v": flat})
 
-    total = vectors.select("embedding").mapInPandas(sums, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i")["v"].to_numpy()
-    d = int((-1 + np.sqrt(1 + 4 * (len(total) - 1))) / 2)
-    n, mean, ss = total[0], total[1 : d + 1] / total[0], total[d + 1 :].reshape(d, d)
+    dims, rows = common_length(vectors)
+    if rows < 2:
+        raise ValueError("whitening needs two vectors of one length")
+    total = of_length(vectors.select("embedding"), dims).mapInPandas(sums, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i")["v"].to_numpy()
+    n, mean, ss = total[0], total[1 : dims + 1] / total[0], total[dims + 1 :].reshape(dims, dims)
     u, s, _ = np.linalg.svd((ss - n * np.outer(mean, mean)) / (n - 1))
     return mean, (u / np.sqrt(np.maximum(s, 1e-12)))[:, :components]
 
 
 def apply_whitening(vectors: DataFrame, mean: np.ndarray, matrix: np.ndarray, column: str = "embedding") -> DataFrame:
+    """The column whitened; null where the vector is null, holds a null or is of another length than those fitted."""
+
     @F.pandas_udf("array<double>")
     def whiten(vs: pd.Series) -> pd.Series:
-        return pd.Series(list((np.stack([np.asarray(v, float) for v in vs]) - mean) @ matrix))
+        fits = [v is not None and len(v) == len(mean) and not np.isnan(np.asarray(v, float)).any() for v in vs]
+        done = iter((np.array([np.asarray(v, float) for v, ok in zip(vs, fits, strict=True) if ok]).reshape(-1, len(mean)) - mean) @ matrix)
+        return pd.Series([next(done) if ok else None for ok in fits], dtype=object)
 
     return vectors.withColumn(column, whiten(column))

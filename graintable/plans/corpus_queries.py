@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.html import html_to_markdown as to_markdown
-from ..operators import blockmax, bm25, corpus, ranking, vectors
+from ..operators import blockmax, bm25, corpus, ranking, vector_index, vectors
 from ..sources import files
 from .answer import answer_retrieval as answer
 
@@ -258,6 +258,13 @@ def knn_ivf(spark, d):
     return vectors.knn_ivf(_vector_queries(spark, d), celled, centres, k=20, nprobe=11, digits=5)
 
 
+@query()
+def knn_index(spark, d):
+    """Searches by codes in 25 of 32 cells, ranked exactly; recall by cells in README."""
+    v = _vectors(spark, d)
+    return vector_index.search_index(_vector_queries(spark, d), vector_index.build_index(v, nlist=32), v, k=20, nprobe=25, digits=5)
+
+
 @query()
 def whitening(spark, d):
     v = _vectors(spark, d)
