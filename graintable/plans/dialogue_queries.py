@@ -157,6 +157,39 @@ def stream_dialogue(spark, d):
     return spark.read.parquet(f"{out}/states").drop("ts").withColumn("missing", F.array_join("missing", ","))
 
 
+@query()
+def dialogue_answers(spark, d):
+    """Turns through the streaming job to price answers. Each user asks for what their order's first line is of: an event names the field of its type.
+
+    The stored turns arrive in four files, in order of time, so that timers fire and dialogues become ready in different micro-batches.
+    """
+    import uuid
+
+    from ..durable import durable, shared_dir
+    from ..sources.files import read_turns_stream
+    from ..sources.prices import price_records
+    from ..streaming import sessions
+
+    records = durable(price_records(spark, d), "records")
+    said = durable(turns_asked(spark, d, records), "turns")
+    folder = f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}"
+    first, last = said.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    at = F.floor((F.unix_micros("ts") - first) * 4 / (last - first + 1)) if first is not None else F.lit(0)
+    for part in range(4):
+        said.filter(at == part).coalesce(1).write.mode("append").json(f"{folder}/in")
+    stream = read_turns_stream(spark, f"{folder}/in", said.schema, 1)
+    sessions.answer_dialogues(stream, records, f"{folder}/out", TTL).awaitTermination()
+    return sessions.read_answers(spark, f"{folder}/out").drop("batch")
+
+
+def turns_asked(spark: SparkSession, d: str, records: DataFrame) -> DataFrame:
+    """Turns of the events, whose values are those of the user's own record; users without one have no turns."""
+    own = records.select(F.col("record_id").alias("_own"), *[F.col(f).alias(f"_{f}") for f in FIELD_OF], F.col("channel").alias("_channel"))
+    said = turns(spark, d).withColumn("_own", F.concat("session_id", F.lit("-1"))).join(own, "_own")
+    fields = {f: F.when(F.col(f) != "", F.col(f"_{f}")) for f in FIELD_OF}
+    return said.withColumns({**fields, "channel": F.when(F.col("channel") != "", F.col("_channel"))}).select("session_id", "turn", "ts", *FIELD_OF, "channel", "channel_confidence")
+
+
 # --- questions ------------------------------------------------------------------------------------------------------------------
 
 _WORDS = sorted(w for words in routing.KEYWORDS.values() for w in words)
