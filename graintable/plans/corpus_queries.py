@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import segment
 from ..functions.html import html_to_markdown as to_markdown
 from ..operators import blockmax, bm25, corpus, ranking, vector_index, vectors
 from ..sources import files
@@ -102,6 +103,15 @@ def tokenize(spark, d):
     return _docs(spark, d).select("doc_id", F.size(t).alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
 
 
+@query()
+def segment_words(spark, d):
+    """The words of every document, found again in its text without blanks by a dictionary of all documents' words."""
+    docs = _docs(spark, d).select("doc_id", "text")
+    words = docs.select(F.explode(bm25.tokenize(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    cut = segment.Segmenter(segment.dictionary_of(words), runs=r"\S+")
+    return docs.select("doc_id", bm25.tokenize_zh(F.regexp_replace("text", r"(?U)\s+", ""), segment=cut).alias("words"))
+
+
 FINGERPRINT_SQL = """hashed AS (SELECT source, md5(text || ':' || lang) AS h FROM {docs}), leaves AS (SELECT source, h[1:4] AS p, md5(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM hashed GROUP BY 1, 2), parts AS (SELECT source, p[1:2] AS p, md5(string_agg(h, '' ORDER BY leaves.p)) AS h, sum(n) AS n FROM leaves GROUP BY source, leaves.p[1:2]),
 {name} AS (SELECT source, md5(string_agg(h, '' ORDER BY p)) AS fingerprint, sum(n)::BIGINT AS chunks FROM parts GROUP BY 1)"""
 
