@@ -2,8 +2,9 @@
 
 A list is a log of entries: from a day on, a rule (a domain, a host or an address prefix) blocks, allows or is withdrawn. Each entry
 holds until the next of the same rule: the log becomes validity intervals. Every capture is judged by the entries active when it was
-fetched. An address has few rules that can match it (its host, the domains above it, and each path prefix that ends at a slash), so
-the as-of join is an equi-join on the rule with a test of the interval, never a scan of the list; of the rules that are active, the
+fetched. An address has few rules that can match it: its host, the domains above it, and beginnings that end at a slash, of the
+lengths that prefix rules of its host have. So the as-of join is an equi-join on the rule with a test of the interval, never a scan of the list, and an
+address of very many path segments has no more candidates than its host has lengths; of the rules that are active, the
 most specific one decides (longest prefix, then host, then longest domain).
 
 The list may be large, so it is not broadcast by hint: Spark broadcasts it if it is small, and splits hot hosts of a sort-merge join.
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..durable import durable
+
 # user information before the last @ is passed over; browsers take a backslash for a slash; a host may be an address in brackets, and end with dots
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/\\?#]*@)?(\[[^/\\?#\]]*\]|[^/\\:?#@\[]*[^/\\:?#@\[.])\.*(?:[:/\\?#]|$)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/\\?#]+[/\\]([^?#]*)"
@@ -36,22 +39,29 @@ def intervals(entries: DataFrame) -> DataFrame:
     return day.select("rule", "action", F.col("day").alias("valid_from"), following.alias("valid_to")).filter("action <> 'withdraw'")
 
 
-def candidate_rules(url: Column) -> Column:
-    """The rules that could match an address, with their precedence, as an array of structs (rule, rank)."""
-    host, path = host_of(url), F.concat(F.lit("/"), F.translate(F.regexp_extract(url, PATH, 1), "\\", "/"))
+def host_rules(host: Column) -> Column:
+    """The rules for a host and the domains above it, with their precedence, as an array of structs (rule, rank)."""
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.struct(F.concat(F.lit("domain:"), F.array_join(F.slice(labels, -k, k), ".")).alias("rule"), k.cast("long").alias("rank")))
-    parts = F.split(path, "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.struct(F.concat(F.lit("prefix:"), host, F.array_join(F.slice(parts, 1, k), "/"), F.lit("/")).alias("rule"), (k + 10_001).cast("long").alias("rank")))
     exact = F.array(F.struct(F.concat(F.lit("host:"), host).alias("rule"), F.lit(10_000).cast("long").alias("rank")))
-    return F.when(host.isNotNull(), F.concat(domains, exact, prefixes))
+    return F.when(host.isNotNull(), F.concat(domains, exact))
+
+
+def prefix_rules(asked: DataFrame, listed: DataFrame) -> DataFrame:
+    """asked: url, fetched, host. The beginnings of each address that have the length of a prefix rule of its host: url, fetched, rule, rank."""
+    rule = F.substring("rule", len("prefix:") + 1, 2**31 - 1)
+    lengths = listed.filter(F.col("rule").startswith("prefix:") & F.col("rule").endswith("/")).select(F.substring_index(rule, "/", 1).alias("host"), F.length(rule).alias("n")).distinct()
+    address = F.concat("host", F.lit("/"), F.translate(F.regexp_extract("url", PATH, 1), "\\", "/"))
+    met = asked.withColumn("address", address).join(lengths, "host").filter(F.length("address") >= F.col("n"))
+    return met.select("url", "fetched", F.concat(F.lit("prefix:"), F.substring("address", F.lit(1), F.col("n"))).alias("rule"), (F.col("n") + 10_001).cast("long").alias("rank"))
 
 
 def judge(captures: DataFrame, entries: DataFrame, key: str = "capture_id") -> DataFrame:
     """captures: ``key``, url, fetched (a date). Gives ``key``, url, fetched, verdict (block or allow) and the rule that decided, or null."""
-    asked = captures.select("url", "fetched").dropna().distinct()
-    wanted = asked.select("url", "fetched", F.explode(candidate_rules(F.col("url"))).alias("c")).select("url", "fetched", "c.rule", "c.rank")
-    active = wanted.join(intervals(entries), "rule").filter((F.col("valid_from") <= F.col("fetched")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to"))))
+    asked = captures.select("url", "fetched").dropna().distinct().withColumn("host", host_of(F.col("url")))
+    listed = durable(intervals(entries), "intervals")  # read twice
+    hosts = asked.select("url", "fetched", F.explode(host_rules(F.col("host"))).alias("c")).select("url", "fetched", "c.rule", "c.rank")
+    active = hosts.unionByName(prefix_rules(asked, listed)).join(listed, "rule").filter((F.col("valid_from") <= F.col("fetched")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to"))))
     best = active.groupBy("url", "fetched").agg(F.max(F.struct("rank", "rule", "action")).alias("best"))
     out = captures.select(key, "url", "fetched").join(best, ["url", "fetched"], "left")
     return out.select(key, "url", "fetched", F.coalesce("best.action", F.lit("allow")).alias("verdict"), F.col("best.rule").alias("rule"))

@@ -174,6 +174,17 @@ def test_url_filters_follow_time_and_precedence(spark):
     assert got == {i: v for i, (_, _, v) in enumerate(asked)}
 
 
+def test_url_filters_of_a_very_deep_path(spark):
+    """Work grows with an address's length, not its square: 500,000 segments in one address, and a rule as deep as half of them."""
+    deep = "http://h.org" + "/a" * 500_000
+    half = "prefix:h.org" + "/a" * 250_000 + "/"
+    entries = spark.createDataFrame([(half, "block"), ("prefix:h.org/a/a/", "allow"), ("prefix:h.org/a/b/", "block"), ("prefix:h.org/a", "block"), ("prefix:o.org/", "block"), ("prefix:nothing", "block"), ("prefix:", "block")], "rule string, action string").withColumn("day", F.to_date(F.lit("2024-01-01")))
+    asked = [(1, deep), (2, "http://h.org" + "/a" * 250_000), (3, "http://h.org\\a\\a/?/b/"), (4, "http://h.org/a/a"), (5, "http://o.org"), (6, "http://o.org/x"), (7, None)]
+    captures = spark.createDataFrame(asked, "capture_id int, url string").withColumn("fetched", F.to_date(F.lit("2024-02-01")))
+    got = {r["capture_id"]: (r["verdict"], r["rule"] if r["rule"] != half else "half") for r in url_filters.judge(captures, entries).collect()}
+    assert got == {1: ("block", "half"), 2: ("allow", "prefix:h.org/a/a/"), 3: ("allow", "prefix:h.org/a/a/"), 4: ("allow", None), 5: ("block", "prefix:o.org/"), 6: ("block", "prefix:o.org/"), 7: ("allow", None)}
+
+
 @pytest.mark.parametrize("where", [SF, "empty"])
 def test_topk_matches_sql(spark, where, request):
     d = where if where == SF else request.getfixturevalue(where)
