@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import routing
-from ..streaming import dialogue
+from ..streaming import dialogue, slices
 
 QUERIES = {}
 ORACLES = {}
@@ -157,6 +157,13 @@ def stream_dialogue(spark, d):
     return spark.read.parquet(f"{out}/states").drop("ts").withColumn("missing", F.array_join("missing", ","))
 
 
+@query(f"WITH {TURNS_SQL} SELECT session_id, turn, epoch, {', '.join(FIELD_OF)}, channel, channel_confidence, array_to_string(missing, ',') AS missing, status, is_complete FROM states")
+def replay_sliced(spark, d):
+    """The state after every turn, sessions cut into slices."""
+    states = slices.replay_sliced(turns(spark, d), TTL)
+    return states.select("session_id", "turn", "epoch", *FIELD_OF, "channel", "channel_confidence", F.array_join("missing", ",").alias("missing"), "status", "is_complete")
+
+
 @query()
 def dialogue_answers(spark, d):
     """Turns through the streaming job to price answers. Each user asks for what their order's first line is of: an event names the field of its type.

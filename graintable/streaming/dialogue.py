@@ -35,9 +35,14 @@ def filled(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
 
 
+def named_sessions(turns: DataFrame) -> DataFrame:
+    """A turn without a session is a session of its own."""
+    return turns.withColumn("session_id", F.coalesce(F.col("session_id").cast("string"), F.concat(F.lit("new-"), F.xxhash64("turn", "ts").cast("string"))))
+
+
 def sessionize(turns: DataFrame, ttl: float = TTL_SECONDS) -> DataFrame:
     """turns: session_id, turn, ts. Adds epoch, the number of the state under its session: a gap longer than ttl starts the next. A turn without a session is a session of its own."""
-    named = turns.withColumn("session_id", F.coalesce(F.col("session_id").cast("string"), F.concat(F.lit("new-"), F.xxhash64("turn", "ts").cast("string"))))
+    named = named_sessions(turns)
     order = Window.partitionBy("session_id").orderBy("ts", "turn")
     gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order))
     new = named.withColumn("_new", F.when(gap.isNull() | (gap > int(ttl * 1_000_000)), 1).otherwise(0))
