@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..durable import shared_dir
 from ..operators import bm25
 from ..sources import files, segments, stores
+from ..sources import price_pages as pages
+from ..sources.prices import PRICE_SQL, price_records
 from .corpus_queries import SEARCH_SQL
 
 QUERIES = {}
@@ -115,3 +117,14 @@ def write_vectors(spark, d):
     stores.write_vectors(v, path)
     stores.write_vectors(v, path)
     return spark.read.parquet(path).select("vec_id", "cell", F.size("embedding").alias("dims"), F.round(F.element_at("embedding", 64).cast("double"), 5).alias("last"))
+
+
+@query(f"""WITH {PRICE_SQL} SELECT channel, record_id, materialName, materialModelSpec, price, unit, province, city, releaseDate, brand FROM price_records
+WHERE channel IN ('information_price', 'zc_price') AND releaseDate >= '1995-01-01' AND releaseDate < '1997-07-01' AND price >= 500 AND length(materialName) % 2 = 0""")
+def price_pages(spark, d):
+    """All records as pages of responses; those of two channels, within dates and above a price, are read back. The test of the name's length is left to Spark."""
+    path = _new(spark, "channel")
+    pages.write_price_pages(price_records(spark, d), path)
+    met = F.col("channel").isin("information_price", "zc_price") & F.col("releaseDate").between("1995-01-01", "1997-06-30") & (F.col("price") >= 500)
+    found = pages.fetch_prices(spark, path, met, F.length("materialName") % 2 == 0)
+    return found.select("channel", "record_id", "materialName", "materialModelSpec", "price", "unit", "province", "city", "releaseDate", "brand")
