@@ -30,7 +30,7 @@ def test_every_record_comes_back_once(spark, folder):
 
 
 def test_filters_are_pushed_and_files_left_out(spark, folder, capsys):
-    met = (F.col("channel") == "zc_price") & (F.col("releaseDate") >= "1995-01-01") & (F.col("price") < 3000) & (F.length("materialName") > 20)
+    met = (F.col("channel") == "zc_price") & (F.col("releaseDate") >= "1995-01-01") & (F.col("price") < 3000) & (F.length("materialName") % 2 == 0)
     spark.conf.set(pages.PUSHDOWN, "true")
     try:
         df = pages.price_source(spark, folder).filter(met)
@@ -42,7 +42,7 @@ def test_filters_are_pushed_and_files_left_out(spark, folder, capsys):
     assert all(x in pushed for x in ("EqualTo(channel,zc_price)", "GreaterThanOrEqual(releaseDate,1995-01-01)", "LessThan(price,3000.0)"))
     assert parts * 2 < every
     assert ids(pages.fetch_prices(spark, folder, met)) == ids(price_records(spark, SF).filter(met)) != []
-    either = (F.length("materialName") > 20) | (F.col("price") < 900)
+    either = (F.length("materialName") % 2 == 0) | (F.col("price") < 900)
     assert ids(pages.fetch_prices(spark, folder, either)) == ids(price_records(spark, SF).filter(either))
 
 
