@@ -11,7 +11,8 @@ many copies a text has; copies are counted before anything is shuffled. A filter
 bounded by KEYS_PER_BUCKET on average.
 
 Defined cases: null texts count as empty and are equal to empty ones; the smallest key stays and null keys never do unless a group has
-no other; rows that share a key stand or fall together; a group without any key keeps all its rows; empty tables give empty results.
+no other; rows that share a key stand or fall together, and a group without any key keeps all its rows, but for ``deduplicated``, which leaves one row of each text;
+empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -212,6 +213,34 @@ def dropped(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return out.groupBy("key").agg(F.bool_or(F.col("key").eqNullSafe(F.col("keep"))).alias("stays")).filter(~F.col("stays")).select(F.col("key").alias(key))
 
 
+ROW = "_row_of_key_and_text"
+
+
+def row_hash(key: Column, digest: Column) -> Column:
+    """Equal for rows of equal key and digest, null keys included."""
+    return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(":"), F.hex(digest)))
+
+
+def singled(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """docs: with the column ROW. repeated: values of ROW. Of the rows of each of these values that with the smallest hash of all its columns; all other rows as they are."""
+    if repeated.isEmpty():
+        return docs
+    row = F.struct(*[c for c in docs.columns if c != ROW])
+    one = docs.join(repeated, ROW, "left_semi").groupBy(ROW).agg(F.min_by(row, F.md5(F.to_json(row))).alias("_one")).select(ROW, "_one.*")
+    return docs.join(repeated, ROW, "left_anti").unionByName(one)
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row of docs for each text: of equal texts a row with the smallest key (null keys last), of several rows with this key that with the smallest hash of all its columns."""
+    out = dedup_batches(*split_in_two(docs, key))
+    stays = F.bool_and(F.col("key").eqNullSafe(F.col("keep")))
+    listed = out.groupBy(row_hash(F.col("key"), F.col("digest")).alias(ROW)).agg(stays.alias("stays"), F.count(F.lit(1)).alias("rows")).filter("not stays or rows > 1")
+    listed = durable(listed, "exact-copies")
+    marked = docs.withColumn(ROW, row_hash(F.col(key), digest_of(F.col("text"))))
+    left = marked.join(listed.filter("not stays").select(ROW).hint("merge"), ROW, "left_anti")
+    return singled(left, listed.filter("stays").select(ROW)).select(*docs.columns)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; one half, by hash of doc_id, is the snapshot that the other half is screened against."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from ..durable import durable
 from .components import connected_components
+from .exact_dedup import ROW, row_hash, singled
 from .setjoin import prefix_pairs
+from .text import text_of
 
 WIDTH, PERCENT = 5, 80
 HALF, COUNT = 2, 10
@@ -181,10 +183,21 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component")).withColumn("kept", F.col("id").eqNullSafe(F.col("component")))
 
 
-def dropped(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The keys of docs that a near duplicate with a smaller key stands for."""
-    out = near_duplicates(docs.select(F.col(key).alias("id"), "text"))
-    return out.groupBy("id").agg(F.bool_or("kept").alias("stays")).filter(~F.col("stays")).select(F.col("id").alias(key))
+NO_KEY = 1 << 62
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs that no near duplicate with a smaller key stands for; of rows of equal key and text one. ``key``: an integer below NO_KEY.
+
+    Rows without a key take part with a number above all keys, drawn from their text. Rows that share a key and differ in text stand or fall together.
+    """
+    number = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY) + F.xxhash64("text").bitwiseAND((1 << 61) - 1))
+    numbered = docs.withColumn("_number", number).withColumn(ROW, row_hash(F.col("_number"), F.unhex(F.md5(text_of(F.col("text"))))))
+    repeated = durable(numbered.groupBy(ROW).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(ROW), "repeated")
+    out = near_duplicates(numbered.select(F.col("_number").alias("id"), "text"))
+    gone = out.groupBy("id").agg(F.bool_or("kept").alias("stays")).filter(~F.col("stays")).select(F.col("id").alias("_number"))
+    left = numbered.join(durable(gone, "near-copies").hint("merge"), "_number", "left_anti")
+    return singled(left, repeated).select(*docs.columns)
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
