@@ -13,22 +13,24 @@ from graintable.llm import bpe, exact_dedup, language, minhash, mixing
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language isn't found with a score of 0.5, go."""
+    """Documents without a letter (null and empty texts too), or whose language isn't found with a score of 0.5, go. Equal texts stand or fall together."""
     return language.keep_identified(docs, language.train(docs))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id stays."""
-    return docs.join(durable(exact_dedup.dropped(docs), "exact-copies").hint("merge"), "doc_id", "left_anti")
+    """Of equal texts one row stays, that with the smallest doc_id: null texts equal empty ones, null ids come last, and of rows that repeat id and text one is left. An empty table stays empty."""
+    return exact_dedup.deduplicated(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 of their five-word shingles the smallest doc_id stays."""
-    return docs.join(durable(minhash.dropped(docs), "near-copies").hint("merge"), "doc_id", "left_anti")
+    """Of documents linked by a similarity of 0.8 of their five-word shingles the smallest doc_id stays, null ids last; of rows that repeat id and text one is left.
+
+    Documents without a word are linked with nothing and stay. An empty table stays empty."""
+    return minhash.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources meet their target weights: a document stays, goes, or is repeated once."""
+    """Sources meet their target weights: a document stays, goes, or is repeated once. A null source is a source; rows that repeat id and text are taken alike."""
     return mixing.mixed(docs)
 
 
