@@ -6,7 +6,8 @@ reach at least. That score is dealt to the query's terms, the most frequent firs
 within its term's budget can't be among the n best. So a first pass reads only blocks with a larger impact than the budget, mostly of rare
 terms. For the n documents that are best by then the remaining terms are looked up, each in the one block that may hold the document: their whole scores
 raise the threshold, and only documents that may still reach it are looked up, too. Blocks that nothing asks for are neither
-unpacked nor shuffled. Results are those of ``bm25.search``.
+unpacked nor shuffled. A query that leaves more than MANY documents to look up reads the rest of its terms' blocks instead, so no search does more than a
+plain one by orders of magnitude. Results are those of ``bm25.search``.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..durable import durable
-from .bm25 import K1, B
+from .bm25 import impact as of_posting
 
 BLOCK, TOPS, MANY = 128, 64, 1024
 #: scores are rounded to six digits; thresholds stay below by more
@@ -31,8 +32,10 @@ def pack(index: dict[str, DataFrame], size: int = BLOCK) -> dict[str, DataFrame]
     frequency = F.col("df")
     number = F.when(frequency <= size, 1).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(frequency / F.lit(float(size)))))).cast("int")
     terms = index["terms"].withColumn("blocks", number)
-    dealt = index["postings"].join(terms.select("term", "blocks"), "term").join(index["documents"], "doc_id").crossJoin(F.broadcast(index["totals"].select("avgdl")))
-    impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    # only frequent terms have several blocks; written, so that their number is known and the postings aren't shuffled for it
+    several = durable(terms.filter("blocks > 1").select("term", "blocks"), "several-blocks")
+    dealt = index["postings"].filter("doc_id is not null").join(several, "term", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).crossJoin(F.broadcast(index["totals"].select("avgdl")))
+    impact = of_posting(F.col("avgdl"))
     posting = F.struct("doc_id", impact.alias("impact"))
     # blocks are of even size, whatever the term: no group grows with a term's frequency
     packed = dealt.withColumn("block", _block(F.col("doc_id"), F.col("blocks"))).groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max(impact).alias("most"), F.first("blocks").alias("blocks"), F.collect_list(posting).alias("postings"))
@@ -85,9 +88,15 @@ def passes(queries: DataFrame, index: dict[str, DataFrame], n: int = 20, digits:
     best = durable(best, "search-best")
     reached = completed(best).groupBy("query_id").agg(F.count(F.lit(1)).alias("_k"), F.min("score").alias("_least"))
     may = F.col("part") + F.col("_budgets") - F.col("_found") >= F.when(F.col("_k") >= n, F.col("_least") - MARGIN).otherwise(float("-inf"))
-    left_over = durable(partial.join(reached, "query_id").filter(may).select("query_id", "doc_id", "part"), "search-candidates")
-    second = lookups(best).unionByName(lookups(left_over))
-    scored = completed(left_over).withColumn("score", F.round("score", digits)).filter("score > 0")
+    candidates = partial.join(reached, "query_id").filter(may).select("query_id", "doc_id", "part")
+    # looking up very many documents costs more than reading all blocks that are left: such queries are scored by these
+    many = durable(candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > MANY).select("query_id"), "search-many")
+    left_over = durable(candidates.join(many, "query_id", "left_anti"), "search-candidates")
+    whole = blocks.join(durable(rest.join(many, "query_id", "left_semi"), "search-rest"), on).filter(~over)
+    parts = whole.select("query_id", "w", F.explode("postings").alias("p")).select("query_id", "p.doc_id", (F.col("w") * F.col("p.impact")).alias("part"))
+    read_whole = parts.unionByName(partial.join(many, "query_id", "left_semi").select("query_id", "doc_id", "part")).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+    second = lookups(best).unionByName(lookups(left_over)).select("query_id", *on, "block", "n").unionByName(whole.select("query_id", *on, "block", "n"))
+    scored = completed(left_over).unionByName(read_whole).withColumn("score", F.round("score", digits)).filter("score > 0")
     rank = F.row_number().over(query.orderBy(F.col("score").desc(), "doc_id"))
     hits = scored.withColumn("rank", rank).filter(F.col("rank") <= n)
     read = lambda df: df.select("query_id", "term", "block", "n").distinct()

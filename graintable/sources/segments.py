@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..durable import durable
-from ..operators.bm25 import EPSILON
+from ..operators.bm25 import EPSILON, counted, singled
 
 BUCKETS = 64
+FEW = 1_000_000  # so many dead documents' ids are sent to all tasks
 
 
 def _bucket(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -43,12 +44,18 @@ def _dead(spark: SparkSession, path: str, last: int) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/dead").filter(F.col("update") <= last).groupBy("doc_id").agg(F.max("upto").alias("upto"))
 
 
+def _dead_in(spark: SparkSession, path: str, last: int, segments: list[int]) -> DataFrame:
+    """What is dead in some segments, written; few ids are broadcast, so that the segments' rows aren't shuffled to drop them."""
+    dead = durable(_dead(spark, path, last).filter(F.col("upto") >= min(segments, default=0)), "dead")
+    return F.broadcast(dead) if dead.count() <= FEW else dead
+
+
 def _live(rows: DataFrame, dead: DataFrame) -> DataFrame:
     gone = dead.withColumnRenamed("doc_id", "_gone")
     return rows.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("segment") <= F.col("upto")), "left_anti")
 
 
-POSTINGS = "term string, doc_id long, tf long, segment int, part int"
+POSTINGS = "term string, doc_id long, tf long, dl long, lengths array<long>, segment int, part int"
 DOCUMENTS = "doc_id long, dl long, terms array<string>, segment int, bucket int"
 FREQUENCIES = "term string, df long, segment int, part int"
 SUMS = "n long, dl long, segment int"
@@ -63,32 +70,39 @@ def update_index(tokens: DataFrame, path: str, removed: DataFrame | None = None,
     """tokens: doc_id, tokens of new and changed documents. removed: doc_id. The index under ``path`` after update ``last`` (0: there is none) is
     brought up to date by a segment; gives the number of this update."""
     spark, number = tokens.sparkSession, last + 1
-    current = durable(tokens.filter("doc_id is not null").groupBy("doc_id").agg(F.max("tokens").alias("tokens")), "segment-tokens")
+    # the lengths of a document named twice are that of the tokens that count
+    current = singled(tokens.filter("doc_id is not null"), F.max).withColumn("lengths", F.lit(None).cast("array<long>"))
     named = current.select("doc_id") if removed is None else current.select("doc_id").unionByName(removed.select("doc_id").dropna()).distinct()
     old = _read(spark, path, "documents", segments_of(spark, path, last), DOCUMENTS)
     asked = _bucket(named, "doc_id", "bucket")
     gone = durable(_live(old.join(asked, ["bucket", "doc_id"], "left_semi"), _dead(spark, path, last)).select("doc_id", "dl", "terms"), "segment-gone")
 
-    postings = durable(current.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf")), "segment-postings")
+    _write(path, "postings", number, counted(current), "term", "part")
+    postings = _read(spark, path, "postings", [number], POSTINGS)
     documents = current.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.array_distinct("tokens").alias("terms"))
     frequencies = postings.select("term", F.lit(1).alias("df")).unionByName(gone.select(F.explode("terms").alias("term"), F.lit(-1).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
     sums = documents.select(F.lit(1).alias("n"), "dl").unionByName(gone.select(F.lit(-1).alias("n"), (-F.col("dl")).alias("dl"))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl"))
-    _write(path, number, postings, documents, frequencies, sums)
+    _write_rest(path, number, documents, frequencies, sums)
     gone.select("doc_id", F.lit(last).alias("upto")).write.mode("overwrite").parquet(f"{path}/dead/update={number}")
     return _finish(spark, path, number, [*segments_of(spark, path, last), number])
 
 
-def _write(path: str, number: int, postings: DataFrame, documents: DataFrame, frequencies: DataFrame, sums: DataFrame) -> None:
-    for name, table, column, by in (("postings", postings, "term", "part"), ("documents", documents, "doc_id", "bucket"), ("frequencies", frequencies, "term", "part")):
-        # rebalanced, not repartitioned: a large bucket is written by several tasks
-        _bucket(table, column, by).hint("rebalance", by).sortWithinPartitions(column).write.mode("overwrite").partitionBy(by).parquet(f"{path}/{name}/segment={number}")
+def _write(path: str, name: str, number: int, table: DataFrame, column: str, by: str) -> None:
+    # rebalanced, not repartitioned: a large bucket is written by several tasks
+    _bucket(table, column, by).hint("rebalance", by).sortWithinPartitions(by, column).write.mode("overwrite").partitionBy(by).parquet(f"{path}/{name}/segment={number}")
+
+
+def _write_rest(path: str, number: int, documents: DataFrame, frequencies: DataFrame, sums: DataFrame) -> None:
+    _write(path, "documents", number, documents, "doc_id", "bucket")
+    _write(path, "frequencies", number, frequencies, "term", "part")
     sums.coalesce(1).write.mode("overwrite").parquet(f"{path}/sums/segment={number}")
 
 
 def open_index(spark: SparkSession, path: str, last: int) -> dict[str, DataFrame]:
     """The tables of ``bm25.build_index`` as of update ``last``, to be searched by ``bm25.search``; postings and terms keep part, by which reading is pruned."""
-    segments, dead = segments_of(spark, path, last), _dead(spark, path, last)
-    postings = _live(_read(spark, path, "postings", segments, POSTINGS), dead).select("term", "doc_id", "tf", "part")
+    segments = segments_of(spark, path, last)
+    dead = _dead_in(spark, path, last, segments)
+    postings = _live(_read(spark, path, "postings", segments, POSTINGS), dead).select("term", "doc_id", "tf", "dl", "lengths", "part")
     documents = _live(_read(spark, path, "documents", segments, DOCUMENTS), dead).select("doc_id", "dl")
     counts = _read(spark, path, "sums", segments, SUMS).agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("n")).alias("avgdl"))
     df = durable(_read(spark, path, "frequencies", segments, FREQUENCIES).groupBy("part", "term").agg(F.sum("df").alias("df")).filter("df > 0"), "index-frequencies")
@@ -106,11 +120,15 @@ def small_segments(spark: SparkSession, path: str, last: int, share: float = 0.1
 
 def merge_segments(spark: SparkSession, path: str, last: int, segments: list[int]) -> int:
     """Some segments become one, without what is dead in them; gives the number of this update. Their differences are added up as they are: what they took away was taken from others."""
-    number, dead = last + 1, _dead(spark, path, last)
-    live = lambda name, schema: _live(_read(spark, path, name, segments, schema), dead).drop("segment", "part", "bucket")
+    number, dead = last + 1, _dead_in(spark, path, last, segments)
+    live = lambda name, schema: _live(_read(spark, path, name, segments, schema), dead).drop("segment")
+    # rows stay in the part or bucket they are in, so they are written by the tasks that read them
+    for name, schema, column, by in (("postings", POSTINGS, "term", "part"), ("documents", DOCUMENTS, "doc_id", "bucket")):
+        live(name, schema).sortWithinPartitions(by, column).write.mode("overwrite").partitionBy(by).parquet(f"{path}/{name}/segment={number}")
     frequencies = _read(spark, path, "frequencies", segments, FREQUENCIES).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
     sums = _read(spark, path, "sums", segments, SUMS).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl"))
-    _write(path, number, live("postings", POSTINGS), live("documents", DOCUMENTS), frequencies, sums)
+    _write(path, "frequencies", number, frequencies, "term", "part")
+    sums.coalesce(1).write.mode("overwrite").parquet(f"{path}/sums/segment={number}")
     spark.createDataFrame([], "doc_id long, upto int").coalesce(1).write.mode("overwrite").parquet(f"{path}/dead/update={number}")
     kept = [s for s in segments_of(spark, path, last) if s not in segments]
     return _finish(spark, path, number, [*kept, number])

@@ -31,3 +31,52 @@ def test_direct_queries_with_part_keys_beyond_a_million(spark, tmp_path):
     write(spark.read.parquet(f"{SF}/part.parquet").withColumn("p_partkey", far("p_partkey")).filter("p_partkey % 7 <> 0"), tmp_path / "part.parquet")
     got, want = both(spark, "direct_queries", tmp_path)
     assert got == want and len(want) > 100
+
+
+DOCS = [(1, ["a", "b", "a"]), (2, ["b"]), (2, ["b", "c", "c"]), (3, []), (4, ["d", "a"]), (None, ["a", "e"]), (None, ["a"])] + [(i, ["f", "g"]) for i in range(5, 12)]
+TOKENS = "long, tokens array<string>"
+
+
+def test_bm25_search_without_a_join_with_documents(spark):
+    """Postings carry lengths. Rows of a repeated doc_id are one document, of which each length counts; a null doc_id has postings and no hits."""
+    from graintable.operators import bm25
+
+    index = bm25.build_index(spark.createDataFrame(DOCS, f"doc_id {TOKENS}"))
+    asked = spark.createDataFrame([(1, ["a", "b", "b"]), (2, ["c"]), (3, ["e", "z"])], f"query_id {TOKENS}")
+    del index["documents"]
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in bm25.search(asked, index).collect()}
+    idf = {r["term"]: r["idf"] for r in index["terms"].collect()}
+    avgdl = sum(len(t) for _, t in DOCS) / len(DOCS)
+    part = lambda w, tf, *dls: sum(idf[w] * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) for dl in dls)
+    want = {(1, 1): part("a", 2, 3) + 2 * part("b", 1, 3), (1, 2): 2 * part("b", 2, 1, 3), (1, 4): part("a", 1, 2), (2, 2): part("c", 2, 1, 3)}
+    assert got == {k: round(v, 6) for k, v in want.items()}
+    assert {r["term"]: r["df"] for r in index["terms"].collect()}["a"] == 3
+
+
+def test_block_search_reads_all_blocks_for_many_candidates(spark, monkeypatch):
+    """As plain search, also where every document left is one too many to look up; packing needs no table of documents."""
+    from graintable.operators import blockmax, bm25
+
+    docs = [(i, [w for k, w in enumerate("abcdef") if i % (k + 2) == 0] * (1 + i % 3)) for i in range(300)]
+    index = bm25.build_index(spark.createDataFrame(docs, f"doc_id {TOKENS}"))
+    asked = spark.createDataFrame([(1, ["a", "b"]), (2, ["c", "d", "e"]), (3, ["f"])], f"query_id {TOKENS}")
+    want = sorted(map(tuple, bm25.search(asked, index, 5).collect()))
+    packed = blockmax.pack({k: v for k, v in index.items() if k != "documents"}, 8)
+    monkeypatch.setattr(blockmax, "MANY", 0)
+    assert sorted(map(tuple, blockmax.search(asked, packed, 5).collect())) == want and len(want) == 15
+
+
+def test_an_index_with_dead_documents_is_read_without_a_shuffle(spark, tmp_path):
+    from graintable.sources import segments
+
+    path = f"{tmp_path}/index"
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.array(F.lit("all"), F.concat(F.lit("w"), F.col("id"))).alias("tokens"))
+    segments.update_index(docs, path)
+    segments.update_index(docs.limit(0), path, docs.filter("doc_id < 9").select("doc_id"), 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        postings = segments.open_index(spark, path, 2)["postings"]
+        assert postings.count() == 82
+        assert "SortMergeJoin" not in postings._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
