@@ -106,18 +106,19 @@ def of_length(rows: DataFrame, dims: int) -> DataFrame:
     return usable(rows).filter(F.size("embedding") == dims)
 
 
-def packed(rows: DataFrame, key: str, block: int) -> DataFrame:
-    """rows: ``key``, embedding. ids, vectors and dim: up to ``block`` vectors of one length, within their partition."""
+def packed(rows: DataFrame, key: str, block: int, cell: bool = False) -> DataFrame:
+    """rows: ``key``, embedding. ids, vectors and dim: up to ``block`` vectors of one length, within their partition. With ``cell``, a column of rows: of one cell, too."""
+    by = ["dim", *["cell"] * cell]
 
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for dim, alike in part.groupby(part["embedding"].map(len)):
+            for kind, alike in part.assign(dim=part["embedding"].map(len)).groupby(by):
                 for at in range(0, len(alike), block):
                     some = alike.iloc[at : at + block]
                     x = np.stack([np.asarray(v, np.float32) for v in some["embedding"]])
-                    yield pd.DataFrame({"ids": [some[key].to_numpy("int64").tobytes()], "vectors": [x.tobytes()], "dim": [dim]})
+                    yield pd.DataFrame({"ids": [some[key].to_numpy("int64").tobytes()], "vectors": [x.tobytes()], **{c: [v] for c, v in zip(by, kind, strict=True)}})
 
-    return usable(rows.select(key, "embedding")).mapInPandas(pack, "ids binary, vectors binary, dim int")
+    return usable(rows.select(key, "embedding", *by[1:])).mapInPandas(pack, f"ids binary, vectors binary, {', '.join(f'{c} int' for c in by)}")
 
 
 def knn_exact(queries: DataFrame, vectors: DataFrame, k: int = 20, digits: int = 6, block: int = 512) -> DataFrame:
@@ -129,8 +130,13 @@ def knn_exact(queries: DataFrame, vectors: DataFrame, k: int = 20, digits: int =
     take no part, and a query is compared to vectors of its own length only.
     """
     salts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = packed(queries, "query_id", block).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    data = packed(vectors, "vec_id", 4096).withColumnsRenamed({"ids": "v_ids", "vectors": "v_vectors"}).withColumn("salt", F.pmod(F.xxhash64("v_ids"), F.lit(salts)).cast("int"))
+    return _ranked(_met(packed(queries, "query_id", block), packed(vectors, "vec_id", 4096), ["dim"], salts, k, digits), k)
+
+
+def _met(queries: DataFrame, vectors: DataFrame, on: list[str], salts: int, k: int, digits: int) -> DataFrame:
+    """Blocks of both (``packed``). query_id, vec_id, distance: the k nearest of each query in each block of vectors that its own meets by ``on``."""
+    blocks = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    data = vectors.withColumnsRenamed({"ids": "v_ids", "vectors": "v_vectors"}).withColumn("salt", F.pmod(F.xxhash64("v_ids"), F.lit(salts)).cast("int"))
 
     def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -138,11 +144,14 @@ def knn_exact(queries: DataFrame, vectors: DataFrame, k: int = 20, digits: int =
                 ids, v_ids = np.frombuffer(ids, "int64"), np.frombuffer(v_ids, "int64")
                 q, v = (np.frombuffer(x, np.float32).reshape(-1, dim).astype(float) for x in (q, v))
                 d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1) - 2 * q @ v.T, 0)).round(digits)
-                best = [np.lexsort((v_ids, row))[:k] for row in d]
+                last = np.partition(d, k - 1, axis=1)[:, k - 1] if k < len(v_ids) else np.full(len(ids), np.inf)
+                best = []
+                for row, most in zip(d, last, strict=True):
+                    near = np.flatnonzero(~(row > most))
+                    best.append(near[np.lexsort((v_ids[near], row[near]))[:k]])
                 yield pd.DataFrame({"query_id": np.repeat(ids, [len(b) for b in best]), "vec_id": np.concatenate([v_ids[b] for b in best]), "distance": np.concatenate([row[b] for row, b in zip(d, best, strict=True)])})
 
-    near = data.join(blocks, ["dim", "salt"]).mapInPandas(solve, "query_id long, vec_id long, distance double")
-    return _ranked(near, k)
+    return data.join(blocks, [*on, "salt"]).mapInPandas(solve, "query_id long, vec_id long, distance double")
 
 
 def _ranked(near: DataFrame, k: int) -> DataFrame:
@@ -185,7 +194,7 @@ def nearest_cell(v: Column, centres: np.ndarray) -> Column:
 
 
 def knn_ivf(queries: DataFrame, celled: DataFrame, centres: np.ndarray, k: int = 20, nprobe: int = 10, digits: int = 6) -> DataFrame:
-    """As knn_exact, but each query meets only the vectors of its nprobe nearest cells."""
+    """As knn_exact, block by block, but each query meets only the vectors of its nprobe nearest cells."""
     n = min(nprobe, len(centres))
 
     @F.pandas_udf("array<int>")
@@ -193,9 +202,10 @@ def knn_ivf(queries: DataFrame, celled: DataFrame, centres: np.ndarray, k: int =
         x = np.stack([np.asarray(v, float) for v in vs])
         return pd.Series(list(((centres**2).sum(1) - 2 * x @ centres.T).argsort(1)[:, :n].astype("int32")))
 
-    asked = of_length(queries, centres.shape[1]).select("query_id", F.col("embedding").alias("q"), F.explode(probe("embedding")).alias("cell"))
-    pairs = celled.join(asked, "cell")
-    return _ranked(pairs.select("query_id", "vec_id", F.round(F.sqrt(squared_distance(F.col("q"), F.col("embedding"))), digits).alias("distance")), k)
+    asked = of_length(queries, centres.shape[1]).select("query_id", "embedding", F.explode(probe("embedding")).alias("cell"))
+    # a cell's vectors are dealt to salts, so that there are about as many keys as shuffle partitions
+    salts = -(-int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // len(centres))
+    return _ranked(_met(packed(asked, "query_id", 512, cell=True), packed(celled, "vec_id", 4096, cell=True), ["dim", "cell"], salts, k, digits), k)
 
 
 def fit_whitening(vectors: DataFrame, components: int = 384) -> tuple[np.ndarray, np.ndarray]:

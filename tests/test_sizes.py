@@ -80,3 +80,24 @@ def test_an_index_with_dead_documents_is_read_without_a_shuffle(spark, tmp_path)
         assert "SortMergeJoin" not in postings._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_index_search_meets_by_blocks(spark):
+    """Cells are searched block by block: no row for each query and vector; results are those of a plain scan of the probed cells."""
+    import numpy as np
+
+    from graintable.operators import vectors
+
+    x = np.random.default_rng(3).normal(size=(400, 4)).astype("float32").round(1)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    celled, centres = vectors.build_ivf(rows, nlist=5)
+    asked = rows.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    found = vectors.knn_ivf(asked, celled, centres, k=7, nprobe=2, digits=4)
+    cell = {r["vec_id"]: r["cell"] for r in celled.collect()}
+    want = []
+    for q in range(0, 400, 20):
+        probed = ((centres**2).sum(1) - 2 * x[q].astype(float) @ centres.T).argsort()[:2]
+        near = sorted((round(float(np.sqrt(((x[q].astype(float) - x[v]) ** 2).sum())), 4), v) for v in range(400) if cell[v] in probed)[:7]
+        want += [(q, v, d, i + 1) for i, (d, v) in enumerate(near)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "v_vectors" in found._jdf.queryExecution().optimizedPlan().toString()
