@@ -101,3 +101,48 @@ def test_index_search_meets_by_blocks(spark):
         want += [(q, v, d, i + 1) for i, (d, v) in enumerate(near)]
     assert sorted(map(tuple, found.collect())) == sorted(want)
     assert "v_vectors" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_python_objects_at_once():
+    """Of a batch of 5,000 texts no more than a slice's results are Python objects at a time; nulls, an empty batch and a part of a batch are as they should be."""
+    import weakref
+
+    import pyarrow as pa
+
+    from graintable.functions.slices import SLICE, sliced
+
+    class Words(list):
+        pass
+
+    most = [0]
+
+    def words(text):
+        out = Words((text or "none").split())
+        held.append(weakref.ref(out))
+        most[0] = max(most[0], sum(r() is not None for r in held[-2 * SLICE :]))
+        return out
+
+    held: list = []
+    run = sliced(words, "array<string>").func
+    texts = pa.array([None if i % 7 == 0 else f"a {i}" for i in range(5000)])
+    assert run(texts).to_pylist() == [["none"] if i % 7 == 0 else ["a", str(i)] for i in range(5000)]
+    assert most[0] <= SLICE + 1
+    assert run(texts.slice(1, 2)).to_pylist() == [["a", "1"], ["a", "2"]] and run(texts.slice(0, 0)).to_pylist() == []
+
+
+def test_a_dictionary_in_little_memory():
+    """A worker holds the dictionary of up to 500,000 words in a few hundred bytes a word."""
+    import random
+    import tracemalloc
+
+    from graintable.functions.segment import Segmenter
+
+    draw = random.Random(1)
+    counts = {"".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(3, 14))): 1 for _ in range(50_000)}
+    tracemalloc.start()
+    try:
+        cut = Segmenter(counts, runs=r"\S+")
+        assert tracemalloc.get_traced_memory()[0] < 450 * len(counts)
+    finally:
+        tracemalloc.stop()
+    assert "".join(cut("abcdefgh")) == "abcdefgh"
