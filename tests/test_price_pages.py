@@ -92,3 +92,19 @@ def test_records_without_a_channel_and_an_empty_table(spark, tmp_path):
     assert ids(pages.fetch_prices(spark, f"{tmp_path}/a"), "channel", "record_id", "price") == [("zc_price", "r2", None)]
     pages.write_price_pages(records.limit(0), f"{tmp_path}/b")
     assert pages.fetch_prices(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_pages_are_made_where_the_records_are(spark, tmp_path, monkeypatch):
+    """Nothing is written but the pages, in little space; pages are full, and hold each channel's records once."""
+    records = price_records(spark, SF)
+    folder = tmp_path / "pages"
+    with monkeypatch.context() as m:
+        m.setattr(pages, "durable", None)
+        pages.write_price_pages(records, str(folder), page=50)
+    n = records.count()
+    assert sum(f.stat().st_size for f in folder.rglob("*.json*")) < 60 * n
+    read = spark.read.schema("code int, channel string, data struct<totalCount int, list array<struct<record_id string>>>").json(str(folder))
+    sizes = read.select("channel", "data.totalCount", F.size("data.list").alias("n")).collect()
+    assert all(r["totalCount"] == r["n"] <= 50 for r in sizes) and sum(r["n"] for r in sizes) == n
+    assert sum(r["n"] == 50 for r in sizes) > 0.9 * len(sizes)
+    assert ids(read.select("channel", F.explode("data.list.record_id").alias("r")), "channel", "r") == ids(records, "channel", "record_id")
