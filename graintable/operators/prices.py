@@ -1,13 +1,14 @@
 """Filters, counts and limits of price records, for many queries at once.
 
-A query is a row; an absent, null or empty field is no condition. Queries are joined to records on the channel and the name, so records of other
-channels or names are never paired; the other conditions are evaluated in the join.
+A query is a row; an absent, null or empty field is no condition. Queries are joined to records on the channel, the name and the fields that must be
+equal, so records that differ in one of these are never paired; the other conditions are evaluated in the join.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..durable import durable
 from ..schemas import CHANNELS, FILTER_FIELDS
@@ -87,15 +88,33 @@ def _condition(records: DataFrame, q: str = "_q") -> Column:
     return met & (blank(field("endReleaseDate")) | (F.col("releaseDate") <= field("endReleaseDate")))
 
 
+def candidates(records: DataFrame, asked: DataFrame) -> DataFrame:
+    """records with each query in ``asked`` (of ``names_asked``, a written table at best, as it is read twice) that has their channel and name, and whose
+    equalities they meet but for equal hashes; adds _q.
+
+    A query's equalities are part of the join's key. As queries set different ones, a record is looked up once for each set of them that its name is asked for with."""
+    texts = lambda fields: {f.name for f in fields if f.name in EQUALITIES and isinstance(f.dataType, StringType)}
+    keyed = sorted(texts(records.schema) & texts(asked.schema["_q"].dataType))
+    bit = {f: 1 << i for i, f in enumerate(keyed)}
+    key = lambda value: F.xxhash64("_set", *[F.when(F.col("_set").bitwiseAND(n) > 0, value(f)) for f, n in bit.items()])
+    given = sum((F.when(blank(F.col(f"_q.{f}")), 0).otherwise(n) for f, n in bit.items()), F.lit(0))
+    asked = asked.withColumnsRenamed({"channel": "_channel", "materialName": "_name"}).withColumn("_set", given)
+    sets = asked.groupBy("_channel", "_name").agg(F.collect_set("_set").alias("_sets")).withColumnsRenamed({"_channel": "_c", "_name": "_n"})
+    sought = records.join(sets, (F.col("channel") == F.col("_c")) & F.col("materialName").eqNullSafe(F.col("_n"))).withColumn("_set", F.explode("_sets"))
+    sought = sought.withColumn("_key", key(F.col)).drop("_c", "_n", "_sets", "_set")
+    wanted = asked.select("_channel", "_name", "_q", key(lambda f: F.col(f"_q.{f}")).alias("_wanted"))
+    met = sought.join(wanted, (F.col("channel") == F.col("_channel")) & F.col("materialName").eqNullSafe(F.col("_name")) & (F.col("_key") == F.col("_wanted")))
+    return met.select(*records.columns, "_q")
+
+
 def filter_prices(records: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id with each record that meets the query.
 
-    Names are compared once for each distinct name of a channel, not for each record; records are joined to the queries of their channel and
-    name, and only the other conditions are left to test. A name that very many records have is split by adaptive execution.
+    Names are compared once for each distinct name of a channel, not for each record; records are joined to the queries of their channel,
+    name and equalities, and only the other conditions are left to test. A name that very many records have is split by adaptive execution.
     """
-    asked = names_asked(records, queries).withColumnRenamed("channel", "_channel").withColumnRenamed("materialName", "_name")
-    met = records.join(asked, (F.col("channel") == F.col("_channel")) & F.col("materialName").eqNullSafe(F.col("_name"))).filter(_condition(records))
-    return met.select(F.col("_q.query_id").alias("query_id"), *records.columns)
+    asked = durable(names_asked(records, queries), "asked")
+    return candidates(records, asked).filter(_condition(records)).select(F.col("_q.query_id").alias("query_id"), *records.columns)
 
 
 def count_matches(matches: DataFrame, queries: DataFrame) -> DataFrame:

@@ -168,7 +168,7 @@ def replay_sliced(spark, d):
 def dialogue_answers(spark, d):
     """Turns through the streaming job to price answers. Each user asks for what their order's first line is of: an event names the field of its type.
 
-    The stored turns arrive in four files, in order of time, so that timers fire and dialogues become ready in different micro-batches.
+    The stored turns arrive in four parts, in order of time, so that timers fire and dialogues become ready in different micro-batches.
     """
     import uuid
 
@@ -180,15 +180,25 @@ def dialogue_answers(spark, d):
     records = durable(price_records(spark, d), "records")
     said = durable(turns_asked(spark, d, records), "turns")
     folder = f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}"
-    first, last = said.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
-    at = F.floor((F.unix_micros("ts") - first) * 4 / (last - first + 1)) if first is not None else F.lit(0)
-    for part in range(4):
-        said.filter(at == part).coalesce(1).write.mode("append").json(f"{folder}/in")
-    stream = read_turns_stream(spark, f"{folder}/in", said.schema, 1)
+    files = store_turns(said, f"{folder}/in")
+    stream = read_turns_stream(spark, f"{folder}/in", said.schema, files)
     sessions.answer_dialogues(stream, records, f"{folder}/out", TTL).awaitTermination()
     return sessions.read_answers(spark, f"{folder}/out").drop("batch")
 
 
+def store_turns(said: DataFrame, folder: str, parts: int = 4, turns_a_file: int = 50_000) -> int:
+    """Turns as JSON in parts of equal spans of time, one after the other. Gives the number of files, the same for each part, so that as many a trigger are one part."""
+    first, last = said.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    at = F.floor((F.unix_micros("ts") - first) * parts / (last - first + 1)) if first is not None else F.lit(0)
+    sizes = {r["part"]: r["count"] for r in said.groupBy(at.alias("part")).count().collect()}
+    # some task has a row for each file, so none is left out as empty
+    files = max(1, min(sizes.get(part, 0) for part in range(parts)) // turns_a_file)
+    for part in range(parts):
+        rows = said.filter(at == part)
+        (rows.repartition(files) if files > 1 else rows.coalesce(1)).write.mode("append").json(folder)
+    return files
+
+
 def turns_asked(spark: SparkSession, d: str, records: DataFrame) -> DataFrame:
     """Turns of the events, whose values are those of the user's own record; users without one have no turns."""
     own = records.select(F.col("record_id").alias("_own"), *[F.col(f).alias(f"_{f}") for f in FIELD_OF], F.col("channel").alias("_channel"))

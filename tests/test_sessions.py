@@ -97,3 +97,43 @@ def test_answers_of_the_tables_are_those_of_a_replay(spark):
     plain = lambda df: sorted(tuple(r) for r in df.select(*shown).collect())
     want = plain(sessions.answers_of(first, records))
     assert want and plain(q.dialogue_answers(spark, d)) == want and all(n > 0 for *_, n, _ in want)
+
+
+def test_dialogues_that_ask_for_the_same_share_a_query(spark, records, monkeypatch):
+    plain, asked = sessions.recommend_prices, []
+
+    def counted(records, queries):
+        asked.append(queries.count())
+        return plain(records, queries)
+
+    monkeypatch.setattr(sessions, "recommend_prices", counted)
+    rows = [(f"s{i}", 1, i, START, *(["steel", "p", "c", "s", "b"] if i % 3 else ["steel", "p", "c", "s", ""]), [None, "zc_price"][i % 2]) for i in range(60)]
+    names = ", ".join(f"{n} string" for n in dialogue.NAMES)
+    got = sessions.answers_of(spark.createDataFrame(rows, f"session_id string, epoch int, turn int, ts timestamp, {names}, channel string"), records).collect()
+    assert asked == [4] and sorted(r["turn"] for r in got) == list(range(60))
+    assert {(r["turn"] % 2, r["success"], r["total_count"]) for r in got} == {(0, False, 0), (1, True, 6)}
+
+
+def test_turns_of_a_part_lie_in_several_files(spark, tmp_path):
+    rows = [turn(f"s{i % 7}", i, 60 * i, materialName=f"v{i}") for i in range(400)]
+    from graintable.plans.dialogue_queries import store_turns
+
+    said = spark.createDataFrame(rows, TURNS).repartition(3)
+    files = store_turns(said, str(tmp_path / "in"), turns_a_file=30)
+    found = sorted((tmp_path / "in").glob("*.json"), key=lambda f: f.stat().st_mtime_ns)
+    assert files == 3 and len(found) == 12
+    places = [[json.loads(line)["turn"] // 100 for f in found[k : k + 3] for line in f.read_text().splitlines()] for k in range(0, 12, 3)]
+    assert places == [[k] * 100 for k in range(4)]
+    assert store_turns(said.limit(0), str(tmp_path / "none")) == 1 and store_turns(said, str(tmp_path / "one")) == 1
+
+
+def test_a_turn_without_time_or_number_ends_nothing():
+    given = [None] * 7
+    out, state = sessions.steps([(10, None, "t", "x", *given[1:]), (5, 2, "t", *given), (None, 3, None, *given)], None, 100)
+    assert [(r[0], r[2], r[3]) for r in out] == [(3, 1, None), (2, 1, None), (None, 1, "x")] and state[:2] == (1, 10)
+    assert sessions.steps([(111, 4, "t", *given)], state, 100)[1][:3] == (2, 111, None)
+
+
+def test_turns_of_equal_time_and_number_have_one_order():
+    turns = [(10, 1, "t", name, *["p", "c", "s", "b"], channel, 0.5) for name, channel in (("x", "zc_price"), ("y", None), (None, "information_price"))]
+    assert sessions.steps(turns, None, 100) == sessions.steps(turns[::-1], None, 100)

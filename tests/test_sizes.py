@@ -157,3 +157,21 @@ def test_names_are_paired_before_parts(spark, tmp_path):
     write(part, tmp_path / "part.parquet")
     assert price_queries._name_pairs(spark, str(tmp_path))[1].count() == 8
     assert registry.QUERIES["char_tfidf_cosine"](spark, str(tmp_path)).count() == 8
+
+
+def test_queries_and_records_of_one_name_meet_by_their_other_fields(spark):
+    """Many queries and many records of one name: pairs that meet before the last test are few, and what meets is right."""
+    from graintable.operators import prices
+    from graintable.schemas import PRICE_QUERY
+
+    n = 400
+    records = spark.createDataFrame([(f"r{i}", "zc_price", "steel", f"s{i % 200}", ["b", None, ""][i % 3], "2024-01-01", float(i)) for i in range(n)], "record_id string, channel string, materialName string, materialModelSpec string, brand string, releaseDate string, price double")
+    asked = lambda i: {"materialModelSpec": f"s{i}" if i % 5 else "", "brand": "b" if i % 4 == 0 else None, "minPrice": 100.0 if i % 2 else None}
+    queries = spark.createDataFrame([tuple({"query_id": i, "channel": "zc_price", "materialName": "steel" if i % 7 else None, **asked(i)}.get(f.name) for f in PRICE_QUERY) for i in range(1, n)], PRICE_QUERY)
+    rows, want = [r.asDict() for r in records.collect()], set()
+    for i in range(1, n):
+        q = asked(i)
+        want |= {(i, r["record_id"]) for r in rows if (not q["materialModelSpec"] or r["materialModelSpec"] == q["materialModelSpec"]) and (not q["brand"] or r["brand"] == "b") and r["price"] >= (q["minPrice"] or 0)}
+    got = [(r["query_id"], r["record_id"]) for r in prices.filter_prices(records, queries).select("query_id", "record_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert prices.candidates(records, prices.names_asked(records, queries)).count() < len(want) * 1.5 < n * n / 4
