@@ -2,7 +2,8 @@
 
 Large-star and small-star steps alternate (Kiveris et al., 2014): each hangs a node's neighbours on the smallest node it knows, so after
 few rounds every component is a star around its smallest node. Each round is written to the shared folder, which cuts the lineage;
-the driver sees a count and a checksum of the links, and stops when they no longer change.
+the driver sees a count and a checksum of the links, and stops when they no longer change. Joins are merge joins at every size, so no side is
+brought to the driver to be broadcast.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         smallest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(smallest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(smallest.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = durable(large, "large-star")
         centre = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(centre, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(centre.select("u", F.col("m").alias("v")))
+        small = large.join(centre.hint("merge"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(centre.select("u", F.col("m").alias("v")))
         edges = durable(small.distinct(), "small-star")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == seen:

@@ -12,6 +12,9 @@ different components are held against each other by size and parity sketch insid
 band of more than MOST lines, pairs are found by their rarest shingles instead (``setjoin``, complete for the similarity). So no candidate
 pair that could join components goes unchecked.
 
+Every join asks for the merge join: all tables here grow with the input, and such as Spark holds to be small by their files (dictionaries, equal
+sketches, exploded rows) unfold to many times that in the driver when they are broadcast.
+
 Defined cases: blank lines and null or empty texts have no lines to drop; lines equal up to blanks at their ends are equal; repeated rows
 (equal key and text) have equal line places, and these stand or fall together; null keys come first; an empty table gives an empty
 result. Two different lines with one 64-bit hash (told apart by 64 more bits) stay, unlinked. Sets are compared as 56-bit hashes of
@@ -253,7 +256,7 @@ def lines_of(wanted: DataFrame, first: DataFrame, docs: DataFrame) -> DataFrame:
     The texts are shuffled in the same way at every size. Of repeated rows, which come together, one is read; a node is given again only
     where adaptive execution deals very many of them to several tasks.
     """
-    places = wanted.distinct().join(first, "node")
+    places = wanted.distinct().join(first.hint("merge"), "node")
     places = places.groupBy(F.col("place.id").alias("_id"), F.col("place.t").alias("_t")).agg(F.collect_list(F.struct(F.col("place.no").alias("no"), "node")).alias("wanted"))
     holders = docs.join(places.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).select("text", "wanted")
 
@@ -301,13 +304,13 @@ def _near(percent: int) -> Column:
 
 def near_pairs(pairs: DataFrame, found: DataFrame, percent: int = PERCENT) -> DataFrame:
     """pairs: a, b (nodes). found: node, n and sketches. The pairs that may be similar, written."""
-    return durable(pairs.join(_side(found, "b"), "b").join(_side(found, "a"), "a").filter(_near(percent)).select("a", "b"), "line-pairs")
+    return durable(pairs.join(_side(found, "b").hint("merge"), "b").join(_side(found, "a").hint("merge"), "a").filter(_near(percent)).select("a", "b"), "line-pairs")
 
 
 def verified(pairs: DataFrame, found: DataFrame, percent: int = PERCENT) -> DataFrame:
     """pairs: a, b. found: node, line. The pairs whose whole sets are similar enough, as u and v."""
-    second = pairs.join(found.select(F.col("node").alias("b"), F.col("line").alias("line_b")), "b")
-    both = second.join(found.select(F.col("node").alias("a"), F.col("line").alias("line_a")), "a").select("a", "b", "line_a", "line_b")
+    second = pairs.join(found.select(F.col("node").alias("b"), F.col("line").alias("line_b")).hint("merge"), "b")
+    both = second.join(found.select(F.col("node").alias("a"), F.col("line").alias("line_a")).hint("merge"), "a").select("a", "b", "line_a", "line_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,15 +327,15 @@ def open_pairs(placed: DataFrame, found: DataFrame, percent: int = PERCENT, most
     """
     counted = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
     several = counted.filter("low <> high and members > 2").select("key", (F.col("members") <= most).alias("few"))
-    rows = durable(placed.join(several, "key"), "line-open")
-    few = rows.filter("few").groupBy("node", "component").agg(F.sort_array(F.collect_set("key")).alias("keys")).join(found.drop("line"), "node")
+    rows = durable(placed.join(several.hint("merge"), "key"), "line-open")
+    few = rows.filter("few").groupBy("node", "component").agg(F.sort_array(F.collect_set("key")).alias("keys")).join(found.drop("line").hint("merge"), "node")
     few = durable(few.withColumn("key", F.explode("keys")), "line-few")
     left, right = (_side(few, s, "key", F.col("component").alias(f"c_{s}"), F.col("keys").alias(f"keys_{s}")) for s in "ab")
     # a pair of several bands is met in the first of them
     here = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
-    met = left.join(right, "key").filter((F.col("c_a") < F.col("c_b")) & _near(percent) & here).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = left.join(right.hint("merge"), "key").filter((F.col("c_a") < F.col("c_b")) & _near(percent) & here).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     loose = durable(rows.filter("NOT few").select("node", "component").distinct(), "line-loose")
-    shingles = durable(members_of(found.join(loose.select("node"), "node", "left_semi").dropDuplicates(["node"])).join(loose, "node"), "line-shingles")
+    shingles = durable(members_of(found.join(loose.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"])).join(loose.hint("merge"), "node"), "line-shingles")
     rare = near_pairs(prefix_pairs(shingles, percent), found, percent)
     return met.unionByName(rare).distinct()
 
@@ -351,17 +354,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     tested = members.filter("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
     tested = near_pairs(tested, found)
     of_heads = connected_components(verified(tested, found))
-    placed = members.select("key", "node").distinct().join(of_heads, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    rest = open_pairs(durable(placed, "line-placed"), found).join(tested, ["a", "b"], "left_anti")
+    placed = members.select("key", "node").distinct().join(of_heads.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    rest = open_pairs(durable(placed, "line-placed"), found).join(tested.hint("merge"), ["a", "b"], "left_anti")
     links = of_heads.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(verified(rest, found))
 
     # the first line of each component, by place; only of lines that have another
-    in_components = durable(connected_components(links).join(first, "node"), "line-components")
+    in_components = durable(connected_components(links).join(first.hint("merge"), "node"), "line-components")
     heads = in_components.groupBy("component").agg(F.min("place").alias("head")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    linked = in_components.withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int")).join(heads, ["component", "salt"]).select("node", "head")
-    alone = nodes.filter("sure and n > 1").join(linked, "node", "left_anti").select("node", F.col("place").alias("head"))
+    linked = in_components.withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int")).join(heads.hint("merge"), ["component", "salt"]).select("node", "head")
+    alone = nodes.filter("sure and n > 1").join(linked.hint("merge"), "node", "left_anti").select("node", F.col("place").alias("head"))
     decided = durable(linked.unionByName(alone), "line-heads")
-    out = table.select("id", "t", "no", "node").join(decided, "node", "left")
+    out = table.select("id", "t", "no", "node").join(decided.hint("merge"), "node", "left")
     keep = F.coalesce("head", place)
     return out.select("id", F.col("no").alias("line_no"), keep["id"].alias("keep_id"), keep["no"].alias("keep_line_no"), (keep == place).alias("kept"))
 

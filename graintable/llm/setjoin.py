@@ -28,7 +28,7 @@ def _class(n: Column) -> Column:
 def prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
     """members: node, component, n (size of the node's set), member (a hash); distinct rows. Gives a, b (a < b): at least the pairs in different components with a similarity of percent / 100."""
     common = durable(members.groupBy("member").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "common-members")
-    counted = members.join(common, "member", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    counted = members.join(common.hint("merge"), "member", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     n = F.col("n")
     least = F.ceil(n * percent / F.lit(100.0) - 1e-9)
     longest = n - _needed(n, least, percent) + 1
@@ -38,5 +38,5 @@ def prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
     each = ranked.withColumn("class", F.explode(F.sequence(_class(least), _class(n))))
     smallest = F.greatest(least, F.floor(F.pow(F.lit(RATIO), F.col("class")) - 1e-6))
     large = each.filter(F.col("pos") <= n - _needed(n, smallest, percent) + 1).select("member", "class", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    met = small.join(large, ["member", "class"]).filter((F.col("c_a") != F.col("c_b")) & (F.col("n_a") <= F.col("n_b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent))
+    met = small.join(large.hint("merge"), ["member", "class"]).filter((F.col("c_a") != F.col("c_b")) & (F.col("n_a") <= F.col("n_b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -468,3 +468,22 @@ def test_pipeline_composed(spark):
         want[doc_id, tuple(ids)] += copies
     got = Counter((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, SF).collect())
     assert got == +want and len(got) > 100
+
+
+def test_line_dedup_broadcasts_nothing(spark, monkeypatch):
+    """However small its tables are: none goes through the driver."""
+    plans, write = [], line_dedup.durable
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return write(df, name)
+
+    for module in (line_dedup, components, setjoin):
+        monkeypatch.setattr(module, "durable", seen)
+    monkeypatch.setattr(line_dedup.open_pairs, "__defaults__", (80, 2))  # also bands of many lines
+    text = "the quick brown fox jumps over the lazy dog number {}"
+    rows = [(i, "\n".join(text.format(n) for n in range(i, i + 3))) for i in range(20)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "id long, text string"))
+    plans.append(out._jdf.queryExecution().sparkPlan().toString())
+    assert out.count() == 60 and sum(p.count("SortMergeJoin") for p in plans) > 20
+    assert not [p for p in plans if "BroadcastHashJoin" in p or "NestedLoop" in p]
