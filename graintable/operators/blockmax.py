@@ -27,8 +27,15 @@ def _block(doc: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(doc), blocks).cast("int")
 
 
-def pack(index: dict[str, DataFrame], size: int = BLOCK) -> dict[str, DataFrame]:
-    """An index (``bm25.build_index``) with blocks (term, block, n, most, postings of doc_id and impact) and, in terms, blocks (their number), most and tops."""
+def pack(index: dict[str, DataFrame], size: int = BLOCK, queries: DataFrame | None = None) -> dict[str, DataFrame]:
+    """An index (``bm25.build_index``) with blocks (term, block, n, most, postings of doc_id and impact) and, in terms, blocks (their number), most and tops.
+
+    queries: as for ``search``, of an index that is packed for them alone: postings and terms that none of them asks for stay as they are, unpacked. Weights are those of the whole index.
+    """
+    if queries is not None:
+        asked = durable(queries.select(F.explode("tokens").alias("term")).distinct(), "asked-terms")
+        packed = pack({**index, **{name: index[name].join(asked, "term", "left_semi") for name in ("postings", "terms")}}, size)
+        return {**packed, "postings": index["postings"]}
     frequency = F.col("df")
     number = F.when(frequency <= size, 1).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(frequency / F.lit(float(size)))))).cast("int")
     terms = index["terms"].withColumn("blocks", number)

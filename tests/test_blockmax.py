@@ -59,3 +59,16 @@ def test_a_stored_index_is_searched_alike(spark, tmp_path):
     queries = spark.createDataFrame([(i, [f"w{draw.randint(1, 60)}" for _ in range(4)]) for i in range(12)], f"query_id {TOKENS}")
     want = hits(bm25.search(queries, index, 7))
     assert hits(blockmax.search(queries, stored, 7)) == want == hits(bm25.search(queries, stored, 7))
+
+
+def test_packed_for_some_queries(spark):
+    """Only postings that are asked for are packed; weights and hits are those of the whole index."""
+    draw = random.Random(8)
+    docs = [(i, [f"w{int(draw.paretovariate(0.7))}" for _ in range(20)]) for i in range(400)]
+    index = bm25.build_index(spark.createDataFrame(docs, f"doc_id {TOKENS}"))
+    queries = spark.createDataFrame([(1, ["w1", "w3", "w3"]), (2, ["w2", "none"]), (3, [])], f"query_id {TOKENS}")
+    packed = blockmax.pack(index, 16, queries)
+    assert {r["term"] for r in packed["blocks"].select("term").collect()} == {"w1", "w2", "w3"}
+    assert packed["postings"].count() == index["postings"].count()
+    want = hits(bm25.search(queries, index, 7))
+    assert hits(blockmax.search(queries, packed, 7)) == want and len(want) == 14
