@@ -80,22 +80,20 @@ def update_index(tokens: DataFrame, path: str, removed: DataFrame | None = None,
     _write(path, "postings", number, counted(current), "term", "part")
     postings = _read(spark, path, "postings", [number], POSTINGS)
     documents = current.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.array_distinct("tokens").alias("terms"))
+    _write(path, "documents", number, documents, "doc_id", "bucket")
     frequencies = postings.select("term", F.lit(1).alias("df")).unionByName(gone.select(F.explode("terms").alias("term"), F.lit(-1).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
-    sums = documents.select(F.lit(1).alias("n"), "dl").unionByName(gone.select(F.lit(-1).alias("n"), (-F.col("dl")).alias("dl"))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl"))
-    _write_rest(path, number, documents, frequencies, sums)
+    # of the rows as they were written: texts aren't cut into words again for it
+    written = _read(spark, path, "documents", [number], DOCUMENTS)
+    sums = written.select(F.lit(1).alias("n"), "dl").unionByName(gone.select(F.lit(-1).alias("n"), (-F.col("dl")).alias("dl"))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl"))
+    _write(path, "frequencies", number, frequencies, "term", "part")
+    sums.coalesce(1).write.mode("overwrite").parquet(f"{path}/sums/segment={number}")
     gone.select("doc_id", F.lit(last).alias("upto")).write.mode("overwrite").parquet(f"{path}/dead/update={number}")
     return _finish(spark, path, number, [*segments_of(spark, path, last), number])
 
 
 def _write(path: str, name: str, number: int, table: DataFrame, column: str, by: str) -> None:
-    # rebalanced, not repartitioned: a large bucket is written by several tasks
-    _bucket(table, column, by).hint("rebalance", by).sortWithinPartitions(by, column).write.mode("overwrite").partitionBy(by).parquet(f"{path}/{name}/segment={number}")
-
-
-def _write_rest(path: str, number: int, documents: DataFrame, frequencies: DataFrame, sums: DataFrame) -> None:
-    _write(path, "documents", number, documents, "doc_id", "bucket")
-    _write(path, "frequencies", number, frequencies, "term", "part")
-    sums.coalesce(1).write.mode("overwrite").parquet(f"{path}/sums/segment={number}")
+    # rebalanced, not repartitioned: a large bucket is written by several tasks. Rows are in the order of their buckets alone, as nothing reads them by words
+    _bucket(table, column, by).hint("rebalance", by).sortWithinPartitions(by).write.mode("overwrite").partitionBy(by).parquet(f"{path}/{name}/segment={number}")
 
 
 def open_index(spark: SparkSession, path: str, last: int) -> dict[str, DataFrame]:
@@ -123,8 +121,8 @@ def merge_segments(spark: SparkSession, path: str, last: int, segments: list[int
     number, dead = last + 1, _dead_in(spark, path, last, segments)
     live = lambda name, schema: _live(_read(spark, path, name, segments, schema), dead).drop("segment")
     # rows stay in the part or bucket they are in, so they are written by the tasks that read them
-    for name, schema, column, by in (("postings", POSTINGS, "term", "part"), ("documents", DOCUMENTS, "doc_id", "bucket")):
-        live(name, schema).sortWithinPartitions(by, column).write.mode("overwrite").partitionBy(by).parquet(f"{path}/{name}/segment={number}")
+    for name, schema, by in (("postings", POSTINGS, "part"), ("documents", DOCUMENTS, "bucket")):
+        live(name, schema).sortWithinPartitions(by).write.mode("overwrite").partitionBy(by).parquet(f"{path}/{name}/segment={number}")
     frequencies = _read(spark, path, "frequencies", segments, FREQUENCIES).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
     sums = _read(spark, path, "sums", segments, SUMS).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl"))
     _write(path, "frequencies", number, frequencies, "term", "part")

@@ -78,3 +78,19 @@ def test_an_update_reads_no_postings(spark, tmp_path):
     plan = segments.open_index(spark, path, last)["postings"]._jdf.queryExecution().executedPlan().toString()
     scan = next(line for line in plan.splitlines() if "FileScan" in line and "tf#" in line)
     assert "segment" in scan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_sums_are_of_the_rows_as_written(spark, tmp_path):
+    """Texts aren't cut into words once more for them."""
+    cuts = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def cut(text):
+        cuts.add(1)
+        return text.split()
+
+    rows = [(i, f"a b w{i}") for i in range(100)]
+    tokens = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", cut("text").alias("tokens"))
+    last = segments.update_index(tokens, f"{tmp_path}/index")
+    assert 100 <= cuts.value <= 300  # with another pass 400
+    same_index(spark, f"{tmp_path}/index", last, {i: t.split() for i, t in rows})
